@@ -1,0 +1 @@
+"""Empty on purpose: the feature pipeline is batch only, see the README."""
