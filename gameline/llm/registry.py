@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gameline.llm import ngram_join
+from gameline.llm import decontaminate, ngram_join, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_jaccard": ngram_join.op3_ngram_jaccard}
+    return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
