@@ -6,8 +6,7 @@ Steps, all over whole texts:
    shingle; a block task finds the columns that two or more batches share and counts, for every document, its shared
    columns. A document with more unshared shingles than the size bound allows, n - ceil(t*n), has no partner.
 2. Equal sets are one class; one representative of each class goes on.
-3. Columns of the representatives' prefixes (the n - ceil(t*n) + 1 first shingles, frequent columns last) connect
-   candidates: two sets of similarity t or more always share a prefix column. Connected candidates form a cluster.
+3. Columns of the representatives' prefixes (the n - ceil(t*n) + 1 rarest shingles) connect candidates: two sets of similarity t or more always share a prefix column. Connected candidates form a cluster.
 4. In a cluster, the overlaps of all rows with its first row are counted, which links the bulk of a group of near
    copies without its pairs. The rows that stay unlinked are multiplied, block by block, with all rows of the cluster:
    every link between different components has an end among them.
@@ -22,17 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gameline.llm.common import array_of, parts, stored, table, text_batches, total_bytes
 from gameline.llm.graph import components
 from gameline.llm.words import shingles
 
-#: A column with more representatives than this counts as frequent and goes last in the order of shingles.
-FREQUENT = 32
-#: Most frequent columns named in the order (8 bytes each, broadcast); any choice of them gives the same links.
-MOST_FREQUENT = 500_000
 #: Rows of a block of the product.
 BLOCK_ROWS = 512
 _BLOCKS = pa.schema([("block", pa.int32()), ("src", pa.int64()), ("col", pa.binary()), ("row", pa.binary()), ("many", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
@@ -48,7 +43,7 @@ def _cut(k: int, blocks: int):
     """Map: batches of documents to one row for each column block: column hashes and batch-local rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "text", 24 << 20):
+        for batch in text_batches(batches, "text"):
             ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
             h, sizes = shingles(batch.column("text").to_pylist(), k)
             ends = np.cumsum(sizes)
@@ -142,25 +137,14 @@ def _sets(k: int):
     return run
 
 
-def _prefixes(percent: int, last):
-    """Prefix columns of every set; columns in last (a sorted array) come after all others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        behind = last.value if last is not None else np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            nodes, cols = [], []
-            for node, data in zip(batch.column("node").to_pylist(), batch.column("cols").to_pylist(), strict=True):
-                c = array_of(data, "u8")
-                if len(behind):
-                    at = np.minimum(np.searchsorted(behind, c), len(behind) - 1)
-                    c = c[np.argsort(behind[at] == c, kind="stable")]
-                c = c[: int(_bound(np.int64(len(c)), percent)) + 1]
-                nodes.append(np.full(len(c), node, dtype=np.int64))
-                cols.append(c)
-            if cols:
-                yield pa.record_batch({"col": np.concatenate(cols).view(np.int64), "node": np.concatenate(nodes)})
-
-    return run
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to rows (col, node, n)."""
+    for batch in batches:
+        data = batch.column("cols").to_pylist()
+        for at in range(0, len(data), 256):
+            n = np.array([len(x) // 8 for x in data[at : at + 256]], dtype=np.int64)
+            node = np.asarray(batch.column("node"), dtype=np.int64)[at : at + 256]
+            yield pa.record_batch({"col": array_of(b"".join(data[at : at + 256]), "i8"), "node": np.repeat(node, n), "n": np.repeat(n, n)})
 
 
 def _similar(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -242,7 +226,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    blocks = parts(total_bytes(docs), 24 << 20, 4)
+    blocks = parts(total_bytes(docs), 8 << 20, 4)
     cut = docs.mapInArrow(_cut(k, blocks), "block int, src long, col binary, row binary, many binary, docs binary, sizes binary, digests binary, node binary")
     counts = stored(cut.repartition(blocks, "block").mapInArrow(_count, "src long, shared binary, docs binary, sizes binary, digests binary, node binary"))
     nodes = stored(counts.groupBy("src").applyInArrow(_gather(percent), "doc_id long, n_shingles long, digest string, alive boolean"))
@@ -253,10 +237,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     whole = docs.join(alive, "doc_id", "left_semi")
     sets = stored(whole.mapInArrow(_sets(k), "node long, n long, cols binary").where("n > 0"))
 
-    columns = sets.mapInArrow(_prefixes(percent, None), "col long, node long").groupBy("col").count().where(F.col("count") > FREQUENT)
-    frequent = np.array([r["col"] for r in columns.orderBy(F.desc("count"), "col").limit(MOST_FREQUENT).select("col").collect()], dtype=np.int64).view(np.uint64)
-    last = spark.sparkContext.broadcast(np.sort(frequent))
-    prefixes = stored(sets.mapInArrow(_prefixes(percent, last), "col long, node long"))
+    columns = sets.mapInArrow(_columns, "col long, node long, n long")
+    often = columns.groupBy("col").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = Window.partitionBy("node")
+    ranked = columns.join(often, "col").select("col", "node", "n", F.row_number().over(own.orderBy("often", "col")).alias("place"), F.count(F.lit(1)).over(own).alias("shared"))
+    # the unshared columns come first in a prefix and take its places
+    prefixes = stored(ranked.where(f"place <= n - ((n * {percent} + 99) div 100) + 1 - (n - shared)").select("col", "node"))
     firsts = prefixes.groupBy("col").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("col", "a")
     candidates = prefixes.join(firsts, "col").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     clusters = stored(components(candidates).select("node", F.col("root").alias("cluster")))
@@ -274,7 +260,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     still = rest.select("cluster").distinct()
     products = packed(rest, "rest", rest).join(packed(rows.join(still, "cluster", "left_semi"), "rows", rows), "cluster")
-    found = products.select("rest", "rows").mapInArrow(_blocks(percent), "a long, b long")
+    pieces = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = products.repartition(pieces, "cluster", "rest_piece", "rows_piece").select("rest", "rows").mapInArrow(_blocks(percent), "a long, b long")
     same = nodes.where("n_shingles > 0").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(links.unionByName(found).unionByName(same))
     return nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
