@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gameline.llm import decontaminate, ngram_join, suffix_dedup
+from gameline.llm import decontaminate, html_text, ngram_join, ppm, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+        "op4_html_text": html_text.op4_html_text,
+        "op5_quality": quality.op5_quality,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op10_lm_scoring": ppm.op10_lm_scoring,
     }
 
 
