@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gameline.llm import decontaminate, html_text, ngram_join, ppm, quality, suffix_dedup, toxicity
+import corpus_pipeline
+from gameline.llm import decontaminate, html_text, license_scan, lsh_forest, mixing, ngram_join, ppm, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +18,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": html_text.op4_html_text,
         "op5_quality": quality.op5_quality,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_nearest": lsh_forest.op9_nearest,
         "op10_lm_scoring": ppm.op10_lm_scoring,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {"op8_mixing": mixing.OP8_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
