@@ -13,10 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes at once; larger texts make a batch of their own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
+
+
+def arrow_bounds(spark: SparkSession) -> None:
+    """Arrow batches of texts are bounded by bytes, as two tasks of an executor hold some copies of theirs; a smaller
+    bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    arrow_bounds(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table written once to the shared folder and read again: later steps neither compute it anew nor depend
     on the executors that made it."""
     spark = df.sparkSession
+    arrow_bounds(spark)
     path = f"{shared_dir(spark)}/gameline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes that are hashed at once, which bounds the memory of the tables of powers.
+HASH_BYTES = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -56,19 +58,26 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of A-Z-lower-cased texts, in order, and the number of words of each text."""
-    parts, counts = [], np.zeros(len(texts), dtype=np.int64)
+    parts, counts, out, total = [], np.zeros(len(texts), dtype=np.int64), [], 0
     for i, text in enumerate(texts):
-        if text:
-            words = text.encode("utf-8", "surrogatepass").lower().split()
-            if words:
-                counts[i] = len(words)
-                parts.append(b" ".join(words))
-    if not parts:
-        return np.zeros(0, dtype=np.uint64), counts
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else None
+        if words:
+            counts[i] = len(words)
+            parts.append(b" ".join(words))
+            total += len(parts[-1])
+            if total > HASH_BYTES:
+                out.append(_joined_hashes(parts))
+                parts, total = [], 0
+    if parts:
+        out.append(_joined_hashes(parts))
+    return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), counts
+
+
+def _joined_hashes(parts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
     end = np.flatnonzero(data == 32)
     start = np.concatenate([[0], end[:-1] + 1])
-    return range_hashes(prefix_sums(data), start, end), counts
+    return range_hashes(prefix_sums(data), start, end)
 
 
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
