@@ -1,7 +1,7 @@
 """Toxicity by compression distance: windows compressed with a toxic and an ordinary zstandard dictionary.
 
-One dictionary is trained on ordinary text. The other is trained on the windows of toxic text that the ordinary sample
-does not have. Both sit behind the same ordinary content, so a window of ordinary text compresses alike with either
+One dictionary is trained on ordinary text. The other is trained on the windows that recur in toxic texts and that the
+ordinary sample does not have. Both sit behind the same ordinary content, so a window of ordinary text compresses alike with either
 and the difference of its two lengths comes from what only toxic text has. A document's counts and shares of windows
 above each threshold of that difference are calibrated to a probability on held-in labels.
 """
@@ -9,6 +9,7 @@ above each threshold of that difference are calibrated to a probability on held-
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,11 @@ from gameline.llm.quality import labelled_sample
 SAMPLE = 6_000
 #: Bytes of a text that go into the sample's fitting part, spread evenly over the text (scores always see whole texts).
 SAMPLE_BYTES = 20_000
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 100 << 10, 40 << 10, 6
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 100 << 10, 16 << 10, 6
 #: Differences of compressed lengths, in bytes.
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
+#: Toxic sample texts that have a window before the toxic dictionary learns it.
+RECURS = 3
 #: Bytes that the toxic dictionary may need for a window beyond those of an empty one: it holds the window as a whole.
 NEEDS = (0, 1, 2, 3)
 _FEATURES = 3 * len(THRESHOLDS) + 3 + 2 * 3 * len(NEEDS)
@@ -53,7 +56,8 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], seed: int = 7) ->
     rng = random.Random(seed)
     plain = [w for t in ordinary for w in windows(t)]
     known = set(plain)
-    own = [w for t in toxic for w in windows(t) if w not in known]
+    often = Counter(w for t in set(toxic) for w in set(windows(t)))
+    own = [w for t in toxic for w in windows(t) if w not in known and often[w] >= RECURS] or [w for w in often if w not in known]
     full = _trained(ORDINARY_BYTES + TOXIC_BYTES, rng.sample(plain, min(len(plain), 300_000)))
     base, rest = full[TOXIC_BYTES:], full[:TOXIC_BYTES]
     bad = _trained(TOXIC_BYTES, rng.sample(own, min(len(own), 300_000)))
@@ -106,13 +110,18 @@ def _spread(text: str | None) -> str:
 
 
 def fit(rows: list[tuple[int, str]]) -> dict:
-    """Dictionaries from one half of the labelled sample, calibration from the other, so that it sees new text."""
-    halves = [[r for i, r in enumerate(sorted(rows, key=lambda r: r[0])) if i % 2 == k] for k in (0, 1)]
-    toxic, ordinary = ([_spread(t) for y, t in halves[0] if y == k] for k in (1, 0))
-    pair = train_dictionaries(toxic, ordinary)
-    differ = Differ(*pair)
-    x = np.array([differ.features(t) for _, t in halves[1]], dtype=np.float64).reshape(len(halves[1]), _FEATURES)
-    return {"pair": pair, "calibration": trees.fit(x, np.array([y for y, _ in halves[1]], dtype=np.float64), rounds=80, depth=3, rate=0.1)}
+    """Dictionaries from the labelled sample. The calibration sees each half of the sample through dictionaries of the
+    other half, so that it learns from text that is new to them."""
+    rows = [(y, _spread(t)) for y, t in rows]
+    order = np.argsort([y for y, _ in rows], kind="stable")
+    halves = [[rows[i] for i in order[k::2]] for k in (0, 1)]
+    x, y = [], []
+    for own, other in (halves, halves[::-1]):
+        differ = Differ(*train_dictionaries(*([t for v, t in other if v == k] for k in (1, 0))))
+        x += [differ.features(t) for _, t in own]
+        y += [v for v, _ in own]
+    calibration = trees.fit(np.array(x, dtype=np.float64).reshape(len(y), _FEATURES), np.array(y, dtype=np.float64), rounds=80, depth=3, rate=0.1)
+    return {"pair": train_dictionaries(*([t for v, t in rows if v == k] for k in (1, 0))), "calibration": calibration}
 
 
 def _score(model):
