@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +28,19 @@ from gameline.llm.common import array_of, parts, stored, table, text_batches, to
 from gameline.llm.words import mix, prefix_sums, range_hashes
 
 #: Bytes of an anchor; windows of `length` bytes hold length - ANCHOR + 1 of them.
-ANCHOR = 20
+ANCHOR = 50
 #: log2 of the bits of the table of repeated anchors: at most 256 MB. Beyond it more segments travel, with the same result.
 MOST_BITS = 31
-#: Occurrences of an anchor from which its segments are dealt out by content.
-HOT = 4096
+#: Occurrences of an anchor from which its segments are dealt out by content; fewer fit in a bucket.
+HOT = 60_000
 #: Windows of a piece of such a segment.
 PIECE = 8
 #: Symbols of a shard and of one merge.
 SHARD, MERGE = 1 << 18, 1 << 21
 _UNIT = 1 << 20
 _SLOTS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("count", pa.binary())])
-_SEGMENTS = pa.schema([("bucket", pa.int32()), ("anchor", pa.binary()), ("doc", pa.binary()), ("part", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
+_SEGMENTS = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("rows", pa.binary()), ("salt", pa.binary()), ("data", pa.binary())])
+_COLUMNS = ("doc", "part", "start", "size", "place")
 _SPANS = "doc_id long, part int, start long, stop long"
 
 
@@ -142,7 +144,7 @@ def _deal(length: int, bits: int, buckets: int, bitmap, hot):
     the spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent = bitmap.value, hot.value
+        known, frequent, pack = bitmap.value, hot.value, zstandard.ZstdCompressor(level=3).compress
         for batch in text_batches(batches, "text"):
             ids, part_of = np.asarray(batch.column("doc_id"), dtype=np.int64), np.asarray(batch.column("part"), dtype=np.int32)
             for data, bounds, rows, base in _units(batch, length):
@@ -150,30 +152,32 @@ def _deal(length: int, bits: int, buckets: int, bitmap, hot):
                 slot = h >> np.uint64(64 - bits)
                 keep = (known[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
                 first, size, where, h, slot = first[keep], size[keep], where[keep], h[keep], slot[keep]
+                salt = np.zeros(len(h), dtype=np.uint64)
                 if len(frequent) and len(h):
                     many = frequent[np.minimum(np.searchsorted(frequent, slot), len(frequent) - 1)] == slot
                     cut = _pieces(first[many], size[many], where[many], h[many], sums, length)
-                    first, size, h = (np.concatenate([x[~many], y]) for x, y in zip((first, size, h), cut, strict=True))
+                    first, size, where, h, salt = (np.concatenate([x[~many], y]) for x, y in zip((first, size, where, h, salt), cut, strict=True))
                 if not len(h):
                     continue
                 stop = first + size + length - 1
                 content = range_hashes(sums, first, stop)
                 unit = np.searchsorted(bounds, first, side="right") - 1
                 doc, part, start = ids[rows[unit]], part_of[rows[unit]], first - bounds[unit] + base[unit]
-                order = np.lexsort((start, part, doc, content, h))
-                fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (content[order][1:] != content[order][:-1])])
+                key = h ^ salt
+                order = np.lexsort((start, part, doc, content, key))
+                fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])])
+                rows_of = np.stack([doc, part, start, size + length - 1, where - first], axis=0)
+
+                def packed(bucket: int, s: np.ndarray, text: bool) -> dict:
+                    s = np.sort(s)  # in the order of the texts, which packs best
+                    return {"bucket": bucket, "number": len(s), "rows": pack(_packed(rows_of[:, s])), "salt": salt[s].tobytes() if salt[s].any() else None, "data": pack(data[_ranges(first[s], size[s] + length - 1)].tobytes()) if text else None}  # noqa: B023
+
                 head, copies = order[fresh], order[~fresh]
-                out = []
-                if len(copies):
-                    out.append({"bucket": -1, "doc": doc[copies].tobytes(), "part": part[copies].tobytes(), "start": start[copies].tobytes(), "size": (size[copies] + length - 1).tobytes()})
-                bucket = (h[head] % np.uint64(buckets)).astype(np.int64)
+                out = [packed(-1, copies, False)] if len(copies) else []
+                bucket = (key[head] % np.uint64(buckets)).astype(np.int64)
                 head = head[np.argsort(bucket, kind="stable")]
                 cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-                for b in range(buckets):
-                    s = head[cuts[b] : cuts[b + 1]]
-                    if len(s):
-                        n = size[s] + length - 1
-                        out.append({"bucket": b, "anchor": h[s].tobytes(), "doc": doc[s].tobytes(), "part": part[s].tobytes(), "start": start[s].tobytes(), "size": n.tobytes(), "data": data[_ranges(first[s], n)].tobytes()})
+                out += [packed(b, head[cuts[b] : cuts[b + 1]], True) for b in range(buckets) if cuts[b + 1] > cuts[b]]
                 yield pa.RecordBatch.from_pylist(out, schema=_SEGMENTS)
 
     return run
@@ -190,7 +194,18 @@ def _pieces(first, size, where, h, sums, length):
     hi = np.minimum(first[seg] + size[seg] - 1, where[seg] - PIECE * q)
     middle = where[seg] - PIECE * q
     shared = range_hashes(sums, middle, middle + length - PIECE + 1)
-    return lo, hi - lo + 1, mix(h[seg] ^ mix(shared + q.astype(np.uint64)))
+    return lo, hi - lo + 1, where[seg], h[seg], mix(shared + q.astype(np.uint64))
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Columns of numbers as bytes, each column's differences by significance, so that they compress well."""
+    step = np.ascontiguousarray(np.diff(rows, axis=1, prepend=0), dtype=np.int64)
+    return step.view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _unpacked(data: bytes, number: int) -> np.ndarray:
+    step = np.frombuffer(data, dtype=np.uint8).reshape(len(_COLUMNS), 8, number).transpose(0, 2, 1)
+    return np.cumsum(np.ascontiguousarray(step).view(np.int64)[:, :, 0], axis=1)
 
 
 def _suffixes(symbols: np.ndarray, stop: np.ndarray, most: int) -> np.ndarray:
@@ -246,10 +261,13 @@ def merged_repeats(data: np.ndarray, size: np.ndarray, length: int, shards: int)
         symbol = bwt[merged]
         order = np.argsort(symbol, kind="stable")
         symbol, before = symbol[order], interval[order]
-        merged = lf[merged[order]]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])  # else the common prefix is one longer
-        interval = np.cumsum(new, dtype=np.int32)
+        new = np.ones(len(order) + 1, dtype=bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])  # else the common prefix is one longer
+        # what an interval of one leads to is alone too, so only rows of longer intervals go on
+        more = ~(new[:-1] & new[1:])
+        merged, interval = lf[merged[order[more]]], np.cumsum(new[:-1], dtype=np.int32)[more]
+        if not len(merged):
+            break
     whole = offset[merged] + length <= size[string[merged]]
     merged, interval = merged[whole], interval[whole]
     repeated = np.bincount(interval)[interval] > 1 if len(interval) else np.zeros(0, dtype=bool)
@@ -264,8 +282,8 @@ def _solve(length: int):
         rows = [x for batch in batches for x in batch.to_pylist()]
         for x in rows:
             if x["bucket"] == -1:
-                start = array_of(x["start"], "i8")
-                yield _spans_of(array_of(x["doc"], "i8"), array_of(x["part"], "i4"), start, start + array_of(x["size"], "i8"))
+                doc, part, start, size, _ = _unpacked(zstandard.ZstdDecompressor().decompress(x["rows"]), x["number"])
+                yield _spans_of(doc, part, start, start + size)
         for bucket in sorted({x["bucket"] for x in rows} - {-1}):
             yield from _bucket([x for x in rows if x["bucket"] == bucket], length)
 
@@ -273,15 +291,22 @@ def _solve(length: int):
 
 
 def _bucket(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
-    anchor, doc, part, start, size, data = (np.concatenate([array_of(x[c], kind) for x in rows]) for c, kind in (("anchor", "u8"), ("doc", "i8"), ("part", "i4"), ("start", "i8"), ("size", "i8"), ("data", "u1")))
+    unpack = zstandard.ZstdDecompressor().decompress
+    doc, part, start, size, place = np.concatenate([_unpacked(unpack(x["rows"]), x["number"]) for x in rows], axis=1)
+    anchor = np.concatenate([array_of(x["salt"], "u8") if x["salt"] else np.zeros(x["number"], dtype=np.uint64) for x in rows])
+    data = np.concatenate([array_of(unpack(x["data"]), "u1") for x in rows])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     content = np.empty(len(anchor), dtype=np.uint64)
     at = 0
     while at < len(anchor):  # in parts of bounded size
         to = max(at + 1, int(np.searchsorted(begin, begin[at] + _UNIT)))
-        lo = begin[at]
-        hi = begin[to - 1] + size[to - 1]
-        content[at:to] = range_hashes(prefix_sums(data[lo:hi]), begin[at:to] - lo, begin[at:to] - lo + size[at:to])
+        # pieces of hot segments need not hold their anchor; they are told apart by their salt
+        lo, own = begin[at], begin[at:to] - begin[at]
+        sums = prefix_sums(data[lo : begin[to - 1] + size[to - 1]])
+        content[at:to] = range_hashes(sums, own, own + size[at:to])
+        plain = np.flatnonzero(anchor[at:to] == 0)
+        there = own[plain] + place[at:to][plain]
+        anchor[at:to][plain] = range_hashes(sums, there, there + ANCHOR)
         at = to
     order = np.lexsort((start, part, doc, content, anchor))
     a, c = anchor[order], content[order]
@@ -319,7 +344,7 @@ def _apply(keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")}
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 joined: list[list[int]] = []
@@ -339,8 +364,9 @@ def _apply(keep_text: bool):
                 out["n_spans"].append(len(joined))
                 out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
                 out["kept"].append(rest if keep_text else None)
+                out["kept_text"].append(rest.decode("utf-8", "ignore") if keep_text else None)
             others = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "part")}
-            yield pa.record_batch({**others, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary())})
+            yield pa.record_batch({**others, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary()), "kept_text": pa.array(out["kept_text"], pa.string())})
 
     return run
 
@@ -350,7 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     earlier too. docs has doc_id, part (0 where doc_id is unique) and text; it is read twice."""
     spark = docs.sparkSession
     size = total_bytes(docs)
-    bits = min(MOST_BITS, max(16, (size // 5).bit_length()))
+    bits = min(MOST_BITS, max(16, (size // 3).bit_length()))
     blocks = 1 << max(2, bits - 22)
     slots = docs.mapInArrow(_slots(length, bits, blocks), "block int, once binary, many binary, count binary")
     found = slots.repartition(blocks, "block").mapInArrow(_repeats((1 << bits) // blocks), "block int, bits binary, hot binary").collect()
@@ -360,13 +386,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         hot.append(np.frombuffer(r["hot"], dtype=np.uint32).astype(np.uint64) + np.uint64(r["block"] * each))
     sent = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(np.sort(np.concatenate(hot)) if hot else np.zeros(0, dtype=np.uint64))
     buckets = parts(size, 16 << 20, 4)
-    dealt = docs.mapInArrow(_deal(length, bits, buckets, *sent), "bucket int, anchor binary, doc binary, part binary, start binary, size binary, data binary")
-    return dealt.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))).mapInArrow(_solve(length), _SPANS)
+    dealt = docs.mapInArrow(_deal(length, bits, buckets, *sent), "bucket int, number int, rows binary, salt binary, data binary")
+    return dealt.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(buckets)).cast("int"))).mapInArrow(_solve(length), _SPANS)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) -> DataFrame:
-    """The columns of docs but text, with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null
-    unless keep_text), one row for each row of docs.
+    """The columns of docs but text, with n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and
+    kept_text (those without characters cut in two; both null unless keep_text), one row for each row of docs.
 
     A text counts as its UTF-8 bytes (null: empty). Every byte covered by a string of `length` bytes that also starts
     earlier - at a smaller doc_id, or earlier in the same text - goes; strings are judged on the input. Texts shorter
@@ -374,7 +400,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     as they are, n_removed 0. An empty table gives no rows. Columns of docs named like a result column are replaced;
     so are columns named spans or part.
     """
-    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "part", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "part", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.withColumn("part", F.lit(0))
@@ -384,7 +410,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     gathered = spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = docs.join(gathered, ["doc_id", "part"], "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "part"))
-    return joined.mapInArrow(_apply(keep_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(_apply(keep_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
