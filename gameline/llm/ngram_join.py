@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def _cut(k: int, blocks: int):
     """Map: batches of documents to one row for each column block: column hashes and batch-local rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "text"):
+        for number, batch in enumerate(text_batches(batches, "text")):
+            place = f"{TaskContext.get().partitionId()} {number} ".encode()  # equal batches are two batches
             ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
             h, sizes = shingles(batch.column("text").to_pylist(), k)
             ends = np.cumsum(sizes)
@@ -56,7 +58,7 @@ def _cut(k: int, blocks: int):
             col, row = h[keep], np.repeat(node[fresh], sizes[fresh])
             order = np.argsort(col, kind="stable")
             col, row = col[order], row[order]
-            src = int.from_bytes(hashlib.md5(ids.tobytes() + b"".join(digests)).digest()[:8], "little", signed=True)
+            src = int.from_bytes(hashlib.md5(place + ids.tobytes() + b"".join(digests)).digest()[:8], "little", signed=True)
             step = -(-(1 << 32) // blocks)
             cuts = np.searchsorted(col >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64) * np.uint64(step))
             rows = []
