@@ -26,7 +26,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     id, one of the smallest text. Rows without an id stay."""
     arrow_bounds(spark)
     docs = docs.select(*COLUMNS)
-    found = ngram_join.ngram_components(docs, k=5, percent=80)
+    found = stored(ngram_join.ngram_components(docs, k=5, percent=80))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
