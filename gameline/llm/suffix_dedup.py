@@ -37,7 +37,7 @@ HOT = 60_000
 PIECE = 8
 #: Symbols of a shard and of one merge.
 SHARD, MERGE = 1 << 18, 1 << 21
-_UNIT = 1 << 20
+_UNIT = 1 << 19
 _SLOTS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("count", pa.binary())])
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("rows", pa.binary()), ("salt", pa.binary()), ("data", pa.binary())])
 _COLUMNS = ("doc", "part", "start", "size", "place")
@@ -376,7 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     earlier too. docs has doc_id, part (0 where doc_id is unique) and text; it is read twice."""
     spark = docs.sparkSession
     size = total_bytes(docs)
-    bits = min(MOST_BITS, max(16, (size // 3).bit_length()))
+    bits = min(MOST_BITS, max(16, (size // 6).bit_length()))
     blocks = 1 << max(2, bits - 22)
     slots = docs.mapInArrow(_slots(length, bits, blocks), "block int, once binary, many binary, count binary")
     found = slots.repartition(blocks, "block").mapInArrow(_repeats((1 << bits) // blocks), "block int, bits binary, hot binary").collect()

@@ -36,7 +36,7 @@ NEEDS = (0, 1, 2, 3)
 _FEATURES = 3 * len(THRESHOLDS) + 3 + 2 * 3 * len(NEEDS)
 #: A constant end of every window: a match that starts in the last bytes of the input is not searched for.
 _TAIL = bytes(range(1, 9)) + bytes(range(14, 32))
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 def windows(text: str | None) -> list[bytes]:
