@@ -1,8 +1,9 @@
 """Language-model scoring by partial matching over byte contexts, beside a word unigram base.
 
 Training counts every (context of ORDER bytes, next byte) of the learned texts, A-Z lower-cased, each preceded by
-ORDER end marks and followed by one. Shorter contexts follow by summing. The context trie is flattened to one sorted
-array of edges for each order. In its longest known context a symbol seen c times weighs 2c - 1 and the escape as much
+ORDER end marks and followed by one. Shorter contexts follow by summing. The whole context trie is kept as one table of
+edges for each order; the code lengths of its most frequent longest edges are broadcast, and all other symbols of the
+texts are resolved by joins with these tables. In its longest known context a symbol seen c times weighs 2c - 1 and the escape as much
 as there are distinct symbols; after an escape the next shorter context decides, from which the symbols of the longer
 one are excluded; below order 0 all symbols left are alike.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gameline.llm.common import stored, table, text_batches
@@ -22,7 +23,7 @@ from gameline.llm.words import HASH_BYTES, word_hashes
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Size of the model: edges of one order. Beyond it edges rarer than a common power of two are left out at every order.
+#: Edges of the longest contexts whose code lengths are broadcast; symbols on rarer or unseen edges are resolved by joins.
 MOST_EDGES = 2_000_000
 #: Words whose counts are broadcast; rarer words are counted by a join.
 MOST_WORDS = 2_000_000
@@ -190,16 +191,31 @@ def code_lengths(trie: dict, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _repeats(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, times) of the distinct keys of each text."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    text, key = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+    return text[head], key[head], np.diff(np.append(head, len(key)))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words = model.value["trie"], model.value["words"]
+        edges, words = model.value["edges"], model.value["words"]
         row = TaskContext.get().partitionId() << 33
         for batch in text_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
-            score = np.zeros(len(texts))
+            score, left = np.zeros(len(texts)), []
             for key, n, first in _keys(texts):
-                head = np.cumsum(n) - n
-                score[first : first + len(n)] = np.add.reduceat(code_lengths(trie, key), head)
+                logs, known = _looked_up(edges, key)
+                logs[~known] = 0
+                score[first : first + len(n)] = np.add.reduceat(logs, np.cumsum(n) - n)
+                left.append((np.repeat(np.arange(first, first + len(n)), n)[~known], key[~known]))
+            edge_of, edge, times = _repeats(left)
+            edge_cuts = np.searchsorted(edge_of, np.arange(len(texts) + 1))
             h, counts = word_hashes(texts)
             c, known = _looked_up(words, h)
             owner = np.repeat(np.arange(len(texts)), counts)
@@ -207,7 +223,7 @@ def _score(model):
             rare, where = h[~known].view(np.int64), owner[~known]
             cuts = np.searchsorted(where, np.arange(len(texts) + 1))
             keep = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            yield pa.record_batch({**keep, "row": row + np.arange(len(texts)), "n_tokens": counts + 1, "known": np.bincount(owner[known], minlength=len(texts)).astype(np.int64), "logs": logs, "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)), "score": score})
+            yield pa.record_batch({**keep, "row": row + np.arange(len(texts)), "n_tokens": counts + 1, "known": np.bincount(owner[known], minlength=len(texts)).astype(np.int64), "logs": logs, "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)), "edges": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(edge.view(np.int64))), "times": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(times)), "score": score})
             row += len(texts)
 
     return run
@@ -224,6 +240,56 @@ def _least(counts: DataFrame, kind: str, most: int) -> int:
     return 1 << least
 
 
+def _suffix(column: str, size: int):
+    """The last bytes of a key."""
+    return F.col(column).bitwiseAND(F.lit(int(_mask(size))))
+
+
+def _edges(grams: DataFrame) -> list[DataFrame]:
+    """All edges (key, n) of orders 0 to ORDER."""
+    orders = [grams.select("key", "n")]
+    for k in range(ORDER, 0, -1):
+        orders.insert(0, stored(orders[0].groupBy(_suffix("key", k).alias("key")).agg(F.sum("n").alias("n"))))
+    return orders
+
+
+def _contexts(edges: DataFrame, k: int) -> DataFrame:
+    """The contexts of an order, with the weight and number of their symbols, and what the next shorter context has for these."""
+    below = 2 * F.sum("n").over(Window.partitionBy(_suffix("key", k))) - 1 if k else F.lit(0)
+    edges = edges.select(F.shiftright("key", 8).alias("ctx"), (2 * F.col("n") - 1).alias("w"), below.alias("below"))
+    return edges.groupBy("ctx").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("below").alias("shorter"))
+
+
+def _escaped(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
+    """(key, log) of keys that are no edges of the longest contexts, as code_lengths has them."""
+    x = keys.select("key", F.lit(0.0).alias("log"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less"), F.lit(0).cast("long").alias("fewer"))
+    done = None
+    for k in range(ORDER, -1, -1):
+        near = F.broadcast if k < 2 else lambda t: t  # at most 256 ** 2 edges, and few contexts have most of the keys
+        x = x.withColumn("ctx", _suffix("key", k + 1)).withColumn("ctx", F.shiftright("ctx", 8)).join(near(_contexts(orders[k], k)), "ctx", "left")
+        if k < ORDER:
+            x = x.withColumn("edge", _suffix("key", k + 1)).join(near(orders[k].select(F.col("key").alias("edge"), (2 * F.col("n") - 1).alias("w"))), "edge", "left")
+        else:
+            x = x.withColumn("w", F.lit(None).cast("long"))
+        distinct = F.coalesce("distinct", F.lit(0)) - F.col("fewer")
+        total = F.coalesce("total", F.lit(0)) - F.col("less")
+        step = F.when(F.col("done"), 0.0).when(F.col("w").isNotNull(), F.log10(F.col("w") / (total + distinct))).when(F.col("total").isNotNull() & (distinct > 0), F.log10(distinct / (total + distinct))).otherwise(0.0)
+        if not k:
+            step = step - F.when(F.col("done") | F.col("w").isNotNull(), 0.0).otherwise(F.log10(_SYMBOLS - F.coalesce("distinct", F.lit(0))))
+        x = x.select("key", (F.col("log") + step).alias("log"), (F.col("done") | F.col("w").isNotNull()).alias("done"), F.coalesce("shorter", F.lit(0)).alias("less"), F.coalesce("distinct", F.lit(0)).alias("fewer"))
+        if k == ORDER - 1:  # most keys end here
+            x = stored(x)
+            done, x = x.where("done").select("key", "log"), x.where("not done")
+    return done.unionByName(x.select("key", "log"))
+
+
+def _collected(pairs: DataFrame) -> dict:
+    """Open-addressed table of (key, value) rows."""
+    found = pairs.toArrow()
+    key, value = (np.asarray(c) for c in found.columns)
+    return _hashed(key.view(np.uint64), value)
+
+
 def ppm_scores(docs: DataFrame, learn) -> DataFrame:
     """The columns of docs but text, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -234,34 +300,40 @@ def ppm_scores(docs: DataFrame, learn) -> DataFrame:
     each; an empty table gives no rows. Columns of docs named like a result column are replaced.
     """
     spark = docs.sparkSession
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "row", "known", "logs", "rare")
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "row", "known", "logs", "rare", "edges", "times", "more_known", "more_logs", "more_score")
     docs = docs.withColumn("text", F.col("text").cast("string")).drop(*made)
     counted = docs.where(learn).select("text").mapInArrow(_count, "kind string, key long, n long")
     counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"))
     grams = counts.where("kind = 'gram'")
-    least = _least(counts, "gram", MOST_EDGES)
-    edges = []
-    for k in range(ORDER + 1):
-        found = grams.groupBy(F.col("key").bitwiseAND(int(_mask(k + 1))).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        key, n = np.asarray(found.column("key"), dtype=np.int64).view(np.uint64), np.asarray(found.column("n"), dtype=np.int64)
-        order = np.argsort(key)
-        edges.append((key[order], n[order]))
+    orders = _edges(grams)
+    context = Window.partitionBy(F.shiftright("key", 8))
+    weight = 2 * F.col("n") - 1
+    longest = stored(orders[ORDER].select("key", "n", F.log10(weight / (F.sum(weight).over(context) + F.count(F.lit(1)).over(context))).alias("log")))
+    edges = _collected(longest.where(F.col("n") >= _least(counts, "gram", MOST_EDGES)).select("key", "log"))
     common = _least(counts, "word", MOST_WORDS)
-    found = counts.where((F.col("kind") == "word") & (F.col("n") >= common)).select("key", "n").toArrow()
-    words = _hashed(np.asarray(found.column("key"), dtype=np.int64).view(np.uint64), np.asarray(found.column("n"), dtype=np.int64))
+    words = _collected(counts.where((F.col("kind") == "word") & (F.col("n") >= common)).select("key", "n"))
     tokens = counts.where("kind <> 'gram'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("kind") == "end", F.col("n"))), F.lit(0)).alias("ends")).first()
-    model = spark.sparkContext.broadcast({"trie": build_trie(edges), "words": words})
+    model = spark.sparkContext.broadcast({"edges": edges, "words": words})
+    del edges, words
     kept = [f for f in docs.schema if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", row long, n_tokens long, known long, logs double, rare array<bigint>, score double"
-    scored = docs.mapInArrow(_score(model), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", row long, n_tokens long, known long, logs double, rare array<bigint>, edges array<bigint>, times array<bigint>, score double"
+    scored = stored(docs.mapInArrow(_score(model), schema))
+    model.destroy()  # the texts are scored; the driver need not hold the tables during the joins
+    del model
+    pa.default_memory_pool().release_unused()
     if common > 1:
-        scored = stored(scored)
         rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").count()
         seen = rare.join(counts.where((F.col("kind") == "word") & (F.col("n") < common)), "key", "left")
         more = seen.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("more_known"), F.sum(F.col("count") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
         scored = scored.join(more, "row", "left").withColumns({"more_known": F.coalesce("more_known", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
     else:
         scored = scored.withColumns({"more_known": F.lit(0), "more_logs": F.size("rare") * float(np.log10(0.5))})
+    pairs = scored.select("row", F.explode(F.arrays_zip("edges", "times")).alias("e")).select("row", F.col("e.edges").alias("key"), F.col("e.times").alias("times"))
+    keys = pairs.select("key").distinct().join(longest.select("key", "log"), "key", "left")
+    keys = stored(keys)
+    lengths = keys.where("log is not null").unionByName(_escaped(keys.where("log is null"), orders))
+    more = pairs.join(lengths, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    scored = scored.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     end, each = float(np.log10(tokens["ends"] + 0.5)), float(np.log10(tokens["n"] + 0.5 * (tokens["v"] + 1)))
     return scored.select(
         *[F.col(f"`{f.name}`") for f in kept],

@@ -200,6 +200,22 @@ def test_rare_words_go_through_the_join(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in ppm.ppm_scores(d, learn).collect()) == want
 
 
+def test_rare_edges_go_through_the_joins(spark, monkeypatch):
+    rows = texts(40)
+    d = spark.createDataFrame([*rows, (100, "kolmzz qux ta\x00ri 日本 ne", "en")], DOCS)
+    keys = np.unique(np.concatenate([k for k, _, _ in ppm._keys([t for i, t, _ in rows if i % 3 != 1])]), return_counts=True)
+    edges = []
+    for k in range(ppm.ORDER + 1):
+        e, inverse = np.unique(keys[0] & ppm._mask(k + 1), return_inverse=True)
+        edges.append((e, np.bincount(inverse, weights=keys[1]).astype(np.int64)))
+    trie = ppm.build_trie(edges)
+    want = {r.doc_id: ppm.code_lengths(trie, next(ppm._keys([r.text]))[0]).sum() for r in d.collect()}
+    for most in (2_000_000, 50, 0):
+        monkeypatch.setattr(ppm, "MOST_EDGES", most)
+        got = {r.doc_id: r.score for r in ppm.ppm_scores(d, (F.col("doc_id") % 3 != 1) & (F.col("doc_id") < 100)).collect()}
+        assert got == pytest.approx(want, rel=1e-6)
+
+
 def test_ppm_without_training(spark):
     r = ppm.ppm_scores(spark.createDataFrame([(1, "ab", "x"), (2, None, "x")], DOCS), F.lit(False)).orderBy("doc_id").collect()
     assert [x.n_known for x in r] == [0, 0] and r[0].score == pytest.approx(-3 * np.log10(256)) and r[0].train_tokens == 0
