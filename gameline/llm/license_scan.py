@@ -34,7 +34,10 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright, all rights reserved, no part may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
 )
+#: Names that count only where no other license matches, as texts that grant a license reserve rights as well.
+LAST = frozenset({"Proprietary"})
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -60,6 +63,15 @@ def _line_counts(vocabulary: list[str]):
     return run
 
 
+def _better(best: tuple[float, str | None], found: tuple[float, str | None]) -> tuple[float, str | None]:
+    """The one that counts; of equal ones the first."""
+    if found[1] is None or best[1] is None:
+        return best if found[1] is None else found
+    if (found[1] in LAST) != (best[1] in LAST):
+        return best if found[1] in LAST else found
+    return found if found[0] > best[0] + 1e-12 else best
+
+
 class Matcher:
     def __init__(self, templates, lines: int, df: dict[str, int], threshold: float) -> None:
         self.threshold = threshold
@@ -87,8 +99,8 @@ class Matcher:
         best = (0.0, None)
         for name, v in self.vectors:
             s = sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
-            if s >= self.threshold and s > best[0] + 1e-12:
-                best = (s, name)
+            if s >= self.threshold:
+                best = _better(best, (s, name))
         return best
 
     def text(self, text: str | None) -> tuple[float, str | None]:
@@ -96,9 +108,7 @@ class Matcher:
         if text and self.prefix.search(text):
             for line in text.split("\n"):
                 if self.prefix.search(line):
-                    found = self.line(line)
-                    if found[0] > best[0] + 1e-12:
-                        best = found
+                    best = _better(best, self.line(line))
         return best
 
 

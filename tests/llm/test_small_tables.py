@@ -342,6 +342,14 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "GPL-3.0", "src/a"), 3: ("GPL-3.0", "GPL-3.0", None), 4: ("Apache-2.0", "Apache-2.0", None), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 6: (None, None, None), 7: (None, None, None), 8: (None, None, None), 9: (None, "MIT", "src")}
 
 
+def test_every_notice_of_the_tables_is_found(spark):
+    notices = {"All rights reserved.": "Proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    rows = [(i, f"d{i}/x", f"kolm ta ri\n{t}\nne su") for i, t in enumerate(notices)] + [(100 + i, f"n{i}/x", "kolm ta ri ne su") for i in range(30)]
+    rows.append((99, "both/x", "All rights reserved.\nReleased under the MIT License."))
+    got = {r.doc_id: r.own_license for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices.values()) and got[99] == "MIT" and got[100] is None
+
+
 def test_license_prefix_loses_no_line():
     r = random.Random(1)
     words = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.terms(t)})
