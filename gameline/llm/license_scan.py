@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine of text lines to license templates, then inheritance from directories.
 
 Terms are the words of the templates; their document frequencies are counted over all lines of all texts, and a word
-that no template has weighs as one that occurs once. A line matches its nearest template at a cosine of THRESHOLD or
-more. A file takes the license of its own best line; a file without one takes that of the nearest directory above it
+that no template has weighs as one that occurs once. Compared are the lines of a text, its header block (up to the first
+blank line), a license file as a whole, and every span of a template's length anywhere in the text, also across line ends.
+Each matches its nearest template at a cosine of THRESHOLD or more. A file takes the license of its own best match; a file without one takes that of the nearest directory above it
 that has a license file, found by joining directories with their ancestors.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gameline.llm.common import table, text_batches
+from gameline.llm.common import stored, table, text_batches
 
 THRESHOLD = 0.6
 #: Statements by which files name a license, the usual wording of each.
@@ -36,8 +37,27 @@ TEMPLATES = (
     ("Proprietary", "Copyright, all rights reserved, no part may be reproduced without permission."),
     ("Proprietary", "All rights reserved."),
 )
+_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices of several lines, and license texts or how they begin. They are compared with spans, headers and files only.
+LONG_TEMPLATES = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", _CONDITIONS + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
+    ("BSD-3-Clause", _CONDITIONS + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
 #: Names that count only where no other license matches, as texts that grant a license reserve rights as well.
 LAST = frozenset({"Proprietary"})
+_FILE = re.compile(r"(licen[sc]e|copying)([.-].*)?$", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -73,16 +93,16 @@ def _better(best: tuple[float, str | None], found: tuple[float, str | None]) ->
 
 
 class Matcher:
-    def __init__(self, templates, lines: int, df: dict[str, int], threshold: float) -> None:
+    def __init__(self, templates, lines: int, df: dict[str, int], threshold: float, long=()) -> None:
         self.threshold = threshold
         self.other = float(np.log((1 + lines) / 2) + 1)
-        self.idf = {w: float(np.log((1 + lines) / (1 + df.get(w, 0))) + 1) for _, t in templates for w in terms(t)}
+        self.idf = {w: float(np.log((1 + lines) / (1 + df.get(w, 0))) + 1) for _, t in (*templates, *long) for w in terms(t)}
         self.vectors, needed = [], set()
-        for name, text in templates:
+        for name, text in (*templates, *long):
             v = {w: n * self.idf[w] for w, n in Counter(terms(text)).items()}
             norm = float(np.sqrt(sum(x * x for x in v.values())))
             v = {w: x / norm for w, x in v.items()}
-            self.vectors.append((name, v))
+            self.vectors.append((name, v, len(terms(text))))
             # a line without the heaviest words cannot reach the threshold with the rest
             rest = 1.0
             for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
@@ -92,36 +112,74 @@ class Matcher:
                 rest -= x * x
         self.prefix = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, needed), key=len, reverse=True)) + r")\b", re.I)
 
+        self.ids = {w: i for i, w in enumerate(self.idf)}
+        self.squares = np.array([*(x * x for x in self.idf.values()), self.other**2])
+        self.weights = np.zeros((len(self.vectors), len(self.squares)))
+        for t, (_, v, _) in enumerate(self.vectors):
+            for w, x in v.items():
+                self.weights[t, self.ids[w]] = x * self.idf[w]
+
+    def _cosine(self, counts: Counter, v: dict[str, float]) -> float:
+        norm = float(np.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items())))
+        return sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
+
+    def spans(self, text: str) -> tuple[float, str | None]:
+        """(cosine, template) of the best span of each template's number of words."""
+        words = terms(text)
+        ids = np.array([self.ids.get(w, len(self.ids)) for w in words], dtype=np.int64)
+        square = np.concatenate([[0.0], np.cumsum(self.squares[ids])])
+        best = (0.0, None)
+        for t, (name, v, size) in enumerate(self.vectors):
+            if len(words) < size:
+                continue  # the header or the file as a whole
+            dot = np.concatenate([[0.0], np.cumsum(self.weights[t][ids])])
+            # words that repeat make the norm larger, so this is at least the cosine
+            bound = (dot[size:] - dot[:-size]) / np.sqrt(square[size:] - square[:-size])
+            top = best[0] if (name in LAST) == (best[1] in LAST) else 0.0
+            for i in np.flatnonzero(bound >= self.threshold - 1e-9)[np.argsort(-bound[bound >= self.threshold - 1e-9], kind="stable")].tolist():
+                if bound[i] < top:
+                    break
+                s = self._cosine(Counter(words[i : i + size]), v)
+                if s >= self.threshold:
+                    best = _better(best, (s, name))
+                    top = max(top, s)
+        return best
+
     def line(self, line: str) -> tuple[float, str | None]:
         """(cosine, template) of the nearest template at the threshold or above."""
         counts = Counter(terms(line))
         norm = float(np.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items())))
         best = (0.0, None)
-        for name, v in self.vectors:
+        for name, v, _ in self.vectors:
             s = sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
             if s >= self.threshold:
                 best = _better(best, (s, name))
         return best
 
-    def text(self, text: str | None) -> tuple[float, str | None]:
+    def text(self, text: str | None, whole: bool = False) -> tuple[float, str | None]:
         best = (0.0, None)
         if text and self.prefix.search(text):
             for line in text.split("\n"):
                 if self.prefix.search(line):
                     best = _better(best, self.line(line))
+            best = _better(best, self.line(re.split(r"\n[^a-zA-Z0-9\n]*\n", text.strip(), maxsplit=1)[0]))
+            if whole:
+                best = _better(best, self.line(text))
+            best = _better(best, self.spans(text))
         return best
 
 
 def _match(matcher):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
-            found = [matcher.value.text(t) for t in batch.column("text").to_pylist()]
+            named = [bool(p and _FILE.match(p.rsplit("/", 1)[-1])) for p in batch.column("path").to_pylist()]
+            found = [matcher.value.text(t, n) for t, n in zip(batch.column("text").to_pylist(), named)]
             yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, "own_license": pa.array([n for _, n in found], pa.string()), "own_score": pa.array([s for s, _ in found], pa.float64())})
 
     return run
 
 
-def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, long=LONG_TEMPLATES) -> DataFrame:
     """The columns of files but text, with own_license, own_score (0 without a match), license and inherited_from.
 
     files has path and text. The name after the last slash decides: LICENSE, LICENCE or COPYING, with any ending, is a
@@ -131,11 +189,12 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     """
     spark = files.sparkSession
     files = files.drop("own_license", "own_score", "license", "inherited_from", "dir").withColumn("text", F.col("text").cast("string"))
-    vocabulary = sorted({w for _, t in templates for w in terms(t)})
+    vocabulary = sorted({w for _, t in (*templates, *long) for w in terms(t)})
     df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_line_counts(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the templates
-    matcher = spark.sparkContext.broadcast(Matcher(templates, df.get("", 0), df, threshold))
+    matcher = spark.sparkContext.broadcast(Matcher(templates, df.get("", 0), df, threshold, long))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text")
     own = files.mapInArrow(_match(matcher), f"{schema}, own_license string, own_score double")
+    own = stored(own)  # read three times below
     own = own.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(?i)(licen[sc]e|copying)([.-].*)?$")
     best = F.min_by("own_license", F.struct(-F.col("own_score"), F.col("own_license")))

@@ -350,6 +350,19 @@ def test_every_notice_of_the_tables_is_found(spark):
     assert [got[i] for i in range(len(notices))] == list(notices.values()) and got[99] == "MIT" and got[100] is None
 
 
+def test_license_texts_headers_and_long_lines(spark):
+    mit = next(t for n, t in license_scan.LONG_TEMPLATES if n == "MIT")
+    apache = next(t for n, t in license_scan.LONG_TEMPLATES if n == "Apache-2.0").split()
+    filler = " ".join(WORDS * 4)
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020 X. All rights reserved.\n\n" + "\n".join(" ".join(mit.split()[i : i + 6]) for i in range(0, 90, 6))),
+        (2, "a/b/x.py", "code"), (3, "c/x.py", "\n".join("# " + " ".join(apache[i : i + 5]) for i in range(0, len(apache), 5)) + "\n\ncode"),
+        (4, "d/x", f"{filler} Licensed under CC BY-NC 4.0. {filler}"), (5, "e/x", filler),
+    ] + [(10 + i, f"n{i}/x", filler) for i in range(30)]
+    got = {r.doc_id: (r.own_license, r.license) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(1, 6)] == [("MIT", "MIT"), (None, "MIT"), ("Apache-2.0", "Apache-2.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), (None, None)]
+
+
 def test_license_prefix_loses_no_line():
     r = random.Random(1)
     words = sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.terms(t)})
