@@ -115,7 +115,7 @@ def _repeats(each: int):
                 count = seen.setdefault(x["block"], np.zeros(each, dtype=np.uint16))
                 once, many, n = array_of(x["once"], "u4"), array_of(x["many"], "u4"), array_of(x["count"], "u4")
                 count[once] = np.minimum(count[once], HOT) + 1
-                count[many] = np.minimum(count[many], HOT) + np.minimum(n, HOT).astype(np.uint16)
+                count[many] = np.minimum(count[many].astype(np.uint32) + np.minimum(n, HOT), HOT)  # a sum of two may not fit 16 bits
         for block, count in seen.items():
             yield pa.record_batch({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(count > 1).tobytes()], pa.binary()), "hot": pa.array([np.flatnonzero(count >= HOT).astype(np.uint32).tobytes()], pa.binary())})
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,13 @@ def test_merged_transforms_find_the_repeats():
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("last", [5_536, 5_537, 60_000])
+def test_slot_counts_do_not_wrap(last):
+    units = [{"block": 0, "once": b"", "many": np.array([3], dtype="u4").tobytes(), "count": np.array([n], dtype="u4").tobytes()} for n in (60_000, last)]
+    out = next(suffix_dedup._repeats(16)(iter([pa.RecordBatch.from_pylist(units, schema=suffix_dedup._SLOTS)]))).to_pylist()[0]
+    assert np.unpackbits(np.frombuffer(out["bits"], dtype=np.uint8))[3] == 1 and np.frombuffer(out["hot"], dtype="u4").tolist() == [3]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
     r = suffix_dedup.suffix_dedup(spark.createDataFrame([(None, "a" * 300, "x")], DOCS)).first()
