@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Terms of the Poisson sums; enough for rates up to 30.
 TERMS = 150
 EPS = 2.220446049250313e-16
 
 
-def poisson_outcomes(home: Column, away: Column) -> Column:
-    """struct(win, tie): P(H > A) and P(H = A) for independent Poisson counts, by the recurrence of their masses."""
-    start = F.struct(F.exp(-home).alias("h"), F.exp(-away).alias("a"), F.exp(-away).alias("below"), F.lit(0.0).alias("win"), (F.exp(-home) * F.exp(-away)).alias("tie"))
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("win", "tie", "lose")]))
+def _outcomes(home: pd.Series, away: pd.Series) -> pd.DataFrame:
+    """All rows of an Arrow batch take a step of the masses' recurrence at once."""
+    x, y = home.to_numpy(dtype=float), away.to_numpy(dtype=float)
+    h, a = np.exp(-x), np.exp(-y)
+    h_below, a_below, win, lose, tie = h.copy(), a.copy(), np.zeros(len(x)), np.zeros(len(x)), h * a
+    for k in range(1, TERMS + 1):
+        h, a = h * x / k, a * y / k
+        win += h * a_below
+        lose += a * h_below
+        tie += h * a
+        h_below += h
+        a_below += a
+    return pd.DataFrame({"win": win, "tie": tie, "lose": lose})
+
 
-    def step(s, k):
-        h, a = s["h"] * home / k, s["a"] * away / k
-        return F.struct(h.alias("h"), a.alias("a"), (s["below"] + a).alias("below"), (s["win"] + h * s["below"]).alias("win"), (s["tie"] + h * a).alias("tie"))
+def poisson_outcomes(home: Column, away: Column) -> Column:
+    """struct(win, tie, lose): P(H > A), P(H = A) and P(H < A) for independent Poisson counts; null where a rate is.
 
-    return F.when(home.isNotNull() & away.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: F.struct(s["win"].alias("win"), s["tie"].alias("tie"))))
+    The sums have no built-in form that Spark compiles: as a higher-order aggregate they are interpreted, 150 steps a
+    row and again for every field read, so they run on Arrow batches, once a row for equal arguments."""
+    return F.when(home.isNotNull() & away.isNotNull(), _outcomes(home.cast("double"), away.cast("double")))
 
 
 def clipped(x: Column, low: float, high: float | None = None) -> Column:
@@ -39,7 +55,7 @@ def win_strict(home: Column, away: Column) -> Column:
 
 def inference_win(home: Column, away: Column, swap_lambdas: bool = True) -> Column:
     """Strict win probability as predictions use it: with the rates swapped unless told otherwise."""
-    return win_strict(away, home) if swap_lambdas else win_strict(home, away)
+    return poisson_outcomes(clipped(home, 1e-9), clipped(away, 1e-9))["lose" if swap_lambdas else "win"]
 
 
 def normal_cdf(x: Column) -> Column:

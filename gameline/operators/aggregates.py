@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gameline.functions import odds as O
@@ -27,9 +27,12 @@ def earliest_commence(odds: DataFrame) -> DataFrame:
 
 
 def lineup_vectors(batters: DataFrame) -> DataFrame:
-    """Mean skill against each pitch type over a lineup's batters with all eight numbers, and the mean of the means."""
-    whole = batters.dropna(subset=list(SKILLS)).groupBy("game_id", "is_home").agg(*[F.avg(c).alias(c) for c in SKILLS])
-    out = batters.select("game_id", "is_home").distinct().join(whole, ["game_id", "is_home"], "left")
+    """Mean skill against each pitch type over a lineup's batters with all eight numbers, and the mean of the means;
+    nulls for a lineup without such a batter."""
+    whole = F.lit(True)
+    for c in SKILLS:
+        whole = whole & F.col(c).isNotNull()
+    out = batters.groupBy("game_id", "is_home").agg(*[F.avg(F.when(whole, F.col(c))).alias(c) for c in SKILLS])
     total = F.col(SKILLS[0])
     for c in SKILLS[1:]:
         total = total + F.col(c)
@@ -98,10 +101,16 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def top_bets(df: DataFrame, k: int, min_books: int) -> DataFrame:
-    """The k best edges among games with enough books, or with any where none has enough; no market, no bet."""
+    """The k best edges among games with enough books, or with any where none has enough; no market, no bet.
+
+    Both tiers are cut to k rows, already in the tasks that make them; the choice is made on what is left of both."""
     n = F.coalesce(F.col("n_books"), F.lit(0))
-    enough = not df.where(n >= min_books).isEmpty()
-    return df.where(n >= (min_books if enough else 1)).dropna(subset=["p_home_model", "p_home_market_median"]).where("best_side <> 'NO_BET'").orderBy(F.desc("best_edge"), "game_id").limit(k)
+    bet = F.col("p_home_model").isNotNull() & F.col("p_home_market_median").isNotNull() & (F.col("best_side") != "NO_BET")
+    tiers = df.where(n >= 1).withColumns({"__enough": n >= min_books, "__bet": F.coalesce(bet, F.lit(False))})
+    order = [F.desc("__bet"), F.desc("best_edge"), "game_id"]
+    rows = tiers.withColumn("__rank", F.row_number().over(Window.partitionBy("__enough").orderBy(*order))).where(F.col("__rank") <= k)
+    rows = rows.withColumn("__any", F.max("__enough").over(Window.partitionBy(F.lit(1))))
+    return rows.where("__bet and (__enough or not __any)").orderBy(F.desc("best_edge"), "game_id").limit(k).drop("__enough", "__bet", "__rank", "__any")
 
 
 def largest_edges(df: DataFrame, k: int = 5) -> DataFrame:
