@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -11,6 +13,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gameline.functions.prob import clipped
 
@@ -29,9 +32,12 @@ def fit_runs(train: DataFrame, features: list[str], target: str, power: float =
     return Pipeline(stages=[*_assembled(features), glm]).fit(_doubles(train, [*features, target]))
 
 
-def fit_win(train: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4) -> PipelineModel:
-    """Boosted trees for a home win."""
+def fit_win(train: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 6, validation: str | None = None) -> PipelineModel:
+    """Boosted trees for a home win. Rows where the boolean column validation is true are not learned from: boosting
+    stops where their loss no longer falls."""
     gbt = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=7)
+    if validation:
+        gbt = gbt.setParams(validationIndicatorCol=validation)
     return Pipeline(stages=[*_assembled(features), gbt]).fit(_doubles(train, [*features, label]))
 
 
@@ -40,11 +46,22 @@ def score(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame
     return model.transform(_doubles(df, features)).drop(*drop)
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """The simplest object with predict(array)."""
+
+    weights: tuple[float, ...]
+    intercept: float = 0.0
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return x @ np.array(self.weights) + self.intercept
+
+
 def score_any(df: DataFrame, model, features: list[str], name: str) -> DataFrame:
     """Scores of an object with predict(array), batch by batch on the executors."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(sent.value.predict(batch[features].to_numpy(dtype=float)))

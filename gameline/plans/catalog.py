@@ -205,7 +205,10 @@ def _(spark, d):
     return rounded(A.binary_report(judged(spark, d).withColumn("p_model", F.round("p_model", 9)), "p_model", "y"))
 
 
-@query("a4_regression_report", "WITH x AS (SELECT CASE WHEN g.game_date <= DATE '1996-12-31' THEN 'train' WHEN g.game_date <= DATE '1997-12-31' THEN 'val' ELSE 'test' END AS split, g.home_runs AS y, r.home_runs_pred AS p FROM {v_games} g JOIN {v_run_preds} r USING (game_id) WHERE g.home_runs IS NOT NULL AND r.home_runs_pred IS NOT NULL AND g.game_date <= DATE '1998-12-31') SELECT split, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(y), 6) AS mean_true, round(avg(p), 6) AS mean_pred FROM x GROUP BY split")
+REGRESSION_SQL = "WITH x AS (SELECT CASE WHEN g.game_date <= DATE '1996-12-31' THEN 'train' WHEN g.game_date <= DATE '1997-12-31' THEN 'val' ELSE 'test' END AS split, g.home_runs AS y, r.home_runs_pred AS p FROM {v_games} g JOIN {v_run_preds} r USING (game_id) WHERE g.home_runs IS NOT NULL AND r.home_runs_pred IS NOT NULL AND g.game_date <= DATE '1998-12-31') SELECT split, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(y), 6) AS mean_true, round(avg(p), 6) AS mean_pred FROM x GROUP BY split"
+
+
+@query("a4_regression_report", REGRESSION_SQL)
 def _(spark, d):
     g = P_.with_target(v(spark, d, "v_games").join(v(spark, d, "v_run_preds"), "game_id").dropna(subset=["home_runs_pred"]), "home_runs")
     return rounded(A.regression_report(P_.split_by_date(g, "1996-12-31", "1997-12-31", "1998-12-31"), "home_runs", "home_runs_pred"))
@@ -429,14 +432,6 @@ def _(spark, d):
     return M.run_columns(out, "home_p", "away_p").select("game_id", "split", "home_runs_pred", "away_runs_pred", "total_runs_pred", "run_diff_pred")
 
 
-@query("m3_win_model")
-def _(spark, d):
-    f, names = _trainable(spark, d)
-    model = M.fit_win(f.where("split = 'train'"), names, "y", rounds=10, depth=3)
-    scored = M.score(f, model, names).withColumn("p", F.udf(lambda x: float(x[1]), "double")("probability"))
-    return A.binary_report(scored.select("split", "p", "y"), "p", "y")
-
-
 PRED = f"{SKELLAM}, {CONSENSUS}, pred AS (SELECT g.game_id, coalesce(t.team_name, CAST(g.home_team_id AS STRING)) AS home_team, s.lose AS p_home_model, 1 - s.lose AS p_away_model, m.p_home_median AS ph, 1 - m.p_home_median AS pa, m.n_books_ml AS n_books, {_AMERICAN.format('m.p_home_median')} AS hp, {_AMERICAN.format('(1 - m.p_home_median)')} AS ap FROM {{v_games}} g JOIN {{v_run_preds}} r USING (game_id) LEFT JOIN {{v_teams}} t ON g.home_team_id = t.mlb_team_id LEFT JOIN skellam s ON r.home_runs_pred = s.h AND r.away_runs_pred = s.a LEFT JOIN market m ON m.game_id = g.game_id WHERE r.home_runs_pred IS NOT NULL), edge AS (SELECT *, p_home_model - ph AS eh, p_away_model - pa AS ea FROM pred), best AS (SELECT *, CASE WHEN eh IS NULL THEN 'AWAY' WHEN greatest(eh, ea) < 0.01 THEN 'NO_BET' WHEN eh >= ea THEN 'HOME' ELSE 'AWAY' END AS best_side FROM edge), final AS (SELECT *, CASE WHEN best_side <> 'NO_BET' AND eh IS NOT NULL THEN greatest(eh, ea) END AS best_edge, CASE best_side WHEN 'HOME' THEN p_home_model WHEN 'AWAY' THEN p_away_model END AS best_p_model FROM best)"
 
 
@@ -479,6 +474,8 @@ for _name, _f, _sql in feed_queries.FEEDS:
     QUERIES[_name] = _f
     SQL[_name] = with_views(_sql)
 
+from gameline.plans import runs  # noqa: E402, F401  adds its queries to those above
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

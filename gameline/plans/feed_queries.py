@@ -88,14 +88,7 @@ def s7(spark, d):
 
 
 def s8(spark, d):
-    return _lineups(view(spark, d, "v_lineups").where(f"game_id % {BUCKETS} < 20"))
-
-
-def s8_all(spark, d):
-    return _lineups(view(spark, d, "v_lineups"))
-
-
-def _lineups(x):
+    x = view(spark, d, "v_lineups")
     order = F.sort_array(F.collect_list(F.struct("batting_order", F.when(F.col("batting_order") == 4, F.lit("IDx")).otherwise(F.concat(F.lit("ID"), F.col("player_id").cast("string"))).alias("id"))))
     side = x.groupBy("game_id", "game_date", "is_home").agg(F.first("team_id").alias("team_id"), F.transform(order, lambda s: s["id"]).alias("ids"), F.collect_set(F.concat(F.lit("ID"), F.col("player_id").cast("string"))).alias("players"))
     one = lambda p: F.struct(p.alias("key"), F.struct(F.struct(F.struct(F.when(F.right(p, F.lit(1)) != "0", "L").alias("code")).alias("batSide")).alias("person"), F.struct(F.lit("").alias("code"), F.lit("  Switch hitter ").alias("description")).alias("batSide"), F.struct(F.lit("").alias("abbreviation"), F.lit("Shortstop").alias("name")).alias("position")).alias("value"))
@@ -135,8 +128,8 @@ FEEDS = [
     ("s7_entry_context", s7, """WITH c AS (SELECT a.*, g.home_team_id, g.away_team_id, a.pitcher_id % 2 = 0 AS top FROM {v_appearances} a JOIN {v_games} g USING (game_id) WHERE a.inning_entered IS NOT NULL),
  s AS (SELECT *, coalesce((SELECT sum((game_id + i) % 3) FROM (SELECT unnest(range(1, 10)) AS i) WHERE i < inning_entered), 0) AS h, coalesce((SELECT sum((game_id + 2 * i) % 4) FROM (SELECT unnest(range(1, 10)) AS i) WHERE i < inning_entered OR (i = inning_entered AND NOT top)), 0) AS a FROM c)
  SELECT game_id, CASE WHEN top THEN home_team_id ELSE away_team_id END AS team_id, pitcher_id, inning_entered, outs_on_entry, CAST(CASE WHEN top THEN h - a ELSE a - h END AS INTEGER) AS score_diff_on_entry, inning_entered >= 7 AND abs(h - a) <= 2 AS is_high_leverage FROM s"""),
-    ("s8_lineups", s8, f"SELECT game_id, game_date, team_id, is_home, CASE WHEN batting_order > 4 THEN batting_order - 1 ELSE batting_order END AS batting_order, player_id, CASE WHEN player_id % 10 <> 0 THEN 'L' ELSE 'Switch hit' END AS bats, 'Shortstop' AS pos FROM {{v_lineups}} WHERE game_id % {BUCKETS} < 20 AND batting_order <> 4 AND team_id <> 0"),
-    ("s8_lineups_all", s8_all, "SELECT game_id, game_date, team_id, is_home, CASE WHEN batting_order > 4 THEN batting_order - 1 ELSE batting_order END AS batting_order, player_id, CASE WHEN player_id % 10 <> 0 THEN 'L' ELSE 'Switch hit' END AS bats, 'Shortstop' AS pos FROM {v_lineups} WHERE batting_order <> 4 AND team_id <> 0"),
+    ("s8_lineups", s8, "SELECT game_id, game_date, team_id, is_home, CASE WHEN batting_order > 4 THEN batting_order - 1 ELSE batting_order END AS batting_order, player_id, CASE WHEN player_id % 10 <> 0 THEN 'L' ELSE 'Switch hit' END AS bats, 'Shortstop' AS pos FROM {v_lineups} WHERE batting_order <> 4 AND team_id <> 0"),
+    ("s8_lineups_all", s8, "SELECT game_id, game_date, team_id, is_home, CASE WHEN batting_order > 4 THEN batting_order - 1 ELSE batting_order END AS batting_order, player_id, CASE WHEN player_id % 10 <> 0 THEN 'L' ELSE 'Switch hit' END AS bats, 'Shortstop' AS pos FROM {v_lineups} WHERE batting_order <> 4 AND team_id <> 0"),
     ("s9_odds", s9, "WITH x AS (SELECT *, row_number() OVER (PARTITION BY game_id, sportsbook ORDER BY pulled_at DESC, t1 DESC, t2 DESC, t3 DESC, t4 DESC) AS rn FROM {v_odds} WHERE market = 'h2h' AND game_id % 2 = 0) SELECT g.home_team_name AS home_team, g.away_team_name AS away_team, x.sportsbook, x.home_price, x.away_price FROM x JOIN {v_games} g USING (game_id) WHERE rn = 1"),
     ("s11_hourly_weather", s11, "SELECT venue_id, hour, round(temp_c * 9.0 / 5.0 + 32.0, 6) AS temp_f, round(temp_c / 2 * 0.621371, 6) AS wind_mph, CASE WHEN row_number() OVER (PARTITION BY venue_id ORDER BY hour) = 1 THEN CAST(1 AS DOUBLE) END AS precip_in, CAST(NULL AS DOUBLE) AS humidity FROM {v_hourly}"),
     ("s12_schedule_commence", s12, f"SELECT game_id, {_AT} AS commence_time FROM {{v_games}}"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a run's table under spark.checkpoint.dir, which all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/gameline-{name}-{uuid.uuid4().hex}"
+
+
 def month_ranges(season: int, first: int = 3, last: int = 11, season_end: str | None = None) -> list[tuple[str, str]]:
     """First and last day of each month from March to November, cut at the season's end."""
     end = min(dt.date(season, last, calendar.monthrange(season, last)[1]), dt.date(season, 11, 30), dt.date.fromisoformat(season_end) if season_end else dt.date.max)

@@ -53,3 +53,18 @@ def test_entry(spark):
     assert set(catalog.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     if HAVE:
         assert e.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_model_reports_are_sane(spark):
+    q = catalog.queries()
+    for name in ("m2_a4_run_report", "m2_u3_team_run_model"):
+        r = q[name](spark, SF).toPandas()
+        assert sorted(set(r.split)) == ["test", "train", "val"] and set(r.side) == {"home", "away"}
+        # runs are 0 to 9 and have nothing to do with the features, so the error is about that of their mean
+        assert r.rmse.between(2, 4).all() and (r.mae <= r.rmse).all() and r[r.split == "train"].mean_pred.sub(4.5).abs().max() < 0.5
+    win = q["m3_win_model"](spark, SF).toPandas()
+    assert win.auc.between(0, 1).all() and win.set_index("split").auc["train"] > 0.5
+    gains = q["t3_k7_importances"](spark, SF).toPandas()
+    assert gains.gain.is_monotonic_decreasing or sorted(gains.gain)[::-1] == gains.gain.tolist()
+    assert gains.gain.sum() == pytest.approx(1) and set(gains.feature) == {f"{s}_{c}" for s in ("home", "away") for c in ("win_pct_30", "runs_for_30", "runs_against_30", "avg_runs_scored_60", "avg_runs_allowed_60", "games_in_window_60")}
