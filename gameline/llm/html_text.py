@@ -4,9 +4,10 @@ A page becomes the tree of its block elements; inline markup, comments, scripts
 gets features of its own, its subtree, its ancestors and its siblings; trees give the probability that it is part of
 the article or holds it. Decoding picks the likeliest labelling in which nothing is kept below a dropped node.
 
-The trees learn from pages of the table itself: what stands in an article element is kept. To carry over to pages
-without such elements, the sample's pages are also rewritten with other tags and class names, and with sidebars,
-comments, notices and forms around and inside the article.
+The trees learn from pages of the table itself that have an article element: what stands in it is kept. To carry over
+to pages without such elements, the sample's pages are also rewritten with other tags and class names, and with
+sidebars, comments, notices and forms around and inside the article. Some made-up pages are always learned from as well,
+so that a table without any article element has a model too.
 """
 
 from __future__ import annotations
@@ -24,10 +25,24 @@ from pyspark.sql import functions as F
 from gameline.llm import trees
 from gameline.llm.common import table, text_batches
 
-#: Pages that the trees are fitted on: those with the smallest hash of their html.
-SAMPLE = 300
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|title|textarea|select|button|object|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Pages that the trees are fitted on: of those of at most SAMPLE_BYTES with an article, the smallest hashes of their html.
+SAMPLE, SAMPLE_BYTES = 300, 200_000
+#: Made-up pages that the trees are fitted on besides.
+MADE = 40
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_BLOCKS = "p|div|section|article|main|aside|nav|header|footer|form|ul|ol|li|dl|dt|dd|table|tr|td|th|h[1-6]|blockquote|pre|figure|body|html"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    # raw text, which only its own end tag or the page's end closes
+    rf"|<(script|style|noscript|template|iframe|title|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    # controls and drawings, if they are closed before the next block; else their tag counts for nothing
+    rf"|<(svg|select|button|object|canvas|video|audio)\b{_ATTRIBUTES}(?<!/)>(?:(?!</?(?:{_BLOCKS})\b).)*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Marks a training label in a rewritten page; pages themselves are learned from without this character.
+_MARK = "\0"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _GROUPS = (("article", "main"), ("nav", "menu"), ("footer",), ("header",), ("aside",), ("form", "fieldset", "label", "legend", "dialog"), ("p", "blockquote", "pre", "figure", "figcaption"), ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), ("ul", "ol", "li", "dl", "dt", "dd"), ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("div", "section", "details", "summary", "center", "address", "hr"), ("html", "body"), ("head",))
 _GROUP = {tag: i for i, tags in enumerate(_GROUPS) for tag in tags}
@@ -49,7 +64,8 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": (
 class Forest:
     """Block elements and text blocks of many pages; a parent's number is smaller than its children's."""
 
-    def __init__(self) -> None:
+    def __init__(self, training: bool = False) -> None:
+        self.training = training
         self.page, self.parent, self.depth, self.group, self.words, self.label = [], [], [], [], [], []
         self.link, self.tags = [], []
         self.blocks: list[tuple[int, str]] = []  # node, text
@@ -57,12 +73,10 @@ class Forest:
     def node(self, page: int, parent: int, tag: str, attributes: str) -> int:
         hits, label = 0, -1
         if attributes:
-            for name, a, b, c in _ATTRIBUTE.findall(attributes):
-                value = (a or b or c).lower()
-                if name.lower() == "data-y":
-                    label = int(value)
-                    continue
-                for w in _SPLIT.split(value):
+            if self.training and _MARK in attributes:
+                label = int(attributes[attributes.index(_MARK) + 1])
+            for _, a, b, c in _ATTRIBUTE.findall(attributes):
+                for w in _SPLIT.split((a or b or c).lower()):
                     for i in _WORD.get(w, ()):
                         hits |= 1 << i
         self.page.append(page)
@@ -94,10 +108,10 @@ class Forest:
                 if links:
                     self.link[stack[-1][1]] += m.start() - at
             at = m.end()
-            tag = m.group(3)
+            tag = m.group(4)
             if tag is None:
                 continue
-            tag, closing = tag.lower(), m.group(2)
+            tag, closing = tag.lower(), m.group(3)
             if tag not in _GROUP:
                 if tag == "br":
                     run.append(" ")
@@ -129,7 +143,7 @@ class Forest:
                     if stack[i][0] in ends:
                         del stack[i:]
                         break
-            stack.append((tag, self.node(page, stack[-1][1], tag, m.group(4))))
+            stack.append((tag, self.node(page, stack[-1][1], tag, m.group(5))))
         if at < len(source):
             run.append(source[at:])
         flush()
@@ -209,14 +223,14 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
         open_, close = rng.choice([("aside", "aside"), ("div", "div"), ("section", "section")])
         name = rng.choice([("sidebar", "widget", "related"), ("comments", "comment", "reply"), ("cookie-notice", "alert", "newsletter"), ("share", "social", "search"), ("ad", "promo", "sponsored")][kind % 5])
         if kind == 0:
-            return f'<{open_} class="{name}" data-y="0"><h3>{" ".join(sentence().split()[:3])}</h3><ul>{links}</ul></{close}>'
+            return f'<{open_} class="{name}" {_MARK}0><h3>{" ".join(sentence().split()[:3])}</h3><ul>{links}</ul></{close}>'
         if kind == 1:
-            return f'<section class="comments" data-y="0">' + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randrange(1, 4))) + "</section>"
+            return f'<section class="comments" {_MARK}0>' + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randrange(1, 4))) + "</section>"
         if kind == 2:
-            return f'<form action="/s" data-y="0"><label>{" ".join(sentence().split()[:2])}</label><input name="q"><p>{sentence()}</p></form>'
+            return f'<form action="/s" {_MARK}0><label>{" ".join(sentence().split()[:2])}</label><input name="q"><p>{sentence()}</p></form>'
         if kind == 3:
-            return f'<aside data-y="0"><p>{sentence()}</p><ul>{links}</ul></aside>'
-        return f'<div class="{name}" data-y="0"><p>{sentence()}</p></div>'
+            return f'<aside {_MARK}0><p>{sentence()}</p><ul>{links}</ul></aside>'
+        return f'<div class="{name}" {_MARK}0><p>{sentence()}</p></div>'
 
     nav = rng.choice(["nav", "menu", "navbar", "breadcrumbs"])
     source = source.replace("<nav>", f'<div class="{nav}">').replace("</nav>", "</div>") if rng.random() < 0.6 else source
@@ -229,20 +243,41 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
     after = extra() + (extra() if rng.random() < 0.5 else "")
     open_, close = rng.choice([("<article", "</article>"), ("<main", "</main>"), ('<div class="post-content"', "</div>"), ('<div id="content"', "</div>"), ("<div", "</div>"), ('<section class="entry"', "</section>")])
     before = extra() if rng.random() < 0.4 else ""
-    return source.replace("<article>", f'{before}{open_} data-y="1">', 1).replace("</article>", f"{inner}{close}{after}", 1)
+    # functions, so that backslashes of the page's text stay as they are
+    source = re.sub(rf"<article\b{_ATTRIBUTES}>", lambda _: f"{before}{open_} {_MARK}1>", source, count=1, flags=re.I)
+    return re.sub(r"</article\s*>", lambda _: f"{inner}{close}{after}", source, count=1, flags=re.I)
+
+
+def made_pages(n: int, rng: random.Random) -> list[str]:
+    """Pages of invented words with a menu, an advert, an article and a footer."""
+
+    def words(least: int, most: int) -> str:
+        return " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(least, most)))
+
+    def sentences(most: int) -> str:
+        return " ".join(f"{words(4, 14).capitalize()}." for _ in range(rng.randrange(1, most)))
+
+    out = []
+    for _ in range(n):
+        menu = "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randrange(3, 8)))
+        text = "".join(f"<p>{sentences(6)}</p>" for _ in range(rng.randrange(1, 9)))
+        list_ = f"<ul><li>{words(3, 9)}</li><li>{words(3, 9)}</li></ul>" if rng.random() < 0.3 else ""
+        out.append(f'<html><head><title>x</title></head><body><nav><ul>{menu}</ul></nav><div class="ad">{words(3, 9)}</div><article><h1>{words(2, 8)}</h1>{text}{list_}</article><footer>&copy; {words(2, 9)}.</footer></body></html>')
+    return out
 
 
 def fit(pages: list[str], seed: int = 11) -> dict:
-    """Trees from the pages as they are and two rewritten copies of each."""
+    """Trees from the pages with an article, made-up ones, and two rewritten copies of each."""
     rng = random.Random(seed)
-    others = [t for page in pages for t in re.findall(r"<p>([^<]{40,300})", page)][:5000] or ["..."]
-    forest = Forest()
+    pages = [p.replace(_MARK, "") for p in pages if re.search(r"<article\b", p, re.I)] + made_pages(MADE, rng)
+    others = [t for page in pages for t in re.findall(r"<p>([^<]{40,300})", page)][:5000]
+    forest = Forest(training=True)
     for i, page in enumerate(pages):
         forest.add(i, page)
         for _ in range(2):
             forest.add(i, _rewritten(page, others, rng))
     forest.arrays()
-    return trees.fit(forest.features(), forest.labels(), rounds=50, depth=4, rate=0.2) if pages else trees.fit(np.zeros((0, 1)), np.zeros(0))
+    return trees.fit(forest.features(), forest.labels(), rounds=50, depth=4, rate=0.2)
 
 
 def main_texts(pages: list[str | None], model: dict) -> list[str]:
@@ -274,9 +309,11 @@ def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Null and empty html gives an empty text; so does a page without a kept block. Blocks follow page order, joined by
     line feeds, with white space inside as one space and character references decoded. Markup that is cut off at the
-    end is dropped with its tag. Columns of pages named text or n_chars are replaced; an empty table gives no rows.
+    end is dropped with its tag; an element that is never closed loses its tag, not the text after it. Repeated rows
+    have equal texts. At most SAMPLE pages are learned from, none of them longer than SAMPLE_BYTES. Columns of pages named text or n_chars are replaced; an empty table gives no rows.
     """
-    chosen = pages.where("html is not null").orderBy(F.xxhash64(F.col("html")), "html").limit(sample).select("html")
+    fits = F.col("html").rlike("(?i)<article\\b") & (F.octet_length("html") <= SAMPLE_BYTES)
+    chosen = pages.where(fits).orderBy(F.xxhash64(F.col("html")), "html").limit(sample).select("html")
     model = pages.sparkSession.sparkContext.broadcast(fit([r["html"] for r in chosen.toLocalIterator()]))
     pages = pages.drop("text", "n_chars").withColumn("html", F.col("html").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html")

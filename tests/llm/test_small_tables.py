@@ -288,6 +288,35 @@ def test_html_text(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_articles_and_with_odd_markup(spark):
+    r = random.Random(7)
+    some = lambda n=30: " ".join(r.choice(WORDS) for _ in range(n)) + "."
+    page = '<html><body><nav><ul><li><a href="/a">ax</a></li><li><a href="/b">bx</a></li></ul></nav><main class="content"><h1>%s</h1>%s</main><footer>&copy; somebody</footer></body></html>'
+    parts = [(some(6), [some() for _ in range(4)]) for _ in range(20)]
+    rows = [(i, page % (h, "".join(f"<p>{t}</p>" for t in ts))) for i, (h, ts) in enumerate(parts)]
+    a, b, c = some(), some(), some()
+    odd = {
+        "label": (f'<p data-y="left">{a}</p><p data-y="0">{b}</p><p data-y=1>{c}</p>', f"{a}\n{b}\n{c}"),
+        "button": (f"<p>{a}</p><button>go<p>{b}</p><p>{c}</p>", f"{a}\ngo\n{b}\n{c}"),
+        "closed button": (f"<p>{a}<button>go</button></p><p>{b}</p><p>{c}</p>", f"{a}\n{b}\n{c}"),
+        "svg": (f'<p>{a}</p><svg width="1"/><p>{b}</p><svg><path d="M0"/></svg><p>{c}</p>', f"{a}\n{b}\n{c}"),
+        "math": (f"<p>{a} <math><mi>x</mi></math></p><p>{b}</p><p>{c}</p>", f"{a} x\n{b}\n{c}"),
+        "slash": (f"<p>{a} \\1 \\g</p><p>{b}</p><p>{c}</p>", f"{a} \\1 \\g\n{b}\n{c}"),
+    }
+    rows += [(100 + i, page % (some(6), x)) for i, (x, _) in enumerate(odd.values())]
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (201, page % (some(6), f"<p>{a}</p>" * 20_000))]
+    got = {x.page_id: x.text for x in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    for i, (h, ts) in enumerate(parts):
+        assert got[i] == "\n".join([h, *ts])
+    for i, (name, (_, want)) in enumerate(odd.items()):
+        assert got[100 + i].split("\n", 1)[1] == want, name
+    assert got[200] == got[0] and got[201].count("\n") == 20_000
+    # the articles of a table's own pages may have attributes
+    own = [(i, h.replace("<main class", "<ARTICLE lang=en class").replace("</main>", "</article >")) for i, h in rows[:20]]
+    again = {x.page_id: x.text for x in html_text.extract_pages(spark.createDataFrame(own, "page_id long, html string")).collect()}
+    assert all(again[i] == "\n".join([h, *ts]) for i, (h, ts) in enumerate(parts))
+
+
 def test_decoding_keeps_nothing_below_a_dropped_node():
     f = html_text.Forest()
     f.add(0, "<body><div><p>a</p><div><p>b</p></div></div><p>c</p></body>")
