@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL(None)
 #: Bytes of text that a task takes at once; larger texts make a batch of their own.
 BATCH_BYTES = 6 << 20
 
@@ -31,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary folder of this session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary folder of this session does on one machine;
+    executors elsewhere would not see it, so on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gameline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,6 +55,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if folder.getName().startswith("gameline-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+                break
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers outlive their tasks, and what one stage
+    leaves in their heaps would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts add up to about limit bytes at most."""
     for batch in batches:
@@ -62,6 +88,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BA
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    trim()
 
 
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -75,8 +102,3 @@ def parts(total: int, each: int, least: int = 1) -> int:
 
 def array_of(data: bytes | None, kind: str) -> np.ndarray:
     return np.frombuffer(data or b"", dtype=kind)
-
-
-def wide_offsets(column) -> pa.Array:
-    """A string column with 64-bit offsets, so that large texts can be joined."""
-    return column.cast(pa.large_string()) if pa.types.is_string(column.type) else column

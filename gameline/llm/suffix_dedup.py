@@ -24,19 +24,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gameline.llm.common import array_of, parts, stored, table, text_batches, total_bytes
+from gameline.llm.common import array_of, parts, stored, table, text_batches, total_bytes, trim
 from gameline.llm.words import mix, prefix_sums, range_hashes
 
 #: Bytes of an anchor; windows of `length` bytes hold length - ANCHOR + 1 of them.
 ANCHOR = 50
 #: log2 of the bits of the table of repeated anchors: at most 256 MB. Beyond it more segments travel, with the same result.
 MOST_BITS = 31
-#: Occurrences of an anchor from which its segments are dealt out by content; fewer fit in a bucket.
-HOT = 60_000
+#: Occurrences of an anchor from which its segments are dealt out by content; fewer are about MERGE bytes at most.
+HOT = 8_000
 #: Windows of a piece of such a segment.
 PIECE = 8
 #: Symbols of a shard and of one merge.
-SHARD, MERGE = 1 << 18, 1 << 21
+SHARD, MERGE = 1 << 18, 1 << 20
+#: Bytes of text for each bucket; a task takes one bucket.
+BUCKET_BYTES = 8 << 20
 _UNIT = 1 << 19
 _SLOTS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("count", pa.binary())])
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("rows", pa.binary()), ("salt", pa.binary()), ("data", pa.binary())])
@@ -52,7 +54,7 @@ def _units(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
         data = text.encode("utf-8", "surrogatepass") if text else b""
         for at in range(0, max(len(data) - length + 1, 0), _UNIT):
             piece = data[at : at + _UNIT + length - 1]
-            if total and total + len(piece) > 2 * _UNIT:
+            if total and total + len(piece) >= 2 * _UNIT:
                 yield _joined(rows)
                 rows, total = [], 0
             rows.append((i, at, piece))
@@ -250,12 +252,11 @@ def merged_repeats(data: np.ndarray, size: np.ndarray, length: int, shards: int)
         step = np.empty(len(order), dtype=np.int64)
         step[np.argsort(last, kind="stable")] = np.arange(len(order))
         bwt.append(last)
-        lf.append(step + base)
-        string.append(own[owner[order]])
-        offset.append(off[order])
+        lf.append((step + base).astype(np.int32))
+        string.append(own[owner[order]].astype(np.int32))
+        offset.append(off[order].astype(np.int32))
         base += len(order)
     bwt, lf, string, offset = (np.concatenate(x) for x in (bwt, lf, string, offset))
-    lf = lf.astype(np.int32)
     merged, interval = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), dtype=np.int32)
     for _ in range(length):
         symbol = bwt[merged]
@@ -279,22 +280,35 @@ def _solve(length: int):
     """Bucket task: spans of all windows that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for batch in batches for x in batch.to_pylist()]
-        for x in rows:
-            if x["bucket"] == -1:
-                doc, part, start, size, _ = _unpacked(zstandard.ZstdDecompressor().decompress(x["rows"]), x["number"])
-                yield _spans_of(doc, part, start, start + size)
-        for bucket in sorted({x["bucket"] for x in rows} - {-1}):
-            yield from _bucket([x for x in rows if x["bucket"] == bucket], length)
+        own: dict[int, list[dict]] = {}
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["bucket"] == -1:
+                    doc, part, start, size, _ = _unpacked(zstandard.ZstdDecompressor().decompress(x["rows"]), x["number"])
+                    yield _spans_of(doc, part, start, start + size)
+                else:
+                    own.setdefault(x["bucket"], []).append(x)
+        while own:  # one bucket, as partitions are dealt by bucket
+            yield from _bucket(own.popitem()[1], length)
+        trim()
 
     return run
 
 
-def _bucket(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
+def _opened(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, salts, bytes) of a bucket's rows, which are taken off the list one by one."""
     unpack = zstandard.ZstdDecompressor().decompress
-    doc, part, start, size, place = np.concatenate([_unpacked(unpack(x["rows"]), x["number"]) for x in rows], axis=1)
-    anchor = np.concatenate([array_of(x["salt"], "u8") if x["salt"] else np.zeros(x["number"], dtype=np.uint64) for x in rows])
-    data = np.concatenate([array_of(unpack(x["data"]), "u1") for x in rows])
+    columns, salts, data = [], [], bytearray()
+    while rows:
+        x = rows.pop()
+        columns.append(_unpacked(unpack(x["rows"]), x["number"]))
+        salts.append(array_of(x["salt"], "u8") if x["salt"] else np.zeros(x["number"], dtype=np.uint64))
+        data += unpack(x["data"])
+    return np.concatenate(columns, axis=1), np.concatenate(salts), np.frombuffer(data, dtype=np.uint8)
+
+
+def _bucket(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
+    (doc, part, start, size, place), anchor, data = _opened(rows)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     content = np.empty(len(anchor), dtype=np.uint64)
     at = 0
@@ -339,7 +353,7 @@ def _bucket(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _apply(keep_text: bool):
+def _apply(keep_text: bool, keep_bytes: bool):
     """Text without its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +377,7 @@ def _apply(keep_text: bool):
                 out["n_removed"].append(len(data) - len(rest))
                 out["n_spans"].append(len(joined))
                 out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-                out["kept"].append(rest if keep_text else None)
+                out["kept"].append(rest if keep_bytes else None)
                 out["kept_text"].append(rest.decode("utf-8", "ignore") if keep_text else None)
             others = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "part")}
             yield pa.record_batch({**others, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary()), "kept_text": pa.array(out["kept_text"], pa.string())})
@@ -379,20 +393,21 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     bits = min(MOST_BITS, max(16, (size // 6).bit_length()))
     blocks = 1 << max(2, bits - 22)
     slots = docs.mapInArrow(_slots(length, bits, blocks), "block int, once binary, many binary, count binary")
-    found = slots.repartition(blocks, "block").mapInArrow(_repeats((1 << bits) // blocks), "block int, bits binary, hot binary").collect()
+    found = slots.repartitionById(blocks, F.col("block")).mapInArrow(_repeats((1 << bits) // blocks), "block int, bits binary, hot binary").collect()
     bitmap, hot, each = np.zeros((1 << bits) // 8, dtype=np.uint8), [], (1 << bits) // blocks
     for r in found:
         bitmap[r["block"] * each // 8 : (r["block"] + 1) * each // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
         hot.append(np.frombuffer(r["hot"], dtype=np.uint32).astype(np.uint64) + np.uint64(r["block"] * each))
     sent = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(np.sort(np.concatenate(hot)) if hot else np.zeros(0, dtype=np.uint64))
-    buckets = parts(size, 16 << 20, 4)
+    buckets = parts(size, BUCKET_BYTES, 4)
     dealt = docs.mapInArrow(_deal(length, bits, buckets, *sent), "bucket int, number int, rows binary, salt binary, data binary")
-    return dealt.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(buckets)).cast("int"))).mapInArrow(_solve(length), _SPANS)
+    to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(buckets)).cast("int"))
+    return dealt.repartitionById(buckets, to).mapInArrow(_solve(length), _SPANS)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) -> DataFrame:
-    """The columns of docs but text, with n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and
-    kept_text (those without characters cut in two; both null unless keep_text), one row for each row of docs.
+def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True, keep_bytes: bool = True) -> DataFrame:
+    """The columns of docs but text, with n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null unless
+    keep_bytes) and kept_text (those without characters cut in two; null unless keep_text), one row for each row of docs.
 
     A text counts as its UTF-8 bytes (null: empty). Every byte covered by a string of `length` bytes that also starts
     earlier - at a smaller doc_id, or earlier in the same text - goes; strings are judged on the input. Texts shorter
@@ -403,16 +418,19 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "part", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.withColumn("part", F.lit(0))
+        docs, keys = docs.withColumn("part", F.lit(0)), ["doc_id"]
     else:
+        keys = ["doc_id", "part"]
         docs = stored(docs.withColumn("part", (F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("int")))
     spans = stored(repeated_spans(docs.where("doc_id is not null").select("doc_id", "part", "text"), length))
-    gathered = spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = docs.join(gathered, ["doc_id", "part"], "left").select(*docs.columns, "spans")
+    # both sides are dealt alike, about 8 MB of text to a task at any size, so that the join adds no exchange
+    each = parts(total_bytes(docs), 8 << 20, 4)
+    gathered = spans.repartition(each, *keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = docs.repartition(each, *keys).join(gathered, keys, "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "part"))
-    return joined.mapInArrow(_apply(keep_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    return joined.mapInArrow(_apply(keep_text, keep_bytes), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs, 100, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, 100, keep_text=False, keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
