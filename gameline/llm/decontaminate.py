@@ -8,6 +8,8 @@ which has to lie inside the document; what is left is compared word by word and
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from gameline.llm.common import parts, table, text_batches
 from gameline.llm.words import prefix_sums, range_hashes
 
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes several maps over the documents.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that are looked up at once; a larger benchmark takes several maps over the documents. The
+#: index of a block, which is what is broadcast, takes about eight bytes for each byte of its text.
+BLOCK_BYTES = 8 << 20
+#: Places of documents and windows that are compared at once.
+CANDIDATES = 1 << 20
 #: A-Z to lower case, bytes of no word to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -68,30 +73,52 @@ def _count_words(vocabulary):
 
 
 def _index(items: list[tuple[str, str]], window: int, count: dict[int, int]) -> dict:
-    """The windows of items under the hash of their rarest word."""
-    known: dict[bytes, int] = {}
-    holders: list[list[str]] = []
-    texts, prefix, offset, length = [], [], [], []
+    """The windows of items under the hash of their rarest word, as arrays: a window is a stretch of the items' words
+    joined by spaces. Windows of equal bytes are one, with all items that hold it."""
+    names: dict[str, int] = {}
+    known: dict[int, list[int]] = {}
+    blobs, holders, prefix, offset, length, low, high, at = [], [], array("Q"), array("i"), array("i"), array("q"), array("q"), 0
     for item, text in items:
         words = word_list(text)
         if not words:
             continue
-        h = _hashed([text])[0]
+        number = names.setdefault(item, len(names))
+        h, _, blob, start = _hashed([text])
         n = min(window, len(words))
-        for s in range(len(words) - n + 1):
-            content = b" ".join(words[s : s + n]) + b" "
-            if content in known:
-                holders[known[content]].append(item)
+        rarity = [(count.get(int(x), 0), int(x)) for x in h]
+        first, end = np.arange(len(words) - n + 1), np.arange(n, len(words) + 1)
+        content = range_hashes(prefix_sums(np.frombuffer(blob, dtype=np.uint8)), start[first], start[end])
+        kept = False
+        for s, c in enumerate(content.tolist()):
+            bytes_of = blob[start[s] : start[s + n]]
+            same = next((i for i in known.get(c, ()) if bytes_of == _window(blobs, low[i], high[i])), None)
+            if same is not None:
+                holders[same].append(number)
                 continue
-            known[content] = len(texts)
-            o = min(range(n), key=lambda j: (count.get(int(h[s + j]), 0), int(h[s + j]), j))  # noqa: B023
-            texts.append(content)
-            holders.append([item])
+            o = min(range(n), key=lambda j: (*rarity[s + j], j))  # noqa: B023
+            known.setdefault(c, []).append(len(prefix))
+            holders.append([number])
             prefix.append(int(h[s + o]))
             offset.append(o)
             length.append(n)
+            low.append(at + int(start[s]))
+            high.append(at + int(start[s + n]))
+            if not kept:  # at once, as windows of the same item may be equal
+                blobs.append((at, blob))
+                kept = True
+        at += len(blob)
+    text = bytearray(at)
+    for lo, blob in blobs:
+        text[lo : lo + len(blob)] = blob
     order = np.argsort(np.array(prefix, dtype=np.uint64), kind="stable")
-    return {"prefix": np.array(prefix, dtype=np.uint64)[order], "offset": np.array(offset, dtype=np.int64)[order], "length": np.array(length, dtype=np.int64)[order], "text": [texts[i] for i in order], "items": [sorted(set(holders[i])) for i in order]}
+    held = [sorted(set(holders[i])) for i in order]
+    columns = {"prefix": (prefix, "u8"), "offset": (offset, "i4"), "length": (length, "i4"), "low": (low, "i8"), "high": (high, "i8")}
+    return {c: np.array(v, dtype=t)[order] for c, (v, t) in columns.items()} | {"text": bytes(text), "names": list(names), "held": np.array([x for v in held for x in v], dtype=np.int32), "cuts": np.cumsum([0, *map(len, held)])}
+
+
+def _window(blobs: list[tuple[int, bytes]], low: int, high: int) -> bytes:
+    at, blob = blobs[bisect_right(blobs, low, key=lambda x: x[0]) - 1]
+    return blob[low - at : high - at]
 
 
 def _scan(index):
@@ -107,18 +134,24 @@ def _scan(index):
             at, found = _in(heads, h)
             place = np.flatnonzero(found)
             n = several[at[place]] if len(heads) else np.zeros(0, dtype=np.int64)
-            windows = np.repeat(first[at[place]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(place) else np.zeros(0, dtype=np.int64)
-            place = np.repeat(place, n)
-            doc = np.searchsorted(begin, place, side="right") - 1
-            s = place - x["offset"][windows]
-            e = s + x["length"][windows]
-            inside = (s >= begin[doc]) & (e <= begin[doc + 1])
-            items = [list(v or ()) for v in batch.column("items").to_pylist()]
+            items: list[set[str]] = [set(v or ()) for v in batch.column("items").to_pylist()]
             spans = [np.frombuffer(v or b"", dtype=np.int64).reshape(-1, 2).tolist() for v in batch.column("spans").to_pylist()]
-            for w, d, a, b in zip(windows[inside].tolist(), doc[inside].tolist(), s[inside].tolist(), e[inside].tolist(), strict=True):
-                if text[start[a] : start[b]] == x["text"][w]:
-                    items[d] += x["items"][w]
-                    spans[d].append([a - int(begin[d]), b - int(begin[d])])
+            for places in np.split(place, np.flatnonzero(np.diff(np.cumsum(n) // CANDIDATES)) + 1):  # a frequent word has many candidates
+                if not len(places):
+                    continue
+                m = several[at[places]]
+                windows = np.repeat(first[at[places]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                w_place = np.repeat(places, m)
+                doc = np.searchsorted(begin, w_place, side="right") - 1
+                s = w_place - x["offset"][windows]
+                e = s + x["length"][windows]
+                inside = (s >= begin[doc]) & (e <= begin[doc + 1])
+                windows, doc, s, e = windows[inside], doc[inside], s[inside], e[inside]
+                like = start[e] - start[s] == x["high"][windows] - x["low"][windows]  # as many bytes
+                for w, d, a, b in zip(windows[like].tolist(), doc[like].tolist(), s[like].tolist(), e[like].tolist(), strict=True):
+                    if text[start[a] : start[b]] == x["text"][x["low"][w] : x["high"][w]]:
+                        items[d].update(x["names"][i] for i in x["held"][x["cuts"][w] : x["cuts"][w + 1]])
+                        spans[d].append([a - int(begin[d]), b - int(begin[d])])
             hit = []
             for v in spans:
                 last = total = 0
@@ -127,7 +160,7 @@ def _scan(index):
                     last = max(last, b)
                 hit.append(total)
             keep = {c: batch.column(c) for c in batch.schema.names if c not in ("n_words", "n_hit", "items", "spans")}
-            yield pa.record_batch({**keep, "n_words": counts, "n_hit": pa.array(hit, pa.int64()), "items": pa.array([sorted(set(v)) for v in items], pa.list_(pa.string())), "spans": pa.array([np.array(v, dtype=np.int64).tobytes() for v in spans], pa.binary())})
+            yield pa.record_batch({**keep, "n_words": counts, "n_hit": pa.array(hit, pa.int64()), "items": pa.array([sorted(v) for v in items], pa.list_(pa.string())), "spans": pa.array([np.array(v, dtype=np.int64).tobytes() for v in spans], pa.binary())})
 
     return run
 
