@@ -31,6 +31,7 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -49,6 +50,9 @@ LONG_TEMPLATES = (
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
     ("GPL-3.0", _GNU.format("General Public License", "3")),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
     ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
@@ -57,6 +61,7 @@ LONG_TEMPLATES = (
 )
 #: Names that count only where no other license matches, as texts that grant a license reserve rights as well.
 LAST = frozenset({"Proprietary"})
+_DIR, _NEAR = "__license_dir", "__license_near"
 _FILE = re.compile(r"(licen[sc]e|copying)([.-].*)?$", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -67,7 +72,6 @@ def terms(line: str) -> list[str]:
 
 def _line_counts(vocabulary: list[str]):
     """Map: lines that have each word, and the number of lines with words."""
-    pattern = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, vocabulary), key=len, reverse=True)) + r")\b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = frozenset(vocabulary), Counter()
@@ -76,8 +80,7 @@ def _line_counts(vocabulary: list[str]):
                 for line in (text or "").lower().split("\n"):
                     if line and not line.isspace():
                         total[""] += 1
-                        if pattern.search(line):
-                            total.update(known.intersection(_WORD.findall(line)))
+                        total.update(known.intersection(_WORD.findall(line)))
         yield pa.record_batch({"term": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
     return run
@@ -92,26 +95,40 @@ def _better(best: tuple[float, str | None], found: tuple[float, str | None]) ->
     return found if found[0] > best[0] + 1e-12 else best
 
 
+class Prefix:
+    """Templates that a set of words can reach: a cosine is at most the length of the template's vector over the words
+    it shares, so most texts end here."""
+
+    def __init__(self, vectors: list[dict[str, float]], threshold: float) -> None:
+        self.least = (threshold - 1e-9) ** 2
+        self.known = frozenset(w for v in vectors for w in v)
+        self.row = {w: i for i, w in enumerate(sorted(self.known))}
+        self.squares = np.zeros((len(self.row), len(vectors)))
+        for t, v in enumerate(vectors):
+            for w, x in v.items():
+                self.squares[self.row[w], t] = x * x
+
+    def of(self, words: list[str]) -> list[int]:
+        shared = self.known.intersection(words)
+        if not shared:
+            return []
+        return np.flatnonzero(self.squares[[self.row[w] for w in shared]].sum(axis=0) >= self.least).tolist()
+
+    def search(self, text: str) -> list[int]:
+        return self.of(terms(text))
+
+
 class Matcher:
     def __init__(self, templates, lines: int, df: dict[str, int], threshold: float, long=()) -> None:
         self.threshold = threshold
         self.other = float(np.log((1 + lines) / 2) + 1)
         self.idf = {w: float(np.log((1 + lines) / (1 + df.get(w, 0))) + 1) for _, t in (*templates, *long) for w in terms(t)}
-        self.vectors, needed = [], set()
+        self.vectors = []
         for name, text in (*templates, *long):
             v = {w: n * self.idf[w] for w, n in Counter(terms(text)).items()}
             norm = float(np.sqrt(sum(x * x for x in v.values())))
-            v = {w: x / norm for w, x in v.items()}
-            self.vectors.append((name, v, len(terms(text))))
-            # a line without the heaviest words cannot reach the threshold with the rest
-            rest = 1.0
-            for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-                if rest < (threshold - 1e-9) ** 2:
-                    break
-                needed.add(w)
-                rest -= x * x
-        self.prefix = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, needed), key=len, reverse=True)) + r")\b", re.I)
-
+            self.vectors.append((name, {w: x / norm for w, x in v.items()}, len(terms(text))))
+        self.prefix = Prefix([v for _, v, _ in self.vectors], threshold)
         self.ids = {w: i for i, w in enumerate(self.idf)}
         self.squares = np.array([*(x * x for x in self.idf.values()), self.other**2])
         self.weights = np.zeros((len(self.vectors), len(self.squares)))
@@ -119,53 +136,56 @@ class Matcher:
             for w, x in v.items():
                 self.weights[t, self.ids[w]] = x * self.idf[w]
 
-    def _cosine(self, counts: Counter, v: dict[str, float]) -> float:
+    def nearest(self, words: list[str], possible: list[int]) -> tuple[float, str | None]:
+        """(cosine, template) of the nearest of the possible templates at the threshold or above."""
+        counts = Counter(words)
         norm = float(np.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items())))
-        return sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
+        best = (0.0, None)
+        for t in possible:
+            name, v, _ = self.vectors[t]
+            s = sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
+            if s >= self.threshold:
+                best = _better(best, (s, name))
+        return best
+
+    def line(self, line: str) -> tuple[float, str | None]:
+        words = terms(line)
+        return self.nearest(words, self.prefix.of(words))
 
-    def spans(self, text: str) -> tuple[float, str | None]:
-        """(cosine, template) of the best span of each template's number of words."""
-        words = terms(text)
+    def spans(self, words: list[str], possible: list[int]) -> tuple[float, str | None]:
+        """(cosine, template) of the best span of each possible template's number of words."""
         ids = np.array([self.ids.get(w, len(self.ids)) for w in words], dtype=np.int64)
         square = np.concatenate([[0.0], np.cumsum(self.squares[ids])])
         best = (0.0, None)
-        for t, (name, v, size) in enumerate(self.vectors):
+        for t in possible:
+            name, _, size = self.vectors[t]
             if len(words) < size:
                 continue  # the header or the file as a whole
             dot = np.concatenate([[0.0], np.cumsum(self.weights[t][ids])])
             # words that repeat make the norm larger, so this is at least the cosine
             bound = (dot[size:] - dot[:-size]) / np.sqrt(square[size:] - square[:-size])
+            near = np.flatnonzero(bound >= self.threshold - 1e-9)
             top = best[0] if (name in LAST) == (best[1] in LAST) else 0.0
-            for i in np.flatnonzero(bound >= self.threshold - 1e-9)[np.argsort(-bound[bound >= self.threshold - 1e-9], kind="stable")].tolist():
+            for i in near[np.argsort(-bound[near], kind="stable")].tolist():
                 if bound[i] < top:
                     break
-                s = self._cosine(Counter(words[i : i + size]), v)
-                if s >= self.threshold:
-                    best = _better(best, (s, name))
-                    top = max(top, s)
-        return best
-
-    def line(self, line: str) -> tuple[float, str | None]:
-        """(cosine, template) of the nearest template at the threshold or above."""
-        counts = Counter(terms(line))
-        norm = float(np.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items())))
-        best = (0.0, None)
-        for name, v, _ in self.vectors:
-            s = sum(x * counts[w] * self.idf[w] for w, x in v.items() if w in counts) / norm if norm else 0.0
-            if s >= self.threshold:
-                best = _better(best, (s, name))
+                found = self.nearest(words[i : i + size], [t])
+                if found[1]:
+                    best = _better(best, found)
+                    top = max(top, found[0])
         return best
 
     def text(self, text: str | None, whole: bool = False) -> tuple[float, str | None]:
         best = (0.0, None)
-        if text and self.prefix.search(text):
+        words = terms(text) if text else []
+        possible = self.prefix.of(words)
+        if possible:
             for line in text.split("\n"):
-                if self.prefix.search(line):
-                    best = _better(best, self.line(line))
+                best = _better(best, self.line(line))
             best = _better(best, self.line(re.split(r"\n[^a-zA-Z0-9\n]*\n", text.strip(), maxsplit=1)[0]))
             if whole:
-                best = _better(best, self.line(text))
-            best = _better(best, self.spans(text))
+                best = _better(best, self.nearest(words, possible))
+            best = _better(best, self.spans(words, possible))
         return best
 
 
@@ -185,26 +205,28 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     files has path and text. The name after the last slash decides: LICENSE, LICENCE or COPYING, with any ending, is a
     license file, and its directory and all below inherit its license where nothing nearer has one. Of several license
     files in one directory the best score counts, then the smaller name of the license. Null paths inherit nothing;
-    null and empty texts match nothing; rows that repeat count each. Columns of files named like a result are replaced.
+    null and empty texts match nothing; rows that repeat count each; an empty table gives no rows. Columns of files named
+    like a result are replaced; all others stay.
     """
     spark = files.sparkSession
-    files = files.drop("own_license", "own_score", "license", "inherited_from", "dir").withColumn("text", F.col("text").cast("string"))
+    files = files.drop("own_license", "own_score", "license", "inherited_from").withColumn("text", F.col("text").cast("string"))
     vocabulary = sorted({w for _, t in (*templates, *long) for w in terms(t)})
     df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_line_counts(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the templates
     matcher = spark.sparkContext.broadcast(Matcher(templates, df.get("", 0), df, threshold, long))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text")
     own = files.mapInArrow(_match(matcher), f"{schema}, own_license string, own_score double")
     own = stored(own)  # read three times below
-    own = own.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
+    own = own.withColumn(_DIR, F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(?i)(licen[sc]e|copying)([.-].*)?$")
     best = F.min_by("own_license", F.struct(-F.col("own_score"), F.col("own_license")))
-    licensed = own.where(named & F.col("own_license").isNotNull()).groupBy("dir").agg(best.alias("license"))
-    dirs = own.select("dir").where("dir is not null").distinct()
-    parts = F.split("dir", "/")
-    above = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(parts)))).select("dir", F.array_join(F.slice(parts, 1, F.col("k")), "/").alias("up"), "k")
-    nearest = above.join(licensed.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "up"), "k").alias("near"))
-    out = own.join(nearest, "dir", "left")
-    return out.withColumns({"license": F.coalesce("own_license", "near.license"), "inherited_from": F.when(F.col("own_license").isNull(), F.col("near.up"))}).drop("near", "dir")
+    licensed = own.where(named & F.col("own_license").isNotNull()).groupBy(F.col(_DIR).alias("up")).agg(best.alias("license"))
+    dirs = own.select(_DIR).where(F.col(_DIR).isNotNull()).distinct()
+    parts = F.split(_DIR, "/")
+    above = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(parts)))).select(_DIR, F.array_join(F.slice(parts, 1, F.col("k")), "/").alias("up"), "k")
+    nearest = above.join(licensed, "up").groupBy(_DIR).agg(F.max_by(F.struct("license", "up"), "k").alias("near"))
+    near = own.join(nearest.toDF(_DIR, _NEAR), _DIR, "left")
+    out = near.withColumns({"license": F.coalesce("own_license", f"{_NEAR}.license"), "inherited_from": F.when(F.col("own_license").isNull(), F.col(f"{_NEAR}.up"))})
+    return out.drop(_DIR, _NEAR)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
