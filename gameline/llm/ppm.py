@@ -24,9 +24,9 @@ from gameline.llm.words import HASH_BYTES, word_hashes
 #: Bytes of the longest context.
 ORDER = 5
 #: Edges of the longest contexts whose code lengths are broadcast; symbols on rarer or unseen edges are resolved by joins.
-MOST_EDGES = 2_000_000
+MOST_EDGES = 500_000
 #: Words whose counts are broadcast; rarer words are counted by a join.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 1_000_000
 END = 255  # no byte of UTF-8
 _SYMBOLS = 256
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
