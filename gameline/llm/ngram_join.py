@@ -7,9 +7,9 @@ Steps, all over whole texts:
    columns. A document with more unshared shingles than the size bound allows, n - ceil(t*n), has no partner.
 2. Equal sets are one class; one representative of each class goes on.
 3. Columns of the representatives' prefixes (the n - ceil(t*n) + 1 rarest shingles) connect candidates: two sets of similarity t or more always share a prefix column. Connected candidates form a cluster.
-4. In a cluster, the overlaps of all rows with its first row are counted, which links the bulk of a group of near
-   copies without its pairs. The rows that stay unlinked are multiplied, block by block, with all rows of the cluster:
-   every link between different components has an end among them.
+4. A cluster's rows are cut into blocks. The sparse product of every block with the cluster's first row links the bulk of
+   a group of near copies without its pairs. The rows that stay unlinked are multiplied, block by block, with all rows
+   of the cluster: every link between different components has an end among them.
 5. Links and classes give components.
 """
 
@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gameline.llm.common import array_of, parts, stored, table, text_batches, total_bytes
+from gameline.llm.common import array_of, parts, released, stored, table, text_batches, total_bytes, trim
 from gameline.llm.graph import components
 from gameline.llm.words import shingles
 
 #: Rows of a block of the product.
 BLOCK_ROWS = 512
+#: Parts that the rows of a large cluster are dealt to where they meet its number of blocks.
+SALTS = 32
 _BLOCKS = pa.schema([("block", pa.int32()), ("src", pa.int64()), ("col", pa.binary()), ("row", pa.binary()), ("many", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
 _COUNTS = pa.schema([("src", pa.int64()), ("shared", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
 
@@ -96,6 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x["many"]:
                 count += array_of(x["many"], "u4")
             yield pa.RecordBatch.from_pylist([{"src": x["src"], "shared": count.tobytes(), **{c: x[c] for c in ("docs", "sizes", "digests", "node")}}], schema=_COUNTS)
+    trim()
 
 
 def _repeated(values: np.ndarray) -> np.ndarray:
@@ -153,19 +156,6 @@ def _similar(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _first_row(percent: int):
-    """Overlap of every set with the first set of its cluster."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("cols").to_pylist(), batch.column("first").to_pylist()
-            overlap = np.array([len(np.intersect1d(array_of(x, "u8"), array_of(y, "u8"), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
-            n, m = (np.array([len(x) // 8 for x in xs], dtype=np.int64) for xs in (a, b))
-            yield pa.record_batch({"node": batch.column("node"), "cluster": batch.column("cluster"), "linked": pa.array(_similar(overlap, n, m, percent))})
-
-    return run
-
-
 def _product(left: list[bytes], right: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Pairs (row of left, row of right) of similarity percent or more: a sparse product, one left row at a time over
     the columns of right, keeping the size bounds."""
@@ -186,6 +176,20 @@ def _product(left: list[bytes], right: list[bytes], percent: int) -> list[tuple[
     return out
 
 
+def _first_row(percent: int):
+    """Products of blocks with the first set of their cluster: which rows link with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, first, rows in zip(batch.column("cluster").to_pylist(), batch.column("first").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                linked = np.zeros(len(rows), dtype=bool)
+                linked[[j for _, j in _product([first], [x["cols"] for x in rows], percent)]] = True
+                yield pa.record_batch({"node": pa.array([x["node"] for x in rows], pa.int64()), "cluster": pa.array([cluster] * len(rows), pa.int64()), "linked": pa.array(linked)})
+        trim()
+
+    return run
+
+
 def _blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +221,20 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pieced(rows: DataFrame) -> DataFrame:
+    """rows (node, cluster) with the piece of the cluster that a row is in: about BLOCK_ROWS rows each, one in most
+    clusters. The rows of a large cluster are dealt to SALTS parts, so that they do not meet in one task."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    large = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("pieces")).where("pieces > 1")
+    large = large.select("cluster", "pieces", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    piece = F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")), F.lit(0))
+    return rows.withColumn("salt", salt).join(large, ["cluster", "salt"], "left").select("node", "cluster", piece.alias("piece"))
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("cluster", "piece").agg(F.collect_list(F.struct("node", "cols")).alias(name)).withColumnRenamed("piece", f"{name}_piece")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (columns doc_id long, text string; others are ignored).
 
@@ -232,6 +250,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     cut = docs.mapInArrow(_cut(k, blocks), "block int, src long, col binary, row binary, many binary, docs binary, sizes binary, digests binary, node binary")
     counts = stored(cut.repartition(blocks, "block").mapInArrow(_count, "src long, shared binary, docs binary, sizes binary, digests binary, node binary"))
     nodes = stored(counts.groupBy("src").applyInArrow(_gather(percent), "doc_id long, n_shingles long, digest string, alive boolean"))
+    released(counts)
 
     classes = nodes.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("alive").alias("alive"))
     classes = stored(classes)
@@ -247,26 +266,23 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     prefixes = stored(ranked.where(f"place <= n - ((n * {percent} + 99) div 100) + 1 - (n - shared)").select("col", "node"))
     firsts = prefixes.groupBy("col").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("col", "a")
     candidates = prefixes.join(firsts, "col").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = stored(components(candidates).select("node", F.col("root").alias("cluster")))
-
-    rows = stored(sets.join(clusters, "node"))
+    clusters = components(candidates).select("node", F.col("root").alias("cluster"))
+    rows = stored(_pieced(clusters).join(sets, "node"))
+    released(sets, prefixes, clusters)
+    blocks = _packed(rows, "rows")
     heads = rows.where("node = cluster").select("cluster", F.col("cols").alias("first"))
-    judged = stored(rows.join(heads, "cluster").select("node", "cluster", "cols", "first").mapInArrow(_first_row(percent), "node long, cluster long, linked boolean"))
+    judged = stored(blocks.join(heads, "cluster").select("cluster", "first", "rows").mapInArrow(_first_row(percent), "node long, cluster long, linked boolean"))
     links = judged.where("linked and node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
-    open_rows = judged.where("not linked").select("node")
-    rest = rows.join(open_rows, "node", "left_semi")
-
-    def packed(df: DataFrame, name: str, of: DataFrame) -> DataFrame:
-        size = of.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("pieces"))
-        return df.join(size, "cluster").groupBy("cluster", F.pmod(F.xxhash64("node"), F.col("pieces")).alias(f"{name}_piece")).agg(F.collect_list(F.struct("node", "cols")).alias(name))
-
-    still = rest.select("cluster").distinct()
-    products = packed(rest, "rest", rest).join(packed(rows.join(still, "cluster", "left_semi"), "rows", rows), "cluster")
+    unlinked = judged.where("not linked").select("node", "cluster").distinct()
+    rest = _packed(_pieced(unlinked).join(rows.select("node", "cols"), "node"), "rest")
+    products = rest.join(_packed(rows.join(unlinked.select("cluster").distinct(), "cluster", "left_semi"), "rows"), "cluster")
     pieces = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = products.repartition(pieces, "cluster", "rest_piece", "rows_piece").select("rest", "rows").mapInArrow(_blocks(percent), "a long, b long")
     same = nodes.where("n_shingles > 0").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(links.unionByName(found).unionByName(same))
-    return nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    out = stored(nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
+    released(nodes, classes, rows, judged, roots)
+    return out
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
