@@ -172,6 +172,20 @@ def test_decontamination(spark, monkeypatch):
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
 
+def test_decontamination_in_pieces(spark, monkeypatch):
+    """Candidates in pieces, a long text, an empty table of documents."""
+    r = random.Random(6)
+    bench = spark.createDataFrame([(i, " ".join(r.choices(["kx", "ri", "ta"], k=14))) for i in range(30)], "item_id long, text string")
+    long = " ".join(r.choices(["kx", "ri", "ta", "mm"], k=20_000))
+    docs = spark.createDataFrame([(1, long, "x"), (2, " ".join(r.choices(["kx", "ri", "ta"], k=300)), "x"), (3, "", "x"), (None, "kx " * 30, "x")], DOCS)
+    read = lambda: sorted(tuple(x) for x in decontaminate.contaminated(docs, bench).select(F.coalesce("doc_id", F.lit(-1)), "n_words", "n_hit", "n_items", "items_sha256").collect())
+    want = read()
+    assert [x[1] for x in want] == [30, 20_000, 300, 0] and want[1][2] > 0
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    assert read() == want
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+
+
 def test_ppm_is_a_probability_and_the_base_is_exact(spark):
     rows = [(i, t, c) for i, t, c in texts(40)]
     d = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.col("doc_id") % 3 == 1)
@@ -264,6 +278,70 @@ def test_classifiers_without_labels(spark):
     assert toxicity.toxicity_scores(d, lab, F.lit(True)).first().score == 0.5
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores of whole texts, each window compressed by a compressor of its own."""
+    import zstandard
+
+    rows, labels = labelled()
+    rows.append((1002, " ".join(random.Random(5).choices(WORDS, k=150_000)) + " vrotzik", "en"))  # about 0.6 MB
+    d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learn = F.col("doc_id") % 3 != 1
+    model = toxicity.fit(d, lab, learn, "toxic", toxicity.SAMPLE)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(d, lab, learn).collect() if r.doc_id is not None}
+
+    def size(window, content):
+        c = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(window))
+
+    for i, t, _ in rows[::20] + rows[-4:-1]:
+        if i is None:
+            continue
+        w = re.findall("[^\\x20\\x09-\\x0D]+", lower(t))
+        runs = [" " + " ".join(w[k : k + 6]) + " " for k in range(0, max(1, len(w) - 3), 3)] if w else []
+        tail = bytes([*range(1, 9), *range(14, 32)])
+        gain = [size(x.encode() + tail, model["pair"][1]) - size(x.encode() + tail, model["pair"][0]) for x in runs]
+        beyond = [sum(g >= k for g in gain) for k in range(1, 12)]
+        z = model["weights"][0] + sum(model["weights"][1 + k] * np.log1p(b) + model["weights"][12 + k] * np.log1p(100 * b / max(len(gain), 1)) for k, b in enumerate(beyond))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-min(max(z, -30), 30))), rel=1e-9)
+    assert got[1002] > 0 and toxicity.toxicity_scores(d.limit(0), lab, learn).count() == 0
+
+
+def test_copies_do_not_make_words_telling():
+    r = random.Random(3)
+    text = lambda *own: " ".join(w for _ in range(12) for w in [*r.choices(WORDS, k=6), *own])
+    copy = text("qarn")  # the same text again and again, qarn always after the same words
+    toxic = [text("zloop") for _ in range(20)] + ["x " + " ".join(["abc", "def", "qarn"] * 5)] * 9
+    found = b" ".join(toxicity.telling_stretches(toxic, [text() for _ in range(40)] + [copy]))
+    assert b"zloop" in found and b"qarn" not in found
+
+
+def test_sample_bytes_bound_the_texts_that_are_learned_from(spark, monkeypatch):
+    rows, labels = labelled()
+    d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30_000)
+    assert toxicity.fit(d, lab, F.lit(True), "toxic", 200) is not None
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    assert toxicity.fit(d, lab, F.lit(True), "toxic", 200) is None
+
+
+def test_tree_predictions_by_walking(spark):
+    r = np.random.default_rng(4)
+    x = r.random((300, 5)).round(1)
+    model = trees.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=12, depth=3)
+    for row, p in zip(x, trees.predict(model, x), strict=True):
+        z = model["base"]
+        for feature, threshold, value in zip(model["feature"], model["threshold"], model["value"], strict=True):
+            node = 0
+            for _ in range(model["depth"]):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            z += value[node - 7]
+        assert p == pytest.approx(1 / (1 + np.exp(-z)))
+    d = spark.createDataFrame([], DOCS)
+    assert quality.quality_scores(d, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)).count() == 0
+    long = spark.createDataFrame([(1, "ab cd. " * 200_000, "x")], DOCS)
+    assert quality.quality_scores(long, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)).first().score == 0.5
+
+
 def test_trees_learn_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((2000, 3))
@@ -408,3 +486,60 @@ def test_license_prefix_loses_no_line():
         line = " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))
         if m.line(line)[1]:
             assert m.prefix.search(line)
+
+
+def test_license_versions_ties_and_other_columns(spark):
+    isc = next(t for n, t in license_scan.LONG_TEMPLATES if n == "ISC")
+    rows = [
+        (1, "a/x", "This work is licensed under the GNU Lesser General Public License, version 2.1.", 7), (2, "a/y", isc, 7),
+        (3, "b/LICENSE", "Released under the MIT License.", 7), (4, "b/COPYING", "Licensed under CC BY 4.0.", 7), (5, "b/c/x", None, 8), (5, "b/c/x", None, 8),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, path string, text string, dir int").withColumn("up", F.lit(1)).withColumn("k", F.lit(2)).withColumn("near", F.lit(3))
+    out = license_scan.license_scan(d)
+    assert {"dir", "up", "k", "near"} <= set(out.columns)
+    got = sorted((r.doc_id, r.license, r.inherited_from, r.dir, r.near) for r in out.collect())
+    # both files match whole, so the smaller name counts
+    assert got == [(1, "LGPL-2.1", None, 7, 3), (2, "ISC", None, 7, 3), (3, "MIT", None, 7, 3), (4, "CC-BY-4.0", None, 7, 3), (5, "CC-BY-4.0", "b", 8, 3), (5, "CC-BY-4.0", "b", 8, 3)]
+    assert license_scan.license_scan(d.limit(0)).count() == 0
+
+
+def test_license_cosine_by_brute_force(spark):
+    """Every span, line, header and whole file against every template, without any bound."""
+    r = random.Random(12)
+    pool = [*WORDS[:8], *sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.terms(t)})]
+    notices = [t for _, t in license_scan.TEMPLATES]
+    texts_ = ["\n".join(" ".join(r.choice(pool) for _ in range(r.randrange(0, 14))) if r.random() < 0.7 else r.choice(notices)[: r.randrange(20, 200)] for _ in range(r.randrange(1, 5))) for _ in range(80)]
+    every = (*license_scan.TEMPLATES, *license_scan.LONG_TEMPLATES)
+    df: dict = {}
+    lines = 0
+    for t in texts_:
+        for line in t.lower().split("\n"):
+            if line.strip():
+                lines += 1
+                for w in set(license_scan.terms(line)):
+                    df[w] = df.get(w, 0) + 1
+    vocabulary = {w for _, t in every for w in license_scan.terms(t)}
+    weigh = lambda w: np.log((1 + lines) / (1 + (df.get(w, 0) if w in vocabulary else 1))) + 1
+
+    def cosine(a, b):
+        x, y = ({w: p.count(w) * weigh(w) for w in set(p)} for p in (a, b))
+        norm = np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    rows = [(i, f"d{i}/{'LICENSE' if i % 3 == 0 else 'x'}", t) for i, t in enumerate(texts_)]
+    got = {x.doc_id: x for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, path, t in rows:
+        w = license_scan.terms(t)
+        pieces = [license_scan.terms(x) for x in (*t.split("\n"), re.split("\n[^a-zA-Z0-9\n]*\n", t.strip(), maxsplit=1)[0], *([t] if path.endswith("LICENSE") else []))]
+        best: dict = {}
+        for name, text in every:
+            own = license_scan.terms(text)
+            spans = [w[k : k + len(own)] for k in range(len(w) - len(own) + 1)]
+            best[name] = max([best.get(name, 0.0), *(cosine(x, own) for x in (*pieces, *spans))])
+        able = {n: s for n, s in best.items() if s >= license_scan.THRESHOLD}
+        kind = [n for n in able if n not in license_scan.LAST] or list(able)
+        if not kind:
+            assert got[i].own_license is None
+        else:
+            top = max(able[n] for n in kind)
+            assert got[i].own_score == pytest.approx(top) and able[got[i].own_license] == pytest.approx(top)
