@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gameline.llm import decontaminate, mixing, ngram_join, suffix_dedup, toxicity
-from gameline.llm.common import arrow_bounds, stored, table
+from gameline.llm.common import arrow_bounds, released, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +26,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     id, one of the smallest text. Rows without an id stay."""
     arrow_bounds(spark)
     docs = docs.select(*COLUMNS)
-    found = stored(ngram_join.ngram_components(docs, k=5, percent=80))
+    found = ngram_join.ngram_components(docs, k=5, percent=80)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -37,7 +37,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier too; characters cut in two go with them. A document of
     which nothing but white space is left goes, if something was cut. A null text becomes an empty one."""
-    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), 100).withColumn("text", F.col("kept_text"))
+    cut = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), 100, keep_bytes=False).withColumn("text", F.col("kept_text"))
     out = cut.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")) != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -67,7 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+            released(before)  # the source table is not a stored one and stays
     return docs
