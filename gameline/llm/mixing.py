@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from gameline.llm.common import table
 
-#: Sweeps over all margins.
-SWEEPS = 12
-#: Cells (not documents) that the fit holds on the driver; more are refused.
-MOST_CELLS = 2_000_000
+#: Sweeps over all margins at most; they stop where no weight changes by more than TOLERANCE of itself.
+SWEEPS, TOLERANCE = 12, 1e-13
+#: Cells (not documents) that the fit holds on the driver and that are broadcast, about 10 MB; more are refused.
+MOST_CELLS = 200_000
+#: Letters whose most frequent one stands for a text's topic.
+LETTERS = "tnsrhdlc"
 #: A margin's target share is its present share to this power, scaled to 1: 1 keeps it, 0 makes all values alike.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Wanted share of all tokens.
@@ -33,9 +35,12 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     weight = np.ones(len(tokens))
     total = tokens.sum()
     for _ in range(sweeps):
+        before = weight
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, weights=weight * tokens, minlength=len(target))
             weight = weight * np.where(now > 0, target * total / np.where(now > 0, now, 1), 1.0)[code]
+        if (np.abs(weight - before) <= TOLERANCE * before).all():
+            break
     return weight
 
 
@@ -92,9 +97,15 @@ def mixed(docs: DataFrame, margins: dict[str, float] | None = None, share: float
 
 
 def with_topic(docs: DataFrame) -> DataFrame:
-    """docs with a topic: the first character's code modulo 8; no text is topic -1. The tables have no topics of their own."""
-    first = F.substring(F.col("text").cast("string"), 1, 1)
-    return docs.withColumn("topic", F.coalesce(F.when(first != "", F.ascii(F.lower(first)) % 8), F.lit(-1)).cast("int"))
+    """docs with a topic, as the tables have none: the place in LETTERS of the letter that the whole text has most often
+    (the first of equal ones); -1 for a text without any and for none."""
+    text = F.col("text").cast("string")
+    counts = [F.length(text) - F.length(F.translate(text, v + v.upper(), "")) for v in LETTERS]
+    most = F.greatest(*counts)
+    topic = F.when(F.coalesce(most, F.lit(0)) == 0, -1)
+    for i, n in enumerate(counts):
+        topic = topic.when(n == most, i)
+    return docs.withColumn("topic", topic.cast("int"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +114,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op8_sql() -> str:
-    steps = ["""docs AS (SELECT doc_id, source, lang, CAST(CASE WHEN coalesce(substr(text, 1, 1), '') = '' THEN -1 ELSE ascii(lower(substr(text, 1, 1))) % 8 END AS INTEGER) AS topic,
+    counts = [f"len(text) - len(translate(text, '{v}{v.upper()}', ''))" for v in LETTERS]
+    topic = f"CASE WHEN coalesce(greatest({', '.join(counts)}), 0) = 0 THEN -1 " + " ".join(f"WHEN {n} = greatest({', '.join(counts)}) THEN {i}" for i, n in enumerate(counts)) + " END"
+    steps = [f"""docs AS (SELECT doc_id, source, lang, CAST({topic} AS INTEGER) AS topic,
       CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents)""",
       "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t, CAST(1 AS DOUBLE) AS w FROM docs GROUP BY ALL)", "total AS (SELECT sum(t) AS n FROM c0)"]
     for name, power in FLATTEN.items():
