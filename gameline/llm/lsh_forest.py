@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gameline.llm.common import arrow_bounds, array_of, parts, stored, table
 
-TREES, BITS, MISS = 40, 64, 0.08
+TREES, BITS, MISS = 40, 64, 0.12
 #: Matches (with repeats among trees) that the descent collects before the ascent is planned.
 FIRST = 600
 #: Queries that meet a block of rows at once, rows of a block, and one of how many blocks is a seed.
