@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -52,3 +54,18 @@ def test_stages(spark):
         if name == "benchmark":
             assert decontaminate.contaminated(docs, table(spark, SF, "benchmark")).where("contaminated").isEmpty()
     assert after["mixing"].count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_nearest_recall_at_the_larger_size(spark):
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = np.asarray(t["vec_id"]), np.array(t["embedding"].to_pylist(), dtype=np.float64)
+    found: dict = {}
+    for r in registry.queries()["op9_nearest"](spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        recall.append(len(found[ids[i]] & set(ids[np.lexsort((ids, -score))[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
