@@ -88,10 +88,10 @@ def mixed(docs: DataFrame, margins: dict[str, float] | None = None, share: float
     weight = rake(tokens, codes, shares) if len(rows) else tokens
     factor = scale(weight, tokens, share)
     spark = docs.sparkSession
-    kinds = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    kinds = ", ".join(f"__mix{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
     fitted = spark.createDataFrame([(*(r[n] for n in names), float(min(1.0, w * factor))) for r, w in zip(rows, weight, strict=True)], f"{kinds}, probability double")
-    on = [docs[n].eqNullSafe(fitted[f"c{i}"]) for i, n in enumerate(names)]
-    out = docs.join(F.broadcast(fitted), on, "left").drop(*[f"c{i}" for i in range(len(names))])  # MOST_CELLS rows at most
+    on = [docs[n].eqNullSafe(fitted[f"__mix{i}"]) for i, n in enumerate(names)]
+    out = docs.join(F.broadcast(fitted), on, "left").drop(*[f"__mix{i}" for i in range(len(names))])  # MOST_CELLS rows at most
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return out.withColumn("sampled", u < F.col("probability"))
 

@@ -60,6 +60,12 @@ def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
     assert sorted(tuple(r) for r in ngram_join.ngram_components(d).collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
 
 
+def test_ngram_components_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "SALTS", 3)
+    test_ngram_components(spark, 5, 80)
+
+
 def test_blocked_product_links_the_rest_of_a_cluster():
     r = np.random.default_rng(5)
     base = r.choice(1 << 40, 100, replace=False).astype(np.uint64)
@@ -139,6 +145,20 @@ def test_slot_counts_do_not_wrap(last):
     assert np.unpackbits(np.frombuffer(out["bits"], dtype=np.uint8))[3] == 1 and np.frombuffer(out["hot"], dtype="u4").tolist() == [3]
 
 
+def test_suffix_dedup_across_unit_borders(spark):
+    """A text longer than a unit, with passages that repeat inside it, across its units' borders and in another text."""
+    r = random.Random(14)
+    words_ = lambda n: " ".join("".join(r.choices("abcdefgé", k=r.randrange(2, 9))) for _ in range(n))
+    passage = words_(40)
+    long = ""
+    while len(long.encode()) < 700_000:
+        long += words_(6000) + " " + passage + " "
+    border = long.encode()[suffix_dedup._UNIT - 150 : suffix_dedup._UNIT + 150].decode("utf-8", "ignore")
+    rows = [(1, long, "en"), (2, f"{words_(9)} {border} {passage}", "en"), (3, "z" * 600_000, "en")]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, DOCS), 100, keep_text=False, keep_bytes=False).collect()}
+    assert got == {i: x[0] for i, x in removed(rows, 100).items()} and got[2][1] > 400 and got[3][1] == 599_999
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
     r = suffix_dedup.suffix_dedup(spark.createDataFrame([(None, "a" * 300, "x")], DOCS)).first()
@@ -243,6 +263,22 @@ def test_ppm_without_training(spark):
     assert [x.n_known for x in r] == [0, 0] and r[0].score == pytest.approx(-3 * np.log10(256)) and r[0].train_tokens == 0
 
 
+def test_ppm_of_nothing_repeated_rows_long_texts_and_clashing_columns(spark):
+    assert ppm.ppm_scores(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
+    long = "kolm ta " * 150_000
+    rows = [(1, "kolm ta", "x"), (1, "kolm ta", "x"), (2, long, "x"), (None, "kolm", "x")]
+    d = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("score", "edges", "key", "n", "kind", "row", "times")})
+    got = sorted(((r.doc_id or 0, r.n_tokens, r.n_known, r.score) for r in ppm.ppm_scores(d, F.lit(True)).collect()), key=str)
+    assert [x[:3] for x in got] == [(0, 2, 2), (1, 3, 3), (1, 3, 3), (2, 300_001, 300_001)] and got[1] == got[2]
+    out = ppm.ppm_scores(d, F.lit(True))
+    assert {"key", "n", "kind"} <= set(out.columns) and out.where("key = 'clash'").count() == 4
+    keys = np.concatenate([k for k, _, _ in ppm._keys([t for _, t, _ in rows])])
+    edges = [np.unique(keys & ppm._mask(k + 1), return_counts=True) for k in range(ppm.ORDER + 1)]
+    trie = ppm.build_trie([(e, n.astype(np.int64)) for e, n in edges])
+    want = ppm.code_lengths(trie, np.concatenate([k for k, _, _ in ppm._keys([long])])).sum()
+    assert got[3][3] == pytest.approx(want, rel=1e-6)
+
+
 def labelled(n=240):
     r = random.Random(2)
     rows, labels = [], []
@@ -433,6 +469,22 @@ def test_nearest(spark):
     assert lsh_forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    """Rows that repeat an id count each as candidates; a query in several rows is asked once, by its smallest vector."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 3.0]), (2, [5.0, 1.0])]
+    got = lsh_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit("clash")), F.col("vec_id") == 0, 20).collect()
+    assert [(g.rank, g.vec_id, g.score) for g in sorted(got, key=lambda g: g.rank)] == [(1, 1, 3.0), (2, 1, 2.0), (3, 2, 1.0)]
+
+
+def test_mixing_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, "n " * 300_000, "en", "a"), (2, None, None, "a"), (2, "", "de", "b"), (None, "t t", "de", "b")]
+    d = mixing.with_topic(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    d = d.withColumns({c: F.lit("clash") for c in ("c0", "c1", "probability", "sampled", "tokens")})
+    got = {(r.doc_id, r.text and r.text[:2]): r for r in mixing.mixed(d).collect()}
+    assert len(got) == 4 and all(r.c0 == r.c1 == r.tokens == "clash" and 0 <= r.probability <= 1 for r in got.values())
+    assert [got[k].topic for k in ((1, "n "), (2, None), (2, ""), (None, "t "))] == [1, -1, -1, 0] and got[1, "n "].n_tokens == 300_000
+
+
 def test_mixing_meets_the_margins(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.randrange(0, 9)) if i % 50 else None, r.choice(["en", "de", None]), r.choice("abbbbb")) for i in range(400)]
