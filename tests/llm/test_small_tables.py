@@ -308,6 +308,25 @@ def test_classifiers_hold_out(spark, f, label, least):
     assert {r.doc_id: r.score for r in f(d, changed, F.col("doc_id") % 3 != 1).collect()} == {r.doc_id: r.score for r in got}
 
 
+def test_quality_statistics_by_brute_force():
+    some = [t for _, t, _ in texts(40)] + ["A b! a  B?\n\nx | [1] 22\nx | [1] 22", "ÄÖ ß", "\t"]
+    got = quality.statistics(some)
+    for t, row in zip(some, got, strict=True):
+        t = t or ""
+        data = t.encode()
+        w = re.findall("[^\\x20\\x09-\\x0D]+", lower(t))
+        n, size = max(len(w), 1), max(len(data), 1)
+        upper, small = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+        assert row[:2].tolist() == pytest.approx([np.log1p(len(data)), np.log1p(len(w))])
+        assert row[2] == pytest.approx((len(data) - len(re.findall("[ \\n\\r\\t\\v\\f]", t))) / n)
+        assert row[3 + 1] == pytest.approx(small / size) and row[3 + 2] == pytest.approx(upper / size) and row[3 + 3] == pytest.approx(len(re.findall("[0-9]", t)) / size)
+        assert row[3 + 11] == pytest.approx(sum(c >= 128 for c in data) / size) and row[15] == pytest.approx(upper / max(small + upper, 1))
+        pairs = list(zip(w, w[1:]))
+        lines = t.split("\n")
+        want = [len(set(w)) / n, max(map(w.count, set(w)), default=0) / n, len(set(pairs)) / max(len(pairs), 1) if pairs else row[-5], sum(x == y for x, y in pairs) / n, len(lines), len(set(lines)) / len(lines), len(data) / len(lines)]
+        assert row[-7:].tolist() == pytest.approx(want)
+
+
 def test_classifiers_without_labels(spark):
     d, lab = spark.createDataFrame([(1, "a b", "x")], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality_scores(d, lab, F.lit(True)).first().score == 0.5
