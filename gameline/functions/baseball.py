@@ -38,13 +38,16 @@ def score_at_half(innings: Column, inning: Column, half: Column) -> Column:
 def play_context(play: Column) -> Column:
     """struct(inning, half, outs): from the play, else from its last event."""
     about, last = play["about"], F.try_element_at(play["playEvents"], F.lit(-1))
-    half = F.coalesce(about["halfInning"], F.when(last["isTopInning"].isNotNull(), F.when(last["isTopInning"], "top").otherwise("bottom")), last["halfInning"])
-    return F.struct(F.coalesce(about["inning"], last["inning"]).cast("int").alias("inning"), F.lower(half).alias("half"), F.coalesce(about["outs"], last["outs"], last["count"]["outs"]).cast("int").alias("outs"))
+    half = F.coalesce(about["halfInning"], F.when(last["isTopInning"].isNotNull(), F.when(last["isTopInning"],
+        "top").otherwise("bottom")), last["halfInning"])
+    return F.struct(F.coalesce(about["inning"], last["inning"]).cast("int").alias("inning"), F.lower(half).alias("half"),
+        F.coalesce(about["outs"], last["outs"], last["count"]["outs"]).cast("int").alias("outs"))
 
 
 def pitch_row_id(*keys: Column, date: Column) -> Column:
     """md5 of the date and five integer keys joined by bars; missing ones have their customary names."""
-    return F.md5(F.concat_ws("|", F.coalesce(date.cast("string"), F.lit("NaT")), *[F.coalesce(k.cast("long").cast("string"), F.lit("<NA>")) for k in keys]))
+    return F.md5(F.concat_ws("|", F.coalesce(date.cast("string"), F.lit("NaT")), *[F.coalesce(k.cast("long").cast("string"),
+        F.lit("<NA>")) for k in keys]))
 
 
 def c_to_f(c: Column) -> Column:

@@ -18,8 +18,10 @@ EV_THRESHOLDS = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05)
 def market_consensus(latest: DataFrame, max_abs: float = 2000) -> DataFrame:
     """Exact median of the books' vig-free home probability, their number, and the median's odds of both sides."""
     ok = latest.where(O.valid_odds(F.col("home_price"), max_abs) & O.valid_odds(F.col("away_price"), max_abs))
-    m = ok.groupBy("game_id").agg(F.median(O.vig_free(F.col("home_price"), F.col("away_price"))).alias("p_home_median"), F.count(F.lit(1)).alias("n_books_ml"))
-    return m.withColumns({"home_price_close_consensus": O.prob_to_american(F.col("p_home_median")), "away_price_close_consensus": O.prob_to_american(1 - F.col("p_home_median"))})
+    m = ok.groupBy("game_id").agg(F.median(O.vig_free(F.col("home_price"), F.col("away_price"))).alias("p_home_median"),
+        F.count(F.lit(1)).alias("n_books_ml"))
+    return m.withColumns({"home_price_close_consensus": O.prob_to_american(F.col("p_home_median")),
+        "away_price_close_consensus": O.prob_to_american(1 - F.col("p_home_median"))})
 
 
 def earliest_commence(odds: DataFrame) -> DataFrame:
@@ -41,7 +43,8 @@ def lineup_vectors(batters: DataFrame) -> DataFrame:
 
 def regression_report(df: DataFrame, y: str, p: str) -> DataFrame:
     d = F.col(y) - F.col(p)
-    return df.groupBy("split").agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(y).alias("mean_true"), F.avg(p).alias("mean_pred"))
+    return df.groupBy("split").agg(F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"),
+        F.avg(y).alias("mean_true"), F.avg(p).alias("mean_pred"))
 
 
 def blend_losses(df: DataFrame, model: str, market: str, y: str, weights=WEIGHTS) -> DataFrame:
@@ -60,9 +63,11 @@ def graded_bets(df: DataFrame) -> DataFrame:
     ev_home, ev_away = O.expected_value(F.col("p_home"), F.col("home_price")), O.expected_value(1 - F.col("p_home"), F.col("away_price"))
     d = df.withColumns({"ev_home": ev_home, "ev_away": ev_away})
     home = F.coalesce(F.col("ev_home") >= F.col("ev_away"), F.lit(False))
-    d = d.withColumns({"best_side": F.when(home, "HOME").otherwise("AWAY"), "best_ev": F.when(home, F.col("ev_home")).otherwise(F.col("ev_away")), "best_odds": F.when(home, F.col("home_price")).otherwise(F.col("away_price"))})
+    d = d.withColumns({"best_side": F.when(home, "HOME").otherwise("AWAY"), "best_ev": F.when(home,
+        F.col("ev_home")).otherwise(F.col("ev_away")), "best_odds": F.when(home, F.col("home_price")).otherwise(F.col("away_price"))})
     won = F.when(F.col("best_side") == "HOME", F.col("home_win") == 1).otherwise(F.col("home_win") == 0)
-    return d.withColumns({"won": won.cast("int"), "profit_if_win": O.profit_if_win(F.col("best_odds"))}).withColumn("profit", F.when(F.col("won") == 1, F.col("profit_if_win")).otherwise(-1.0))
+    return d.withColumns({"won": won.cast("int"), "profit_if_win": O.profit_if_win(F.col("best_odds"))}).withColumn("profit",
+        F.when(F.col("won") == 1, F.col("profit_if_win")).otherwise(-1.0))
 
 
 def ev_sweep(bets: DataFrame, thresholds=EV_THRESHOLDS, books: str = "n_books_ml") -> DataFrame:
@@ -70,21 +75,27 @@ def ev_sweep(bets: DataFrame, thresholds=EV_THRESHOLDS, books: str = "n_books_ml
     aggs = []
     for i, t in enumerate(thresholds):
         hit = F.col("best_ev") >= t
-        aggs += [F.count(F.when(hit, 1)).alias(f"n{i}"), *[F.avg(F.when(hit, F.col(c).cast("double"))).alias(f"{c}{i}") for c in ("profit", "won", "best_ev", "profit_if_win", books)]]
+        aggs += [F.count(F.when(hit, 1)).alias(f"n{i}"), *[F.avg(F.when(hit, F.col(c).cast("double"))).alias(f"{c}{i}") for c in ("profit",
+            "won", "best_ev", "profit_if_win", books)]]
     one = bets.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(float(t)).alias("ev_threshold"), F.col(f"n{i}").alias("n_bets"), F.col(f"profit{i}").alias("roi"), F.col(f"won{i}").alias("win_rate"), F.col(f"best_ev{i}").alias("avg_ev"), F.col(f"profit_if_win{i}").alias("avg_profit_if_win"), F.col(f"{books}{i}").alias("avg_books")) for i, t in enumerate(thresholds)])
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("ev_threshold"), F.col(f"n{i}").alias("n_bets"),
+        F.col(f"profit{i}").alias("roi"), F.col(f"won{i}").alias("win_rate"), F.col(f"best_ev{i}").alias("avg_ev"),
+        F.col(f"profit_if_win{i}").alias("avg_profit_if_win"), F.col(f"{books}{i}").alias("avg_books")) for i,
+        t in enumerate(thresholds)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def binary_report(df: DataFrame, p: str, y: str, by: str = "split") -> DataFrame:
     d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    r = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(P.log_loss(F.col(p), F.col(y))).alias("log_loss"), F.avg(P.brier(F.col(p), F.col(y))).alias("brier"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
+    r = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(P.log_loss(F.col(p), F.col(y))).alias("log_loss"),
+        F.avg(P.brier(F.col(p), F.col(y))).alias("brier"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
     return r.join(windows.auc(d, p, y, by), by)
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, and for each column its non-nulls, mean, least and greatest value."""
-    return df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("count", F.count), ("avg", F.avg), ("min", F.min), ("max", F.max))])
+    return df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in columns for name,
+        f in (("count", F.count), ("avg", F.avg), ("min", F.min), ("max", F.max))])
 
 
 def mean_by_side(df: DataFrame, target: str) -> DataFrame:
@@ -93,7 +104,10 @@ def mean_by_side(df: DataFrame, target: str) -> DataFrame:
 
 def prediction_summary(df: DataFrame) -> DataFrame:
     s = F.col("p_home_model") + F.col("p_away_model")
-    return df.agg(F.min(s).alias("p_sum_min"), F.avg(s).alias("p_sum_mean"), F.max(s).alias("p_sum_max"), F.avg("edge_home").alias("edge_home_mean"), F.avg("edge_away").alias("edge_away_mean"), F.avg("run_diff_pred").alias("run_diff_mean"), F.stddev_samp("run_diff_pred").alias("run_diff_std"), F.min("run_diff_pred").alias("run_diff_min"), F.max("run_diff_pred").alias("run_diff_max"))
+    return df.agg(F.min(s).alias("p_sum_min"), F.avg(s).alias("p_sum_mean"), F.max(s).alias("p_sum_max"),
+        F.avg("edge_home").alias("edge_home_mean"), F.avg("edge_away").alias("edge_away_mean"), F.avg("run_diff_pred").alias("run_diff_mean"),
+        F.stddev_samp("run_diff_pred").alias("run_diff_std"), F.min("run_diff_pred").alias("run_diff_min"),
+        F.max("run_diff_pred").alias("run_diff_max"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -110,7 +124,8 @@ def top_bets(df: DataFrame, k: int, min_books: int) -> DataFrame:
     order = [F.desc("__bet"), F.desc("best_edge"), "game_id"]
     rows = tiers.withColumn("__rank", F.row_number().over(Window.partitionBy("__enough").orderBy(*order))).where(F.col("__rank") <= k)
     rows = rows.withColumn("__any", F.max("__enough").over(Window.partitionBy(F.lit(1))))
-    return rows.where("__bet and (__enough or not __any)").orderBy(F.desc("best_edge"), "game_id").limit(k).drop("__enough", "__bet", "__rank", "__any")
+    return rows.where("__bet and (__enough or not __any)").orderBy(F.desc("best_edge"), "game_id").limit(k).drop("__enough",
+        "__bet", "__rank", "__any")
 
 
 def largest_edges(df: DataFrame, k: int = 5) -> DataFrame:
@@ -125,10 +140,15 @@ def importances(df: DataFrame) -> DataFrame:
 def edges(df: DataFrame, least: float = 0.01) -> DataFrame:
     """Edges and expected values of both sides and the best side: home on ties; away, without an edge, where the market
     is unknown; NO_BET and nulls below the least edge."""
-    d = df.withColumns({"edge_home": F.col("p_home_model") - F.col("p_home_market_median"), "edge_away": F.col("p_away_model") - F.col("p_away_market_median"), "ev_home": O.expected_value(F.col("p_home_model"), F.col("home_price_consensus")), "ev_away": O.expected_value(F.col("p_away_model"), F.col("away_price_consensus"))})
+    d = df.withColumns({"edge_home": F.col("p_home_model") - F.col("p_home_market_median"),
+        "edge_away": F.col("p_away_model") - F.col("p_away_market_median"), "ev_home": O.expected_value(F.col("p_home_model"),
+        F.col("home_price_consensus")), "ev_away": O.expected_value(F.col("p_away_model"), F.col("away_price_consensus"))})
     known = F.col("edge_home").isNotNull() & F.col("edge_away").isNotNull()
     home = F.coalesce(F.col("edge_home") >= F.col("edge_away"), F.lit(False))
     best = F.when(known, F.greatest("edge_home", "edge_away"))
     out = best < least
     pick = lambda a, b: F.when(F.coalesce(out, F.lit(False)), F.lit(None)).when(home, F.col(a)).otherwise(F.col(b))
-    return d.withColumns({"best_side": F.when(F.coalesce(out, F.lit(False)), "NO_BET").when(home, "HOME").otherwise("AWAY"), "best_edge": F.when(~F.coalesce(out, F.lit(False)), best), "best_ev": pick("ev_home", "ev_away"), "best_p_model": pick("p_home_model", "p_away_model"), "best_p_market": pick("p_home_market_median", "p_away_market_median")})
+    return d.withColumns({"best_side": F.when(F.coalesce(out, F.lit(False)), "NO_BET").when(home,
+        "HOME").otherwise("AWAY"), "best_edge": F.when(~F.coalesce(out, F.lit(False)), best),
+        "best_ev": pick("ev_home", "ev_away"), "best_p_model": pick("p_home_model", "p_away_model"),
+        "best_p_market": pick("p_home_market_median", "p_away_market_median")})

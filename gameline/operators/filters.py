@@ -56,7 +56,8 @@ def split_by_date(df: DataFrame, train_end: str, val_end: str, test_end: str, co
     """df with a split column: train up to train_end, then val, then test; later rows go. check raises on an empty split."""
     d = F.col(column)
     day = lambda x: F.lit(x).cast("date")
-    out = df.withColumn("split", F.when(d <= day(train_end), "train").when(d <= day(val_end), "val").when(d <= day(test_end), "test")).where("split is not null")
+    out = df.withColumn("split", F.when(d <= day(train_end), "train").when(d <= day(val_end), "val").when(d <= day(test_end),
+        "test")).where("split is not null")
     if check and out.select("split").distinct().count() < 3:
         raise ValueError("a split has no rows")
     return out

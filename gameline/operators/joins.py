@@ -10,7 +10,8 @@ FORM = ("win_pct_30", "runs_for_30", "runs_against_30", "avg_runs_scored_60", "a
 
 def both_sides(games: DataFrame, form: DataFrame, columns=FORM) -> DataFrame:
     """games with home_ and away_ columns of its teams' rows: one grouping by game instead of two joins."""
-    aggs = [F.max(F.when(F.col("is_home") == flag, F.col(c))).alias(f"{side}_{c}") for side, flag in (("home", True), ("away", False)) for c in columns]
+    aggs = [F.max(F.when(F.col("is_home") == flag, F.col(c))).alias(f"{side}_{c}") for side, flag in (("home",
+        True), ("away", False)) for c in columns]
     return games.join(form.groupBy("game_id").agg(*aggs), "game_id", "left")
 
 
@@ -31,9 +32,11 @@ def with_names(games: DataFrame, features: DataFrame, teams: DataFrame) -> DataF
     planner broadcasts them where statistics say so."""
     t = teams.select("mlb_team_id", "team_name")
     home, away = t.toDF("h_id", "h_name"), t.toDF("a_id", "a_name")
-    g = games.join(features, "game_id").join(home, F.col("home_team_id") == F.col("h_id"), "left").join(away, F.col("away_team_id") == F.col("a_id"), "left")
+    g = games.join(features, "game_id").join(home, F.col("home_team_id") == F.col("h_id"), "left").join(away,
+        F.col("away_team_id") == F.col("a_id"), "left")
     name = lambda n, i: F.coalesce(F.col(n), F.col(i).cast("string"))
-    return g.withColumns({"home_team": name("h_name", "home_team_id"), "away_team": name("a_name", "away_team_id")}).drop("h_id", "h_name", "a_id", "a_name")
+    return g.withColumns({"home_team": name("h_name", "home_team_id"), "away_team": name("a_name",
+        "away_team_id")}).drop("h_id", "h_name", "a_id", "a_name")
 
 
 def with_market(predictions: DataFrame, market: DataFrame) -> DataFrame:
@@ -60,7 +63,8 @@ def lacking_starts(games: DataFrame, starters: DataFrame, starts: DataFrame) ->
 
 def lacking_context(games: DataFrame, appearances: DataFrame) -> DataFrame:
     """Regular games with relief rows that miss any entry context."""
-    bad = appearances.where("not is_starter and (inning_entered is null or outs_on_entry is null or score_diff_on_entry is null or is_high_leverage is null)")
+    bad = appearances.where("not is_starter and (inning_entered is null or outs_on_entry is null or score_diff_on_entry is null "
+        "or is_high_leverage is null)")
     return games.where("game_type = 'R'").join(bad.select("game_id"), "game_id", "left_semi")
 
 
@@ -69,10 +73,13 @@ def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365)
     even where it holds nulls. Both sides are one sorted stream for each entity: no inequality join. Null entities are
     kept apart, so that they do not meet in one group."""
     values = [c for c in rollups.columns if c not in (entity, "as_of_date", "window_days")]
-    r = rollups.where((F.col("window_days") == days) & F.col(entity).isNotNull()).select(F.col(entity), F.col("as_of_date").alias("at"), F.lit(0).alias("ask"), F.struct(*values).alias("found"))
-    asked = lookups.where(F.col(entity).isNotNull()).select(F.col(entity), F.date_sub("game_date", 1).alias("at"), F.lit(1).alias("ask"), F.struct(*[F.col(c) for c in lookups.columns]).alias("row"))
+    r = rollups.where((F.col("window_days") == days) & F.col(entity).isNotNull()).select(F.col(entity),
+        F.col("as_of_date").alias("at"), F.lit(0).alias("ask"), F.struct(*values).alias("found"))
+    asked = lookups.where(F.col(entity).isNotNull()).select(F.col(entity), F.date_sub("game_date", 1).alias("at"),
+        F.lit(1).alias("ask"), F.struct(*[F.col(c) for c in lookups.columns]).alias("row"))
     w = Window.partitionBy(entity).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    hit = r.unionByName(asked, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(w)).where("ask = 1").select("row.*", "found.*")
+    hit = r.unionByName(asked, allowMissingColumns=True).withColumn("found", F.last("found",
+        ignorenulls=True).over(w)).where("ask = 1").select("row.*", "found.*")
     none = lookups.where(F.col(entity).isNull()).select("*", *[F.lit(None).cast(rollups.schema[c].dataType).alias(c) for c in values])
     return hit.unionByName(none)
 
@@ -86,7 +93,9 @@ def nearest_hour(games: DataFrame, hourly: DataFrame, reach: int = 3) -> DataFra
     asked = games.select("*", h.alias("center"), F.explode(F.sequence(low, high, F.expr("interval 1 hour"))).alias("hour"))
     gap = F.abs(F.unix_timestamp("hour") - F.unix_timestamp("center"))
     values = [c for c in hourly.columns if c != "venue_id"]
-    return asked.join(hourly, ["venue_id", "hour"]).groupBy("game_id", "venue_id", "commence_time").agg(F.min_by(F.struct(*values), F.struct(gap, "hour")).alias("found")).select("game_id", "venue_id", "commence_time", "found.*")
+    return asked.join(hourly, ["venue_id", "hour"]).groupBy("game_id", "venue_id", "commence_time").agg(F.min_by(F.struct(*values),
+        F.struct(gap, "hour")).alias("found")).select("game_id", "venue_id", "commence_time",
+        "found.*")
 
 
 def odds_game_id(odds: DataFrame, games: DataFrame) -> DataFrame:
@@ -98,8 +107,10 @@ def odds_game_id(odds: DataFrame, games: DataFrame) -> DataFrame:
 def commence_times(games: DataFrame, odds_times: DataFrame, schedule_times: DataFrame) -> DataFrame:
     """Games of the range with the odds' commence time, else the schedule's."""
     o, s = odds_times.select("game_id", F.col("commence_time").alias("o")), schedule_times.select("game_id", F.col("commence_time").alias("s"))
-    return games.select("game_id").join(o, "game_id", "left").join(s, "game_id", "left").select("game_id", F.coalesce("o", "s").alias("commence_time"))
+    return games.select("game_id").join(o, "game_id", "left").join(s, "game_id", "left").select("game_id",
+        F.coalesce("o", "s").alias("commence_time"))
 
 
 def located(games: DataFrame, venues: DataFrame) -> DataFrame:
-    return games.where("commence_time is not null").join(venues.where("lat is not null and lon is not null").select("venue_id", "lat", "lon"), "venue_id")
+    return games.where("commence_time is not null").join(venues.where("lat is not null and lon is not null").select("venue_id",
+        "lat", "lon"), "venue_id")

@@ -19,7 +19,8 @@ from gameline.functions.prob import clipped
 
 
 def _assembled(features: list[str]) -> list:
-    return [Imputer(inputCols=features, outputCols=[f"{c}__f" for c in features]), VectorAssembler(inputCols=[f"{c}__f" for c in features], outputCol="features")]
+    return [Imputer(inputCols=features, outputCols=[f"{c}__f" for c in features]), VectorAssembler(inputCols=[f"{c}__f" for c in features],
+        outputCol="features")]
 
 
 def _doubles(df: DataFrame, features: list[str]) -> DataFrame:
@@ -28,7 +29,8 @@ def _doubles(df: DataFrame, features: list[str]) -> DataFrame:
 
 def fit_runs(train: DataFrame, features: list[str], target: str, power: float = 1.2, prediction: str = "prediction") -> PipelineModel:
     """A Tweedie regression of runs with a log link."""
-    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=target, predictionCol=prediction, regParam=0.01, maxIter=25)
+    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=target,
+        predictionCol=prediction, regParam=0.01, maxIter=25)
     return Pipeline(stages=[*_assembled(features), glm]).fit(_doubles(train, [*features, target]))
 
 
@@ -72,7 +74,8 @@ def score_any(df: DataFrame, model, features: list[str], name: str) -> DataFrame
 def run_columns(df: DataFrame, home: str, away: str) -> DataFrame:
     """Predictions of at least 0.1 with their total and difference."""
     d = df.withColumns({"home_runs_pred": clipped(F.col(home), 0.1), "away_runs_pred": clipped(F.col(away), 0.1)})
-    return d.withColumns({"total_runs_pred": F.col("home_runs_pred") + F.col("away_runs_pred"), "run_diff_pred": F.col("home_runs_pred") - F.col("away_runs_pred")})
+    return d.withColumns({"total_runs_pred": F.col("home_runs_pred") + F.col("away_runs_pred"),
+        "run_diff_pred": F.col("home_runs_pred") - F.col("away_runs_pred")})
 
 
 def tree_importances(model: PipelineModel, features: list[str], df: DataFrame) -> DataFrame:

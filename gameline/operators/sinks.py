@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _joined(target: DataFrame, updates: DataFrame, keys: list[str], how: str) -> DataFrame:
-    u = updates.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in updates.columns if c not in keys], F.lit(True).alias("__hit"))
+    u = updates.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in updates.columns if c not in keys],
+        F.lit(True).alias("__hit"))
     t = target.withColumn("__own", F.lit(True))
     on = [F.col(k) == F.col(f"__{k}") for k in keys]
     return t.join(u, on, how)

@@ -28,18 +28,21 @@ def starter_form(starts: DataFrame, games: int = 5) -> DataFrame:
     """Runs per 27 outs and innings per start over a pitcher's last starts, this one excluded."""
     w = Window.partitionBy("pitcher_id").orderBy("game_date", "game_id").rowsBetween(-games, -1)
     outs, runs, n = F.sum("outs_pitched").over(w), F.sum("runs_allowed").over(w), F.count("game_id").over(w)
-    return starts.where("outs_pitched is not null and runs_allowed is not null").select("game_id", "pitcher_id", F.when(outs > 0, 27.0 * runs / outs).alias("sp_ra9_last5"), F.when(n > 0, outs / 3.0 / n).alias("sp_ip_per_start_last5"))
+    return starts.where("outs_pitched is not null and runs_allowed is not null").select("game_id",
+        "pitcher_id", F.when(outs > 0, 27.0 * runs / outs).alias("sp_ra9_last5"), F.when(n > 0, outs / 3.0 / n).alias("sp_ip_per_start_last5"))
 
 
 def bullpen_load(appearances: DataFrame, team_days: DataFrame, spans=(1, 3, 5)) -> DataFrame:
     """Outs of a team's relievers on the days before each of its game days, all and high-leverage; none is 0. Summed to
     (team, day) first, so a window holds at most a few days."""
     day = F.datediff("game_date", F.lit("1970-01-01"))
-    relief = appearances.where("not is_starter").groupBy("team_id", "game_date").agg(F.sum("outs_pitched").alias("outs"), F.sum(F.when(F.col("is_high_leverage"), F.col("outs_pitched"))).alias("hlev"))
+    relief = appearances.where("not is_starter").groupBy("team_id", "game_date").agg(F.sum("outs_pitched").alias("outs"),
+        F.sum(F.when(F.col("is_high_leverage"), F.col("outs_pitched"))).alias("hlev"))
     wanted = team_days.select("team_id", "game_date").distinct().withColumn("wanted", F.lit(True))
     both = relief.join(wanted, ["team_id", "game_date"], "full_outer").withColumn("day", day)
     w = Window.partitionBy("team_id").orderBy("day")
-    cols = [F.coalesce(F.sum(c).over(w.rangeBetween(-n, -1)), F.lit(0)).cast("long").alias(f"bp_{name}outs_{n}d") for c, name in (("outs", ""), ("hlev", "hlev_")) for n in spans]
+    cols = [F.coalesce(F.sum(c).over(w.rangeBetween(-n, -1)), F.lit(0)).cast("long").alias(f"bp_{name}outs_{n}d") for c,
+        name in (("outs", ""), ("hlev", "hlev_")) for n in spans]
     return both.select("team_id", "game_date", "wanted", *cols).where("wanted").drop("wanted")
 
 
@@ -57,7 +60,8 @@ def auc(df: DataFrame, p: str, y: str, by: str | None = None, buckets: int = 409
     """Exact area under the ROC curve by rank sums, ties counted half. Rows are summed to distinct scores; prefix sums
     run inside buckets of scores and over bucket totals, never over all rows in one task."""
     keys = [by] if by else []
-    d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
+    d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"),
+        F.sum(1 - F.col(y).cast("long")).alias("neg"))
     d = d.withColumn("b", F.floor(F.col("p") * buckets))
     inner = Window.partitionBy(*keys, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,9 +79,11 @@ def _rolling(daily: DataFrame, entity: str, days: int, sums: list[str]) -> DataF
 def pitch_mix(pitches: DataFrame, days: int = 365) -> DataFrame:
     """A pitcher's share of each pitch type over the trailing days up to each date pitched, over typed pitches."""
     kind = F.upper("pitch_type")
-    daily = pitches.where("pitcher is not null and game_date is not null and pitch_type is not null").groupBy("pitcher", "game_date").agg(*[F.sum(F.when(kind == c, 1).otherwise(0)).alias(c) for c in PITCHES], F.count(F.lit(1)).alias("n"))
+    daily = pitches.where("pitcher is not null and game_date is not null and pitch_type is not null").groupBy("pitcher",
+        "game_date").agg(*[F.sum(F.when(kind == c, 1).otherwise(0)).alias(c) for c in PITCHES], F.count(F.lit(1)).alias("n"))
     rolled = _rolling(daily, "pitcher", days, [*PITCHES, "n"])
-    return rolled.select(F.col("pitcher").alias("pitcher_id"), F.col("game_date").alias("as_of_date"), F.lit(days).alias("window_days"), *[(F.col(c) / F.col("n")).alias(f"pct_{c.lower()}") for c in PITCHES])
+    return rolled.select(F.col("pitcher").alias("pitcher_id"), F.col("game_date").alias("as_of_date"),
+        F.lit(days).alias("window_days"), *[(F.col(c) / F.col("n")).alias(f"pct_{c.lower()}") for c in PITCHES])
 
 
 def batter_skill(pitches: DataFrame, days: int = 365) -> DataFrame:
@@ -86,6 +92,7 @@ def batter_skill(pitches: DataFrame, days: int = 365) -> DataFrame:
     sums = [F.sum(F.when(kind == c, F.col(v))).alias(f"{c}_{v[5]}") for c in PITCHES for v in ("woba_value", "woba_denom")]
     daily = pitches.where("batter is not null and game_date is not null and pitch_type is not null").groupBy("batter", "game_date").agg(*sums)
     rolled = _rolling(daily, "batter", days, [f"{c}_{v}" for c in PITCHES for v in "vd"])
-    return rolled.select(F.col("batter").alias("batter_id"), F.col("game_date").alias("as_of_date"), F.lit(days).alias("window_days"), *[F.when(F.col(f"{c}_d") != 0, F.col(f"{c}_v") / F.col(f"{c}_d")).alias(f"skill_{c.lower()}") for c in PITCHES])
+    return rolled.select(F.col("batter").alias("batter_id"), F.col("game_date").alias("as_of_date"),
+        F.lit(days).alias("window_days"), *[F.when(F.col(f"{c}_d") != 0, F.col(f"{c}_v") / F.col(f"{c}_d")).alias(f"skill_{c.lower()}") for c in PITCHES])
 
 

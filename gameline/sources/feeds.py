@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from gameline.functions import baseball as B
 
 _TEAM = "struct<score: int, team: struct<id: int, name: string>>"
-SCHEDULE = f"struct<dates: array<struct<date: string, games: array<struct<gamePk: bigint, season: string, gameDate: string, gameType: string, doubleHeader: string, seriesGameNumber: int, status: struct<detailedState: string>, venue: struct<id: int, name: string>, teams: struct<home: {_TEAM}, away: {_TEAM}>>>>>>"
+SCHEDULE = (f"struct<dates: array<struct<date: string, games: array<struct<gamePk: bigint, season: string, gameDate: string, "
+    f"gameType: string, doubleHeader: string, seriesGameNumber: int, status: struct<detailedState: string>, venue: struct<id: "
+    f"int, name: string>, teams: struct<home: {_TEAM}, away: {_TEAM}>>>>>>")
 TEAMS = "struct<teams: array<struct<id: bigint, name: string, teamName: string, abbreviation: string>>>"
 _PITCHER = "struct<id: int, fullName: string>"
 _BOX = "struct<pitchers: array<bigint>, players: map<string, struct<stats: struct<pitching: struct<inningsPitched: string, runs: int>>>>>"
-LIVE = f"struct<gameData: struct<probablePitchers: struct<home: {_PITCHER}, away: {_PITCHER}>, teams: struct<home: struct<id: int>, away: struct<id: int>>>, liveData: struct<plays: struct<allPlays: array<struct<about: struct<inning: int, halfInning: string, outs: int>, matchup: struct<pitcher: {_PITCHER}>, playEvents: array<struct<inning: int, isTopInning: boolean, halfInning: string, outs: int, count: struct<outs: int>>>>>>, linescore: struct<innings: array<struct<home: struct<runs: int>, away: struct<runs: int>>>>, boxscore: struct<teams: struct<home: {_BOX}, away: {_BOX}>>>>"
-_LINEUP = "struct<team: struct<id: int>, battingOrder: array<string>, players: map<string, struct<person: struct<batSide: struct<code: string>>, batSide: struct<code: string, description: string>, position: struct<abbreviation: string, name: string>>>>"
+LIVE = (f"struct<gameData: struct<probablePitchers: struct<home: {_PITCHER}, away: {_PITCHER}>, teams: struct<home: struct<id: "
+    f"int>, away: struct<id: int>>>, liveData: struct<plays: struct<allPlays: array<struct<about: struct<inning: int, "
+    f"halfInning: string, outs: int>, matchup: struct<pitcher: {_PITCHER}>, playEvents: array<struct<inning: int, isTopInning: "
+    f"boolean, halfInning: string, outs: int, count: struct<outs: int>>>>>>, linescore: struct<innings: array<struct<home: "
+    f"struct<runs: int>, away: struct<runs: int>>>>, boxscore: struct<teams: struct<home: {_BOX}, away: {_BOX}>>>>")
+_LINEUP = ("struct<team: struct<id: int>, battingOrder: array<string>, players: map<string, struct<person: struct<batSide: "
+    "struct<code: string>>, batSide: struct<code: string, description: string>, position: struct<abbreviation: string, name: "
+    "string>>>>")
 BOX = f"struct<teams: struct<home: {_LINEUP}, away: {_LINEUP}>>"
-ODDS = "array<struct<commence_time: string, home_team: string, away_team: string, bookmakers: array<struct<key: string, title: string, markets: array<struct<key: string, outcomes: array<struct<name: string, price: int>>>>>>>>"
-HOURLY = "struct<hourly: struct<time: array<string>, temperature_2m: array<double>, relative_humidity_2m: array<double>, precipitation: array<double>, surface_pressure: array<double>, wind_speed_10m: array<double>, wind_direction_10m: array<double>>>"
+ODDS = ("array<struct<commence_time: string, home_team: string, away_team: string, bookmakers: array<struct<key: string, title: "
+    "string, markets: array<struct<key: string, outcomes: array<struct<name: string, price: int>>>>>>>>")
+HOURLY = ("struct<hourly: struct<time: array<string>, temperature_2m: array<double>, relative_humidity_2m: array<double>, "
+    "precipitation: array<double>, surface_pressure: array<double>, wind_speed_10m: array<double>, wind_direction_10m: "
+    "array<double>>>")
 
 
 def _filled(c: Column) -> Column:
@@ -33,13 +44,17 @@ def schedule_games(docs: DataFrame, column: str = "doc") -> DataFrame:
     g = _games(docs, column).where("g.gamePk is not null")
     h, a = F.col("g.teams.home"), F.col("g.teams.away")
     day = F.col("date").try_cast("date")
-    return g.select(F.col("g.gamePk").alias("game_id"), day.alias("game_date"), F.coalesce(F.col("g.season").try_cast("int"), F.year(day)).alias("season"), F.col("g.status.detailedState").alias("status"), h["team"]["id"].alias("home_team_id"), a["team"]["id"].alias("away_team_id"), h["team"]["name"].alias("home_team_name"), a["team"]["name"].alias("away_team_name"), h["score"].alias("home_runs"), a["score"].alias("away_runs"), (h["score"] > a["score"]).alias("home_win"))
+    return g.select(F.col("g.gamePk").alias("game_id"), day.alias("game_date"), F.coalesce(F.col("g.season").try_cast("int"),
+        F.year(day)).alias("season"), F.col("g.status.detailedState").alias("status"), h["team"]["id"].alias("home_team_id"),
+        a["team"]["id"].alias("away_team_id"), h["team"]["name"].alias("home_team_name"), a["team"]["name"].alias("away_team_name"),
+        h["score"].alias("home_runs"), a["score"].alias("away_runs"), (h["score"] > a["score"]).alias("home_win"))
 
 
 def schedule_venues(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Venue attributes of each game; of a game under several dates the last counts."""
     g = _games(docs, column).where("g.gamePk is not null")
-    row = F.struct(F.col("g.venue.id").alias("venue_id"), F.col("g.venue.name").alias("venue_name"), F.col("g.gameType").alias("game_type"), F.col("g.doubleHeader").alias("doubleheader"), F.col("g.seriesGameNumber").alias("series_game_number"))
+    row = F.struct(F.col("g.venue.id").alias("venue_id"), F.col("g.venue.name").alias("venue_name"),
+        F.col("g.gameType").alias("game_type"), F.col("g.doubleHeader").alias("doubleheader"), F.col("g.seriesGameNumber").alias("series_game_number"))
     return g.groupBy(F.col("g.gamePk").alias("game_id")).agg(F.max_by(row, F.struct("i", "j")).alias("r")).select("game_id", "r.*")
 
 
@@ -51,7 +66,8 @@ def schedule_commence(docs: DataFrame, column: str = "doc") -> DataFrame:
 def teams(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Teams by their first non-empty name; the first row of an id counts."""
     t = docs.select(F.posexplode(F.from_json(column, TEAMS)["teams"]).alias("i", "t")).where("t.id is not null")
-    row = F.struct(F.coalesce(_filled(F.col("t.name")), _filled(F.col("t.teamName")), F.col("t.id").cast("string")).alias("team_name"), F.col("t.abbreviation").alias("abbreviation"), F.col("t.name").alias("name_full"))
+    row = F.struct(F.coalesce(_filled(F.col("t.name")), _filled(F.col("t.teamName")), F.col("t.id").cast("string")).alias("team_name"),
+        F.col("t.abbreviation").alias("abbreviation"), F.col("t.name").alias("name_full"))
     return t.groupBy(F.col("t.id").alias("mlb_team_id")).agg(F.min_by(row, "i").alias("r")).select("mlb_team_id", "r.*")
 
 
@@ -65,21 +81,28 @@ def starters(docs: DataFrame, column: str = "doc", top_half_pitcher: str = "away
     top_half_pitcher="home" takes the rules of the game."""
     d = _live(docs, column)
     probable = F.col("f.gameData.probablePitchers")
-    plays = F.coalesce(F.col("f.liveData.plays.allPlays"), F.array().cast("array<struct<about: struct<inning: int, halfInning: string, outs: int>, matchup: struct<pitcher: struct<id: int, fullName: string>>, playEvents: array<struct<inning: int, isTopInning: boolean, halfInning: string, outs: int, count: struct<outs: int>>>>>"))
+    plays = F.coalesce(F.col("f.liveData.plays.allPlays"), F.array().cast("array<struct<about: struct<inning: int, halfInning: "
+        "string, outs: int>, matchup: struct<pitcher: struct<id: int, fullName: string>>, playEvents: array<struct<inning: int, "
+        "isTopInning: boolean, halfInning: string, outs: int, count: struct<outs: int>>>>>"))
 
     def first(half: str) -> Column:
-        return F.get(F.filter(plays, lambda p: (F.lower(p["about"]["halfInning"]) == half) & p["matchup"]["pitcher"]["id"].isNotNull()), F.lit(0))["matchup"]["pitcher"]
+        return F.get(F.filter(plays, lambda p: (F.lower(p["about"]["halfInning"]) == half) & p["matchup"]["pitcher"]["id"].isNotNull()),
+            F.lit(0))["matchup"]["pitcher"]
 
     seen = {h: first(h) for h in ("top", "bottom")}
     home, away = ("bottom", "top") if top_half_pitcher == "away" else ("top", "bottom")
     both = F.coalesce(probable["home"]["id"].isNotNull() & probable["away"]["id"].isNotNull(), F.lit(False))
     pick = lambda side, half, field: F.when(both, probable[side][field]).otherwise(seen[half][field])
-    return d.select("game_id", pick("home", home, "id").alias("home_sp_id"), pick("home", home, "fullName").alias("home_sp_name"), pick("away", away, "id").alias("away_sp_id"), pick("away", away, "fullName").alias("away_sp_name"), F.when(both, "probable").otherwise("play_by_play").alias("source"))
+    return d.select("game_id", pick("home", home, "id").alias("home_sp_id"), pick("home", home,
+        "fullName").alias("home_sp_name"), pick("away", away, "id").alias("away_sp_id"), pick("away",
+        away, "fullName").alias("away_sp_name"), F.when(both, "probable").otherwise("play_by_play").alias("source"))
 
 
 def _sides(d: DataFrame) -> DataFrame:
     box, of = F.col("f.liveData.boxscore.teams"), F.col("f.gameData.teams")
-    sides = [F.struct(F.lit(s == "home").alias("is_home"), of[s]["id"].alias("team_id"), of[o]["id"].alias("opponent_team_id"), box[s]["pitchers"].alias("pitchers"), box[s]["players"].alias("players")) for s, o in (("home", "away"), ("away", "home"))]
+    sides = [F.struct(F.lit(s == "home").alias("is_home"), of[s]["id"].alias("team_id"), of[o]["id"].alias("opponent_team_id"),
+        box[s]["pitchers"].alias("pitchers"), box[s]["players"].alias("players")) for s, o in (("home",
+        "away"), ("away", "home"))]
     return d.withColumn("s", F.explode(F.array(*sides)))
 
 
@@ -92,14 +115,17 @@ def _line(pid: Column) -> list[Column]:
 def appearances(docs: DataFrame, known: DataFrame, column: str = "doc") -> DataFrame:
     """A row for each pitcher of each side. known has game_id, home_sp_id and away_sp_id."""
     d = _sides(_live(docs, column).join(known.select("game_id", "home_sp_id", "away_sp_id"), "game_id", "left"))
-    p = d.select("game_id", "home_sp_id", "away_sp_id", "s.*").withColumn("pitcher_id", F.explode("pitchers")).withColumn("pitcher_id", F.col("pitcher_id").cast("int"))
+    p = d.select("game_id", "home_sp_id", "away_sp_id", "s.*").withColumn("pitcher_id", F.explode("pitchers")).withColumn("pitcher_id",
+        F.col("pitcher_id").cast("int"))
     sp = F.when(F.col("is_home"), F.col("home_sp_id")).otherwise(F.col("away_sp_id"))
-    return p.select("game_id", "pitcher_id", "team_id", "opponent_team_id", "is_home", F.coalesce(F.col("pitcher_id") == sp, F.lit(False)).alias("is_starter"), *_line(F.col("pitcher_id")))
+    return p.select("game_id", "pitcher_id", "team_id", "opponent_team_id", "is_home", F.coalesce(F.col("pitcher_id") == sp,
+        F.lit(False)).alias("is_starter"), *_line(F.col("pitcher_id")))
 
 
 def starter_lines(docs: DataFrame, known: DataFrame, column: str = "doc") -> DataFrame:
     """A row for each known starter; missing numbers are null."""
-    d = _sides(_live(docs, column).join(known.select("game_id", "home_sp_id", "away_sp_id"), "game_id")).select("game_id", "home_sp_id", "away_sp_id", "s.*")
+    d = _sides(_live(docs, column).join(known.select("game_id", "home_sp_id", "away_sp_id"),
+        "game_id")).select("game_id", "home_sp_id", "away_sp_id", "s.*")
     d = d.withColumn("pitcher_id", F.when(F.col("is_home"), F.col("home_sp_id")).otherwise(F.col("away_sp_id")).cast("int")).where("pitcher_id is not null")
     return d.select("game_id", "pitcher_id", "team_id", "opponent_team_id", "is_home", *_line(F.col("pitcher_id")))
 
@@ -108,25 +134,36 @@ def entry_context(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Inning, outs and score difference at each pitcher's first play for a team, seen from that team."""
     d = _live(docs, column)
     innings = F.col("f.liveData.linescore.innings")
-    plays = d.select("game_id", innings.alias("innings"), F.col("f.gameData.teams").alias("of"), F.posexplode("f.liveData.plays.allPlays").alias("pos", "play"))
+    plays = d.select("game_id", innings.alias("innings"), F.col("f.gameData.teams").alias("of"), F.posexplode("f.liveData.plays.allPlays").alias("pos",
+        
+        "play"))
     p = plays.withColumn("c", B.play_context(F.col("play"))).withColumn("pitcher_id", F.col("play.matchup.pitcher.id"))
     p = p.where("pitcher_id is not null and c.inning is not null and c.half in ('top', 'bottom') and c.outs is not null")
-    s = B.score_at_half(F.coalesce(F.col("innings"), F.array().cast("array<struct<home: struct<runs: int>, away: struct<runs: int>>>")), F.col("c.inning"), F.col("c.half"))
+    s = B.score_at_half(F.coalesce(F.col("innings"), F.array().cast("array<struct<home: struct<runs: int>, away: struct<runs: "
+        "int>>>")), F.col("c.inning"), F.col("c.half"))
     p = p.withColumn("s", s).withColumn("top", F.col("c.half") == "top")
     diff = F.when(F.col("top"), F.col("s.home") - F.col("s.away")).otherwise(F.col("s.away") - F.col("s.home"))
-    p = p.select("game_id", F.when(F.col("top"), F.col("of.home.id")).otherwise(F.col("of.away.id")).alias("team_id"), "pitcher_id", F.struct(F.col("c.inning").alias("inning_entered"), F.col("c.outs").alias("outs_on_entry"), diff.alias("score_diff_on_entry"), B.high_leverage(F.col("c.inning"), diff).alias("is_high_leverage")).alias("row"), "pos")
+    p = p.select("game_id", F.when(F.col("top"), F.col("of.home.id")).otherwise(F.col("of.away.id")).alias("team_id"),
+        "pitcher_id", F.struct(F.col("c.inning").alias("inning_entered"), F.col("c.outs").alias("outs_on_entry"),
+        diff.alias("score_diff_on_entry"), B.high_leverage(F.col("c.inning"), diff).alias("is_high_leverage")).alias("row"),
+        "pos")
     return p.groupBy("game_id", "team_id", "pitcher_id").agg(F.min_by("row", "pos").alias("row")).select("game_id", "team_id", "pitcher_id", "row.*")
 
 
 def lineups(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Batting orders (game_id, game_date, doc): ids that are no integers are skipped before numbering."""
     d = docs.select("game_id", "game_date", F.from_json(column, BOX)["teams"].alias("t"))
-    d = d.select("game_id", "game_date", F.explode(F.array(*[F.struct(F.lit(s == "home").alias("is_home"), F.col("t")[s].alias("side")) for s in ("home", "away")])).alias("s"))
+    d = d.select("game_id", "game_date", F.explode(F.array(*[F.struct(F.lit(s == "home").alias("is_home"),
+        F.col("t")[s].alias("side")) for s in ("home", "away")])).alias("s"))
     ids = F.filter(F.transform("s.side.battingOrder", lambda x: F.regexp_replace(x, "^ID", "").try_cast("int")), lambda x: x.isNotNull())
-    p = d.where("coalesce(s.side.team.id, 0) <> 0").select("game_id", "game_date", F.col("s.side.team.id").alias("team_id"), F.col("s.is_home").alias("is_home"), F.col("s.side.players").alias("players"), F.posexplode(ids).alias("i", "player_id"))
+    p = d.where("coalesce(s.side.team.id, 0) <> 0").select("game_id", "game_date", F.col("s.side.team.id").alias("team_id"),
+        F.col("s.is_home").alias("is_home"), F.col("s.side.players").alias("players"), F.posexplode(ids).alias("i",
+        "player_id"))
     one = F.try_element_at("players", F.concat(F.lit("ID"), F.col("player_id").cast("string")))
     short = lambda *cs: F.substring(F.trim(F.coalesce(*[_filled(c) for c in cs])), 1, 10)
-    return p.select("game_id", "game_date", "team_id", "is_home", (F.col("i") + 1).alias("batting_order"), "player_id", short(one["person"]["batSide"]["code"], one["batSide"]["code"], one["batSide"]["description"]).alias("bats"), short(one["position"]["abbreviation"], one["position"]["name"]).alias("pos"))
+    return p.select("game_id", "game_date", "team_id", "is_home", (F.col("i") + 1).alias("batting_order"),
+        "player_id", short(one["person"]["batSide"]["code"], one["batSide"]["code"], one["batSide"]["description"]).alias("bats"),
+        short(one["position"]["abbreviation"], one["position"]["name"]).alias("pos"))
 
 
 def odds(docs: DataFrame, day: str | None = None, allowed: list[str] = (), column: str = "doc") -> DataFrame:
@@ -142,10 +179,16 @@ def odds(docs: DataFrame, day: str | None = None, allowed: list[str] = (), colum
         b = b.where(F.lower("sportsbook").isin(*[x.lower() for x in allowed]))
     b = b.withColumn("m", F.get(F.filter("b.markets", lambda m: m["key"] == "h2h"), F.lit(0))).where("m is not null")
     price = lambda team: F.try_element_at(F.filter("m.outcomes", lambda o: o["name"] == F.col(team)), F.lit(-1))["price"]
-    return b.select("home_team", "away_team", "commence_time", "sportsbook", F.lit("h2h").alias("market"), price("home_team").alias("home_price"), price("away_team").alias("away_price"))
+    return b.select("home_team", "away_team", "commence_time", "sportsbook", F.lit("h2h").alias("market"),
+        price("home_team").alias("home_price"), price("away_team").alias("away_price"))
 
 
-PITCH_COLUMNS = {"game_date": "date", **dict.fromkeys(("game_pk", "at_bat_number", "pitch_number", "pitcher", "batter", "zone", "balls", "strikes", "inning"), "bigint"), **dict.fromkeys(("release_speed", "release_pos_x", "release_pos_z", "plate_x", "plate_z", "launch_speed", "launch_angle", "hit_distance_sc", "woba_value", "woba_denom", "estimated_woba_using_speedangle"), "double"), **dict.fromkeys(("stand", "p_throws", "pitch_type", "pitch_name", "events", "description", "type", "bb_type", "home_team", "away_team", "inning_topbot"), "string")}
+PITCH_COLUMNS = {"game_date": "date", **dict.fromkeys(("game_pk", "at_bat_number", "pitch_number",
+    "pitcher", "batter", "zone", "balls", "strikes", "inning"), "bigint"), **dict.fromkeys(("release_speed",
+    "release_pos_x", "release_pos_z", "plate_x", "plate_z", "launch_speed", "launch_angle",
+    "hit_distance_sc", "woba_value", "woba_denom", "estimated_woba_using_speedangle"), "double"), **dict.fromkeys(("stand",
+    "p_throws", "pitch_type", "pitch_name", "events", "description", "type", "bb_type", "home_team",
+    "away_team", "inning_topbot"), "string")}
 
 
 def normalized_pitches(df: DataFrame) -> DataFrame:
@@ -158,5 +201,11 @@ def normalized_pitches(df: DataFrame) -> DataFrame:
 def hourly_weather(docs: DataFrame, column: str = "doc") -> DataFrame:
     """A row for each hour of a venue's document (venue_id, doc), in Fahrenheit, miles per hour and inches."""
     h = docs.select("venue_id", F.from_json(column, HOURLY)["hourly"].alias("h"))
-    z = h.select("venue_id", F.explode(F.arrays_zip(*[F.coalesce(F.col(f"h.{c}"), F.array().cast(f"array<{'string' if c == 'time' else 'double'}>")).alias(c) for c in ("time", "temperature_2m", "relative_humidity_2m", "precipitation", "surface_pressure", "wind_speed_10m", "wind_direction_10m")])).alias("z"))
-    return z.select("venue_id", F.try_to_timestamp("z.time").alias("hour"), B.c_to_f(F.col("z.temperature_2m")).alias("temp_f"), B.kmh_to_mph(F.col("z.wind_speed_10m")).alias("wind_mph"), F.col("z.wind_direction_10m").alias("wind_dir_deg"), F.col("z.relative_humidity_2m").alias("humidity"), F.col("z.surface_pressure").alias("pressure_mb"), B.mm_to_in(F.col("z.precipitation")).alias("precip_in"))
+    z = h.select("venue_id", F.explode(F.arrays_zip(*[F.coalesce(F.col(f"h.{c}"), F.array().cast(f"array<{'string' if c == 'time' else 'double'}>")).alias(c) for c in ("time",
+        
+        "temperature_2m", "relative_humidity_2m", "precipitation", "surface_pressure",
+        "wind_speed_10m", "wind_direction_10m")])).alias("z"))
+    return z.select("venue_id", F.try_to_timestamp("z.time").alias("hour"), B.c_to_f(F.col("z.temperature_2m")).alias("temp_f"),
+        B.kmh_to_mph(F.col("z.wind_speed_10m")).alias("wind_mph"), F.col("z.wind_direction_10m").alias("wind_dir_deg"),
+        F.col("z.relative_humidity_2m").alias("humidity"), F.col("z.surface_pressure").alias("pressure_mb"),
+        B.mm_to_in(F.col("z.precipitation")).alias("precip_in"))

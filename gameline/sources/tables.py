@@ -31,7 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def month_ranges(season: int, first: int = 3, last: int = 11, season_end: str | None = None) -> list[tuple[str, str]]:
     """First and last day of each month from March to November, cut at the season's end."""
-    end = min(dt.date(season, last, calendar.monthrange(season, last)[1]), dt.date(season, 11, 30), dt.date.fromisoformat(season_end) if season_end else dt.date.max)
+    end = min(dt.date(season, last, calendar.monthrange(season, last)[1]), dt.date(season, 11, 30),
+        dt.date.fromisoformat(season_end) if season_end else dt.date.max)
     out = []
     for m in range(max(first, 3), last + 1):
         a, b = dt.date(season, m, 1), dt.date(season, m, calendar.monthrange(season, m)[1])
