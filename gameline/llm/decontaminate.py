@@ -113,7 +113,9 @@ def _index(items: list[tuple[str, str]], window: int, count: dict[int, int]) ->
     order = np.argsort(np.array(prefix, dtype=np.uint64), kind="stable")
     held = [sorted(set(holders[i])) for i in order]
     columns = {"prefix": (prefix, "u8"), "offset": (offset, "i4"), "length": (length, "i4"), "low": (low, "i8"), "high": (high, "i8")}
-    return {c: np.array(v, dtype=t)[order] for c, (v, t) in columns.items()} | {"text": bytes(text), "names": list(names), "held": np.array([x for v in held for x in v], dtype=np.int32), "cuts": np.cumsum([0, *map(len, held)])}
+    return {c: np.array(v, dtype=t)[order] for c, (v, t) in columns.items()} | {"text": bytes(text),
+        "names": list(names), "held": np.array([x for v in held for x in v], dtype=np.int32), "cuts": np.cumsum([0,
+        *map(len, held)])}
 
 
 def _window(blobs: list[tuple[int, bytes]], low: int, high: int) -> bytes:
@@ -160,7 +162,9 @@ def _scan(index):
                     last = max(last, b)
                 hit.append(total)
             keep = {c: batch.column(c) for c in batch.schema.names if c not in ("n_words", "n_hit", "items", "spans")}
-            yield pa.record_batch({**keep, "n_words": counts, "n_hit": pa.array(hit, pa.int64()), "items": pa.array([sorted(v) for v in items], pa.list_(pa.string())), "spans": pa.array([np.array(v, dtype=np.int64).tobytes() for v in spans], pa.binary())})
+            yield pa.record_batch({**keep, "n_words": counts, "n_hit": pa.array(hit, pa.int64()),
+                "items": pa.array([sorted(v) for v in items], pa.list_(pa.string())), "spans": pa.array([np.array(v,
+                dtype=np.int64).tobytes() for v in spans], pa.binary())})
 
     return run
 
@@ -180,7 +184,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = parts(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"], BLOCK_BYTES)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("binary")})
+    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
+        "items": F.lit(None).cast("array<string>"), "spans": F.lit(None).cast("binary")})
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         words = np.unique(_hashed([t for _, t in rows])[0])
@@ -189,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
         count = {int(np.int64(r["word"]).view(np.uint64)): r["n"] for r in counts}
         index = spark.sparkContext.broadcast(_index(rows, window, count))
         out = out.mapInArrow(_scan(index), f"{schema}, n_words long, n_hit long, items array<string>, spans binary")
-    return out.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": F.col("n_hit") > 0})
+    return out.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items",
+        ","), 256), "contaminated": F.col("n_hit") > 0})
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, follows the hooks twice, renames the edges' ends and drops
     those inside one tree, so the edge table shrinks by a factor each round. Nulls and self links are ignored; repeated
     edges count once; an empty table gives no rows."""
-    pairs = stored(edges.select("a", "b").where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    pairs = stored(edges.select("a", "b").where("a is not null and b is not null").select(F.least("a",
+        "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     names = None
     while not pairs.isEmpty():
-        both = pairs.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        both = pairs.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("node"),
+            F.col("a").alias("to")))
         first = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")))
         hook = first
         for _ in range(2):  # hooks lead to smaller nodes only
@@ -27,14 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
         released(first)
         a, b = hook.toDF("a", "x"), hook.toDF("b", "y")
         moved = pairs.join(a, "a").join(b, "b").select("x", "y")
-        rest = hook.select("node", F.col("root").alias("x")).join(hook.select(F.col("node").alias("x"), F.col("root").alias("y")), "x").select("x", "y")  # hooks not followed to their end
+        rest = hook.select("node", F.col("root").alias("x")).join(hook.select(F.col("node").alias("x"),
+            F.col("root").alias("y")), "x").select("x", "y")  # hooks not followed to their end
         fewer = stored(moved.unionByName(rest).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         released(pairs)
         pairs = fewer
         if names is None:
             names = hook
         else:
-            renamed = stored(names.join(hook.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+            renamed = stored(names.join(hook.select(F.col("node").alias("root"), F.col("root").alias("above")),
+                "root", "left").select("node", F.coalesce("above", "root").alias("root")))
             released(names, hook)
             names = renamed
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")) if names is None else names

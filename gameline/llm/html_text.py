@@ -44,7 +44,11 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 #: Marks a training label in a rewritten page; pages themselves are learned from without this character.
 _MARK = "\0"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
-_GROUPS = (("article", "main"), ("nav", "menu"), ("footer",), ("header",), ("aside",), ("form", "fieldset", "label", "legend", "dialog"), ("p", "blockquote", "pre", "figure", "figcaption"), ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), ("ul", "ol", "li", "dl", "dt", "dd"), ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("div", "section", "details", "summary", "center", "address", "hr"), ("html", "body"), ("head",))
+_GROUPS = (("article", "main"), ("nav", "menu"), ("footer",), ("header",), ("aside",), ("form",
+    "fieldset", "label", "legend", "dialog"), ("p", "blockquote", "pre", "figure", "figcaption"), ("h1",
+    "h2", "h3", "h4", "h5", "h6", "hgroup"), ("ul", "ol", "li", "dl", "dt", "dd"), ("table", "thead",
+    "tbody", "tfoot", "tr", "td", "th", "caption"), ("div", "section", "details", "summary",
+    "center", "address", "hr"), ("html", "body"), ("head",))
 _GROUP = {tag: i for i, tags in enumerate(_GROUPS) for tag in tags}
 _WORDS = (
     ("article", "post", "content", "main", "entry", "story", "body", "text", "page", "prose"),
@@ -58,7 +62,9 @@ _WORDS = (
 )
 _WORD = {w: [i for i, ws in enumerate(_WORDS) if w in ws] for ws in _WORDS for w in ws}
 _ENDS_P = set(_GROUP) - {"html", "body", "head", "label", "legend", "caption"}
-_SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"},
+    {"tr", "table"})}
 
 
 class Forest:
@@ -188,7 +194,10 @@ class Forest:
         for level in self.levels[::-1]:
             root[level] = np.where(self.parent[level] < 0, level, root[parent[level]])
         whole = np.maximum(text[root], 1)
-        return np.column_stack([kind, hit, above, self.depth, np.log1p(text), np.log1p(size), link / np.maximum(text, 1), np.log1p(paragraphs), np.log1p(items), np.log1p(tags), text / tags, stop / np.maximum(text, 1), text / np.maximum(block, 1), siblings, (np.arange(n) - first[parent]) / np.maximum(last[parent] - first[parent], 1), text / whole, text / np.maximum(text[parent], 1)])
+        return np.column_stack([kind, hit, above, self.depth, np.log1p(text), np.log1p(size), link / np.maximum(text,
+            1), np.log1p(paragraphs), np.log1p(items), np.log1p(tags), text / tags, stop / np.maximum(text,
+            1), text / np.maximum(block, 1), siblings, (np.arange(n) - first[parent]) / np.maximum(last[parent] - first[parent],
+            1), text / whole, text / np.maximum(text[parent], 1)])
 
     def decode(self, p: np.ndarray) -> np.ndarray:
         """The likeliest labels in which every kept node's parent is kept; the root is kept."""
@@ -221,11 +230,13 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
         kind = rng.randrange(7)
         links = "".join(f'<li><a href="#">{" ".join(sentence().split()[:4])}</a></li>' for _ in range(rng.randrange(2, 6)))
         open_, close = rng.choice([("aside", "aside"), ("div", "div"), ("section", "section")])
-        name = rng.choice([("sidebar", "widget", "related"), ("comments", "comment", "reply"), ("cookie-notice", "alert", "newsletter"), ("share", "social", "search"), ("ad", "promo", "sponsored")][kind % 5])
+        name = rng.choice([("sidebar", "widget", "related"), ("comments", "comment", "reply"), ("cookie-notice",
+            "alert", "newsletter"), ("share", "social", "search"), ("ad", "promo", "sponsored")][kind % 5])
         if kind == 0:
             return f'<{open_} class="{name}" {_MARK}0><h3>{" ".join(sentence().split()[:3])}</h3><ul>{links}</ul></{close}>'
         if kind == 1:
-            return f'<section class="comments" {_MARK}0>' + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randrange(1, 4))) + "</section>"
+            return f'<section class="comments" {_MARK}0>' + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randrange(1,
+                4))) + "</section>"
         if kind == 2:
             return f'<form action="/s" {_MARK}0><label>{" ".join(sentence().split()[:2])}</label><input name="q"><p>{sentence()}</p></form>'
         if kind == 3:
@@ -241,7 +252,9 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
         source = source.replace("<nav>", f'<header><p>{sentence()}</p></header><nav>', 1)
     inner = extra() if rng.random() < 0.4 else ""
     after = extra() + (extra() if rng.random() < 0.5 else "")
-    open_, close = rng.choice([("<article", "</article>"), ("<main", "</main>"), ('<div class="post-content"', "</div>"), ('<div id="content"', "</div>"), ("<div", "</div>"), ('<section class="entry"', "</section>")])
+    open_, close = rng.choice([("<article", "</article>"), ("<main", "</main>"), ('<div class="post-content"',
+        "</div>"), ('<div id="content"', "</div>"), ("<div", "</div>"), ('<section class="entry"',
+        "</section>")])
     before = extra() if rng.random() < 0.4 else ""
     # functions, so that backslashes of the page's text stay as they are
     source = re.sub(rf"<article\b{_ATTRIBUTES}>", lambda _: f"{before}{open_} {_MARK}1>", source, count=1, flags=re.I)
@@ -252,7 +265,8 @@ def made_pages(n: int, rng: random.Random) -> list[str]:
     """Pages of invented words with a menu, an advert, an article and a footer."""
 
     def words(least: int, most: int) -> str:
-        return " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(least, most)))
+        return " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(1,
+            4))) for _ in range(rng.randrange(least, most)))
 
     def sentences(most: int) -> str:
         return " ".join(f"{words(4, 14).capitalize()}." for _ in range(rng.randrange(1, most)))
@@ -262,7 +276,9 @@ def made_pages(n: int, rng: random.Random) -> list[str]:
         menu = "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randrange(3, 8)))
         text = "".join(f"<p>{sentences(6)}</p>" for _ in range(rng.randrange(1, 9)))
         list_ = f"<ul><li>{words(3, 9)}</li><li>{words(3, 9)}</li></ul>" if rng.random() < 0.3 else ""
-        out.append(f'<html><head><title>x</title></head><body><nav><ul>{menu}</ul></nav><div class="ad">{words(3, 9)}</div><article><h1>{words(2, 8)}</h1>{text}{list_}</article><footer>&copy; {words(2, 9)}.</footer></body></html>')
+        out.append(f'<html><head><title>x</title></head><body><nav><ul>{menu}</ul></nav><div '
+            f'class="ad">{words(3, 9)}</div><article><h1>{words(2, 8)}</h1>{text}{list_}</article><footer>&copy; '
+            f'{words(2, 9)}.</footer></body></html>')
     return out
 
 

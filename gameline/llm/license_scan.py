@@ -24,7 +24,8 @@ THRESHOLD = 0.6
 #: Statements by which files name a license, the usual wording of each.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the "
+        "BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -38,25 +39,44 @@ TEMPLATES = (
     ("Proprietary", "Copyright, all rights reserved, no part may be reproduced without permission."),
     ("Proprietary", "All rights reserved."),
 )
-_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_CONDITIONS = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+    "list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution.")
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
 #: Notices of several lines, and license texts or how they begin. They are compared with spans, headers and files only.
 LONG_TEMPLATES = (
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    ("BSD-2-Clause", _CONDITIONS + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
-    ("BSD-3-Clause", _CONDITIONS + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        'compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+        
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+        "REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", _CONDITIONS + ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY '
+        'EXPRESS OR IMPLIED WARRANTIES'),
+    ("BSD-3-Clause", _CONDITIONS + " Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission."),
+        
     ("GPL-2.0", _GNU.format("General Public License", "2")),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
     ("GPL-3.0", _GNU.format("General Public License", "3")),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        
     ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
     ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        'rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit '
+        'persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice '
+        'and this permission notice shall be included in all copies or substantial portions of the Software.'),
+        
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
 #: Names that count only where no other license matches, as texts that grant a license reserve rights as well.
@@ -194,7 +214,9 @@ def _match(matcher):
         for batch in text_batches(batches, "text"):
             named = [bool(p and _FILE.match(p.rsplit("/", 1)[-1])) for p in batch.column("path").to_pylist()]
             found = [matcher.value.text(t, n) for t, n in zip(batch.column("text").to_pylist(), named)]
-            yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, "own_license": pa.array([n for _, n in found], pa.string()), "own_score": pa.array([s for s, _ in found], pa.float64())})
+            yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"},
+                "own_license": pa.array([n for _, n in found], pa.string()), "own_score": pa.array([s for s,
+                _ in found], pa.float64())})
 
     return run
 
@@ -211,21 +233,25 @@ def license_scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     spark = files.sparkSession
     files = files.drop("own_license", "own_score", "license", "inherited_from").withColumn("text", F.col("text").cast("string"))
     vocabulary = sorted({w for _, t in (*templates, *long) for w in terms(t)})
-    df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_line_counts(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the templates
+    df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_line_counts(vocabulary),
+        "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the templates
     matcher = spark.sparkContext.broadcast(Matcher(templates, df.get("", 0), df, threshold, long))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text")
     own = files.mapInArrow(_match(matcher), f"{schema}, own_license string, own_score double")
     own = stored(own)  # read three times below
-    own = own.withColumn(_DIR, F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
+    own = own.withColumn(_DIR, F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$",
+        "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike("^(?i)(licen[sc]e|copying)([.-].*)?$")
     best = F.min_by("own_license", F.struct(-F.col("own_score"), F.col("own_license")))
     licensed = own.where(named & F.col("own_license").isNotNull()).groupBy(F.col(_DIR).alias("up")).agg(best.alias("license"))
     dirs = own.select(_DIR).where(F.col(_DIR).isNotNull()).distinct()
     parts = F.split(_DIR, "/")
-    above = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(parts)))).select(_DIR, F.array_join(F.slice(parts, 1, F.col("k")), "/").alias("up"), "k")
+    above = dirs.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(parts)))).select(_DIR, F.array_join(F.slice(parts,
+        1, F.col("k")), "/").alias("up"), "k")
     nearest = above.join(licensed, "up").groupBy(_DIR).agg(F.max_by(F.struct("license", "up"), "k").alias("near"))
     near = own.join(nearest.toDF(_DIR, _NEAR), _DIR, "left")
-    out = near.withColumns({"license": F.coalesce("own_license", f"{_NEAR}.license"), "inherited_from": F.when(F.col("own_license").isNull(), F.col(f"{_NEAR}.up"))})
+    out = near.withColumns({"license": F.coalesce("own_license", f"{_NEAR}.license"),
+        "inherited_from": F.when(F.col("own_license").isNull(), F.col(f"{_NEAR}.up"))})
     return out.drop(_DIR, _NEAR)
 
 
@@ -233,6 +259,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: a directory for each source and range of ids, with a license file at each level."""
     i = F.col("doc_id")
     name = F.when(i % 20 == 0, "LICENSE").otherwise(F.concat(i.cast("string"), F.lit(".txt")))
-    deep = F.concat(F.lit("/r"), F.floor(i / 1000).cast("string"), F.when(i % 100 != 0, F.concat(F.lit("/r"), F.floor(i / 100).cast("string"))).otherwise(""))
+    deep = F.concat(F.lit("/r"), F.floor(i / 1000).cast("string"), F.when(i % 100 != 0, F.concat(F.lit("/r"),
+        F.floor(i / 100).cast("string"))).otherwise(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", deep, F.lit("/"), name).alias("path"))
     return license_scan(docs).select("doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", "inherited_from")

@@ -76,7 +76,8 @@ def _descend(keys: np.ndarray, asked: np.ndarray, least: int) -> np.ndarray:
     return low
 
 
-def search(forest: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bound: np.ndarray | None = None, visited: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(forest: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bound: np.ndarray | None = None,
+    visited: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the k best rows that the forest finds for every query. Rows below a query's bound
     need not be found. visited gets the number of rows that each query was compared with."""
     rows, ids, order, keys = forest["rows"], forest["ids"], forest["order"], forest["keys"]
@@ -136,7 +137,8 @@ def _built(dim: int):
                 part = batch.slice(at, ROW_BLOCK)
                 rows = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(part.num_rows, dim)
                 f = build(rows, np.asarray(part.column("vec_id"), dtype=np.int64))
-                yield pa.RecordBatch.from_pylist([{"block": block, **{c: np.ascontiguousarray(f[c]).tobytes() for c in ("ids", "rows", "order", "keys")}}], schema=_FOREST)
+                yield pa.RecordBatch.from_pylist([{"block": block, **{c: np.ascontiguousarray(f[c]).tobytes() for c in ("ids",
+                    "rows", "order", "keys")}}], schema=_FOREST)
                 block += 1
 
     return run
@@ -150,7 +152,9 @@ def _searched(k: int, dim: int):
             for i in range(batch.num_rows):
                 x = {c: batch.column(c)[i].as_py() for c in ("ids", "rows", "order", "keys")}
                 ids = array_of(x["ids"], "i8")
-                forest = {"ids": ids, "rows": array_of(x["rows"], "f8").reshape(len(ids), dim), "order": array_of(x["order"], "i4").reshape(TREES, -1), "keys": array_of(x["keys"], "u8").reshape(TREES, -1)}
+                forest = {"ids": ids, "rows": array_of(x["rows"], "f8").reshape(len(ids), dim),
+                    "order": array_of(x["order"], "i4").reshape(TREES, -1), "keys": array_of(x["keys"],
+                    "u8").reshape(TREES, -1)}
                 asked = batch.column("asked")[i].values  # of this row only
                 queries = np.asarray(asked.field("embedding").flatten(), dtype=np.float64).reshape(len(asked), dim)
                 bound = np.asarray(asked.field("bound"), dtype=np.float64)
@@ -188,7 +192,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     def found(of: DataFrame, asked: DataFrame) -> DataFrame:
         """Every block of queries meets every block of rows once."""
         packed = asked.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("vec_id", "embedding", "bound")).alias("asked")).select("asked")
-        return of.crossJoin(packed).select("ids", "rows", "order", "keys", "asked").mapInArrow(_searched(k, dim), "query_id long, vec_id long, score double")
+        return of.crossJoin(packed).select("ids", "rows", "order", "keys", "asked").mapInArrow(_searched(k,
+            dim), "query_id long, vec_id long, score double")
 
     least = forests.agg(F.coalesce(F.min("block"), F.lit(0)).alias("block")).first()["block"]
     seed = (F.col("block") == least) | (F.pmod(F.xxhash64("block"), F.lit(SEEDS)) == 0)

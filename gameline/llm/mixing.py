@@ -58,7 +58,8 @@ def scale(weight: np.ndarray, tokens: np.ndarray, share: float) -> float:
     return 1 / w[-1] if len(w) else 0.0
 
 
-def mixed(docs: DataFrame, margins: dict[str, float] | None = None, share: float = SHARE, seed: str = "mix", targets: dict[str, dict] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, margins: dict[str, float] | None = None, share: float = SHARE, seed: str = "mix",
+    targets: dict[str, dict] | None = None) -> DataFrame:
     """The columns of docs with n_tokens, probability and sampled; one row for each row of docs.
 
     margins names columns and the powers that flatten them; targets may give a margin's shares outright (values it does
@@ -89,10 +90,12 @@ def mixed(docs: DataFrame, margins: dict[str, float] | None = None, share: float
     factor = scale(weight, tokens, share)
     spark = docs.sparkSession
     kinds = ", ".join(f"__mix{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
-    fitted = spark.createDataFrame([(*(r[n] for n in names), float(min(1.0, w * factor))) for r, w in zip(rows, weight, strict=True)], f"{kinds}, probability double")
+    fitted = spark.createDataFrame([(*(r[n] for n in names), float(min(1.0, w * factor))) for r, w in zip(rows,
+        weight, strict=True)], f"{kinds}, probability double")
     on = [docs[n].eqNullSafe(fitted[f"__mix{i}"]) for i, n in enumerate(names)]
     out = docs.join(F.broadcast(fitted), on, "left").drop(*[f"__mix{i}" for i in range(len(names))])  # MOST_CELLS rows at most
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        1, 12), 16, 10).cast("double") / float(1 << 48)
     return out.withColumn("sampled", u < F.col("probability"))
 
 
@@ -115,10 +118,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     counts = [f"len(text) - len(translate(text, '{v}{v.upper()}', ''))" for v in LETTERS]
-    topic = f"CASE WHEN coalesce(greatest({', '.join(counts)}), 0) = 0 THEN -1 " + " ".join(f"WHEN {n} = greatest({', '.join(counts)}) THEN {i}" for i, n in enumerate(counts)) + " END"
+    topic = f"CASE WHEN coalesce(greatest({', '.join(counts)}), 0) = 0 THEN -1 " + " ".join(f"WHEN {n} = greatest({', '.join(counts)}) THEN {i}" for i,
+        
+        n in enumerate(counts)) + " END"
     steps = [f"""docs AS (SELECT doc_id, source, lang, CAST({topic} AS INTEGER) AS topic,
       CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents)""",
-      "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t, CAST(1 AS DOUBLE) AS w FROM docs GROUP BY ALL)", "total AS (SELECT sum(t) AS n FROM c0)"]
+      "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t, CAST(1 AS DOUBLE) AS w FROM docs GROUP BY ALL)",
+          "total AS (SELECT sum(t) AS n FROM c0)"]
     for name, power in FLATTEN.items():
         steps.append(f"t_{name} AS (SELECT {name}, pow(sum(t) / (SELECT n FROM total), {power}) AS raw FROM c0 GROUP BY {name})")
         steps.append(f"s_{name} AS (SELECT {name}, raw / (SELECT sum(raw) FROM t_{name}) AS share FROM t_{name})")
@@ -126,9 +132,12 @@ def _op8_sql() -> str:
     for _ in range(SWEEPS):
         for name in FLATTEN:
             steps.append(f"n{k + 1} AS MATERIALIZED (SELECT {name}, sum(w * t) AS now FROM c{k} GROUP BY {name})")
-            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.t, CASE WHEN n.now > 0 THEN c.w * s.share * (SELECT n FROM total) / n.now ELSE c.w END AS w FROM c{k} c JOIN n{k + 1} n ON c.{name} IS NOT DISTINCT FROM n.{name} JOIN s_{name} s ON c.{name} IS NOT DISTINCT FROM s.{name})")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.t, CASE WHEN n.now > 0 THEN c.w * "
+                f"s.share * (SELECT n FROM total) / n.now ELSE c.w END AS w FROM c{k} c JOIN n{k + 1} n ON c.{name} IS NOT "
+                f"DISTINCT FROM n.{name} JOIN s_{name} s ON c.{name} IS NOT DISTINCT FROM s.{name})")
             k += 1
-    steps.append(f"r AS (SELECT w, t, sum(t) OVER o - t AS whole, sum(w * t) OVER o - w * t AS mass, row_number() OVER o AS k FROM c{k} WHERE t > 0 AND w > 0 WINDOW o AS (ORDER BY w DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))")
+    steps.append(f"r AS (SELECT w, t, sum(t) OVER o - t AS whole, sum(w * t) OVER o - w * t AS mass, row_number() OVER o AS k "
+        f"FROM c{k} WHERE t > 0 AND w > 0 WINDOW o AS (ORDER BY w DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))")
     steps.append(f"g AS (SELECT k, w, ({SHARE} * (SELECT n FROM total) - whole) / ((SELECT sum(w * t) FROM r) - mass) AS factor FROM r)")
     steps.append("f AS (SELECT coalesce((SELECT arg_min(factor, k) FROM g WHERE factor * w <= 1), (SELECT 1 / min(w) FROM r)) AS factor)")
     return "WITH " + ",\n".join(steps) + f"""

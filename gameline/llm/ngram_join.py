@@ -33,8 +33,11 @@ from gameline.llm.words import shingles
 BLOCK_ROWS = 512
 #: Parts that the rows of a large cluster are dealt to where they meet its number of blocks.
 SALTS = 32
-_BLOCKS = pa.schema([("block", pa.int32()), ("src", pa.int64()), ("col", pa.binary()), ("row", pa.binary()), ("many", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
-_COUNTS = pa.schema([("src", pa.int64()), ("shared", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int32()), ("src", pa.int64()), ("col", pa.binary()), ("row", pa.binary()),
+    ("many", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()),
+    ("node", pa.binary())])
+_COUNTS = pa.schema([("src", pa.int64()), ("shared", pa.binary()), ("docs", pa.binary()), ("sizes",
+    pa.binary()), ("digests", pa.binary()), ("node", pa.binary())])
 
 
 def _bound(n: np.ndarray, percent: int) -> np.ndarray:
@@ -73,9 +76,11 @@ def _cut(k: int, blocks: int):
                 several = np.bincount(group) > 1 if len(c) else new
                 # a column that the batch itself repeats is shared already: its rows are counted here, its hash is sent
                 many = np.bincount(r[several[group]], minlength=len(first)).astype(np.uint32) if several.any() else None
-                own = {"docs": ids.tobytes(), "sizes": sizes.tobytes(), "digests": b"".join(digests), "node": node.tobytes()} if b == src % blocks else {}
+                own = {"docs": ids.tobytes(), "sizes": sizes.tobytes(), "digests": b"".join(digests),
+                    "node": node.tobytes()} if b == src % blocks else {}
                 one = ~several[group] if len(c) else new
-                rows.append({"block": b, "src": src, "col": (c[one]).tobytes() + c[new][several].tobytes() if len(c) else b"", "row": r[one].tobytes(), "many": None if many is None else many.tobytes(), **own})
+                rows.append({"block": b, "src": src, "col": (c[one]).tobytes() + c[new][several].tobytes() if len(c) else b"",
+                    "row": r[one].tobytes(), "many": None if many is None else many.tobytes(), **own})
             yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
 
     return run
@@ -97,7 +102,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.bincount(mine, minlength=n).astype(np.uint32)
             if x["many"]:
                 count += array_of(x["many"], "u4")
-            yield pa.RecordBatch.from_pylist([{"src": x["src"], "shared": count.tobytes(), **{c: x[c] for c in ("docs", "sizes", "digests", "node")}}], schema=_COUNTS)
+            yield pa.RecordBatch.from_pylist([{"src": x["src"], "shared": count.tobytes(), **{c: x[c] for c in ("docs",
+                "sizes", "digests", "node")}}], schema=_COUNTS)
     trim()
 
 
@@ -137,7 +143,8 @@ def _sets(k: int):
         for batch in text_batches(batches, "text"):
             h, sizes = shingles(batch.column("text").to_pylist(), k)
             ends = np.cumsum(sizes)
-            yield pa.record_batch({"node": batch.column("doc_id"), "n": sizes, "cols": pa.array([h[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())})
+            yield pa.record_batch({"node": batch.column("doc_id"), "n": sizes, "cols": pa.array([h[e - n : e].tobytes() for e,
+                n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())})
 
     return run
 
@@ -181,10 +188,12 @@ def _first_row(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cluster, first, rows in zip(batch.column("cluster").to_pylist(), batch.column("first").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            for cluster, first, rows in zip(batch.column("cluster").to_pylist(), batch.column("first").to_pylist(),
+                batch.column("rows").to_pylist(), strict=True):
                 linked = np.zeros(len(rows), dtype=bool)
                 linked[[j for _, j in _product([first], [x["cols"] for x in rows], percent)]] = True
-                yield pa.record_batch({"node": pa.array([x["node"] for x in rows], pa.int64()), "cluster": pa.array([cluster] * len(rows), pa.int64()), "linked": pa.array(linked)})
+                yield pa.record_batch({"node": pa.array([x["node"] for x in rows], pa.int64()),
+                    "cluster": pa.array([cluster] * len(rows), pa.int64()), "linked": pa.array(linked)})
         trim()
 
     return run
@@ -194,7 +203,8 @@ def _blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rest, rows in zip(batch.column("rest").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                pairs = [(rest[i]["node"], rows[j]["node"]) for i, j in _product([x["cols"] for x in rest], [x["cols"] for x in rows], percent) if rest[i]["node"] != rows[j]["node"]]
+                pairs = [(rest[i]["node"], rows[j]["node"]) for i, j in _product([x["cols"] for x in rest],
+                    [x["cols"] for x in rows], percent) if rest[i]["node"] != rows[j]["node"]]
                 forest = _forest(pairs)
                 if forest:
                     yield pa.record_batch({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
@@ -247,8 +257,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     blocks = parts(total_bytes(docs), 8 << 20, 4)
-    cut = docs.mapInArrow(_cut(k, blocks), "block int, src long, col binary, row binary, many binary, docs binary, sizes binary, digests binary, node binary")
-    counts = stored(cut.repartition(blocks, "block").mapInArrow(_count, "src long, shared binary, docs binary, sizes binary, digests binary, node binary"))
+    cut = docs.mapInArrow(_cut(k, blocks),
+        "block int, src long, col binary, row binary, many binary, docs binary, sizes binary, digests binary, node binary")
+    counts = stored(cut.repartition(blocks, "block").mapInArrow(_count,
+        "src long, shared binary, docs binary, sizes binary, digests binary, node binary"))
     nodes = stored(counts.groupBy("src").applyInArrow(_gather(percent), "doc_id long, n_shingles long, digest string, alive boolean"))
     released(counts)
 
@@ -261,7 +273,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     columns = sets.mapInArrow(_columns, "col long, node long, n long")
     often = columns.groupBy("col").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     own = Window.partitionBy("node")
-    ranked = columns.join(often, "col").select("col", "node", "n", F.row_number().over(own.orderBy("often", "col")).alias("place"), F.count(F.lit(1)).over(own).alias("shared"))
+    ranked = columns.join(often, "col").select("col", "node", "n", F.row_number().over(own.orderBy("often",
+        "col")).alias("place"), F.count(F.lit(1)).over(own).alias("shared"))
     # the unshared columns come first in a prefix and take its places
     prefixes = stored(ranked.where(f"place <= n - ((n * {percent} + 99) div 100) + 1 - (n - shared)").select("col", "node"))
     firsts = prefixes.groupBy("col").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("col", "a")
@@ -271,16 +284,19 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     released(sets, prefixes, clusters)
     blocks = _packed(rows, "rows")
     heads = rows.where("node = cluster").select("cluster", F.col("cols").alias("first"))
-    judged = stored(blocks.join(heads, "cluster").select("cluster", "first", "rows").mapInArrow(_first_row(percent), "node long, cluster long, linked boolean"))
+    judged = stored(blocks.join(heads, "cluster").select("cluster", "first", "rows").mapInArrow(_first_row(percent),
+        "node long, cluster long, linked boolean"))
     links = judged.where("linked and node <> cluster").select(F.col("cluster").alias("a"), F.col("node").alias("b"))
     unlinked = judged.where("not linked").select("node", "cluster").distinct()
     rest = _packed(_pieced(unlinked).join(rows.select("node", "cols"), "node"), "rest")
     products = rest.join(_packed(rows.join(unlinked.select("cluster").distinct(), "cluster", "left_semi"), "rows"), "cluster")
     pieces = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = products.repartition(pieces, "cluster", "rest_piece", "rows_piece").select("rest", "rows").mapInArrow(_blocks(percent), "a long, b long")
-    same = nodes.where("n_shingles > 0").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    same = nodes.where("n_shingles > 0").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"),
+        F.col("rep").alias("b")).where("a <> b")
     roots = components(links.unionByName(found).unionByName(same))
-    out = stored(nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
+    out = stored(nodes.join(roots, nodes["doc_id"] == roots["node"], "left").select("doc_id",
+        "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
     released(nodes, classes, rows, judged, roots)
     return out
 

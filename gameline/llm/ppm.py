@@ -175,7 +175,8 @@ def code_lengths(trie: dict, key: np.ndarray) -> np.ndarray:
         o, x = trie["orders"][k], key[rest]
         at, have = _find(o["ctx"], (x >> np.uint64(8)) & _mask(k))
         longer = trie["orders"][k + 1] if k < ORDER else None
-        total, distinct = np.where(have, o["total"][at], 0) if len(o["ctx"]) else np.zeros(len(x)), np.where(have, o["distinct"][at], 0) if len(o["ctx"]) else np.zeros(len(x))
+        total, distinct = np.where(have, o["total"][at], 0) if len(o["ctx"]) else np.zeros(len(x)), np.where(have,
+            o["distinct"][at], 0) if len(o["ctx"]) else np.zeros(len(x))
         if longer is not None and len(longer["ctx"]):
             total, distinct = (v - np.where(above >= 0, w, 0) for v, w in ((total, longer["shorter"][above]), (distinct, longer["distinct"][above])))
         hit = np.zeros(len(x), dtype=bool)
@@ -223,7 +224,12 @@ def _score(model):
             rare, where = h[~known].view(np.int64), owner[~known]
             cuts = np.searchsorted(where, np.arange(len(texts) + 1))
             keep = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            yield pa.record_batch({**keep, "row": row + np.arange(len(texts)), "n_tokens": counts + 1, "known": np.bincount(owner[known], minlength=len(texts)).astype(np.int64), "logs": logs, "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)), "edges": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(edge.view(np.int64))), "times": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(times)), "score": score})
+            yield pa.record_batch({**keep, "row": row + np.arange(len(texts)), "n_tokens": counts + 1,
+                "known": np.bincount(owner[known], minlength=len(texts)).astype(np.int64), "logs": logs,
+                "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare)),
+                "edges": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(edge.view(np.int64))),
+                "times": pa.ListArray.from_arrays(pa.array(edge_cuts, pa.int32()), pa.array(times)),
+                "score": score})
             row += len(texts)
 
     return run
@@ -262,21 +268,26 @@ def _contexts(edges: DataFrame, k: int) -> DataFrame:
 
 def _escaped(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
     """(key, log) of keys that are no edges of the longest contexts, as code_lengths has them."""
-    x = keys.select("key", F.lit(0.0).alias("log"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less"), F.lit(0).cast("long").alias("fewer"))
+    x = keys.select("key", F.lit(0.0).alias("log"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less"),
+        F.lit(0).cast("long").alias("fewer"))
     done = None
     for k in range(ORDER, -1, -1):
         near = F.broadcast if k < 2 else lambda t: t  # at most 256 ** 2 edges, and few contexts have most of the keys
         x = x.withColumn("ctx", _suffix("key", k + 1)).withColumn("ctx", F.shiftright("ctx", 8)).join(near(_contexts(orders[k], k)), "ctx", "left")
         if k < ORDER:
-            x = x.withColumn("edge", _suffix("key", k + 1)).join(near(orders[k].select(F.col("key").alias("edge"), (2 * F.col("n") - 1).alias("w"))), "edge", "left")
+            x = x.withColumn("edge", _suffix("key", k + 1)).join(near(orders[k].select(F.col("key").alias("edge"),
+                (2 * F.col("n") - 1).alias("w"))), "edge", "left")
         else:
             x = x.withColumn("w", F.lit(None).cast("long"))
         distinct = F.coalesce("distinct", F.lit(0)) - F.col("fewer")
         total = F.coalesce("total", F.lit(0)) - F.col("less")
-        step = F.when(F.col("done"), 0.0).when(F.col("w").isNotNull(), F.log10(F.col("w") / (total + distinct))).when(F.col("total").isNotNull() & (distinct > 0), F.log10(distinct / (total + distinct))).otherwise(0.0)
+        step = F.when(F.col("done"), 0.0).when(F.col("w").isNotNull(), F.log10(F.col("w") / (total + distinct))).when(F.col("total").isNotNull() & (distinct > 0),
+            
+            F.log10(distinct / (total + distinct))).otherwise(0.0)
         if not k:
             step = step - F.when(F.col("done") | F.col("w").isNotNull(), 0.0).otherwise(F.log10(_SYMBOLS - F.coalesce("distinct", F.lit(0))))
-        x = x.select("key", (F.col("log") + step).alias("log"), (F.col("done") | F.col("w").isNotNull()).alias("done"), F.coalesce("shorter", F.lit(0)).alias("less"), F.coalesce("distinct", F.lit(0)).alias("fewer"))
+        x = x.select("key", (F.col("log") + step).alias("log"), (F.col("done") | F.col("w").isNotNull()).alias("done"),
+            F.coalesce("shorter", F.lit(0)).alias("less"), F.coalesce("distinct", F.lit(0)).alias("fewer"))
         if k == ORDER - 1:  # most keys end here
             x = stored(x)
             done, x = x.where("done").select("key", "log"), x.where("not done")
@@ -300,7 +311,8 @@ def ppm_scores(docs: DataFrame, learn) -> DataFrame:
     each; an empty table gives no rows. Columns of docs named like a result column are replaced.
     """
     spark = docs.sparkSession
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "row", "known", "logs", "rare", "edges", "times", "more_known", "more_logs", "more_score")
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "row", "known", "logs",
+        "rare", "edges", "times", "more_known", "more_logs", "more_score")
     docs = docs.withColumn("text", F.col("text").cast("string")).drop(*made)
     counted = docs.where(learn).select("text").mapInArrow(_count, "kind string, key long, n long")
     counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"))
@@ -312,11 +324,13 @@ def ppm_scores(docs: DataFrame, learn) -> DataFrame:
     edges = _collected(longest.where(F.col("n") >= _least(counts, "gram", MOST_EDGES)).select("key", "log"))
     common = _least(counts, "word", MOST_WORDS)
     words = _collected(counts.where((F.col("kind") == "word") & (F.col("n") >= common)).select("key", "n"))
-    tokens = counts.where("kind <> 'gram'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("kind") == "end", F.col("n"))), F.lit(0)).alias("ends")).first()
+    tokens = counts.where("kind <> 'gram'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.max(F.when(F.col("kind") == "end", F.col("n"))), F.lit(0)).alias("ends")).first()
     model = spark.sparkContext.broadcast({"edges": edges, "words": words})
     del edges, words
     kept = [f for f in docs.schema if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", row long, n_tokens long, known long, logs double, rare array<bigint>, edges array<bigint>, times array<bigint>, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + (", row long, n_tokens long, known long, logs "
+        "double, rare array<bigint>, edges array<bigint>, times array<bigint>, score double")
     scored = stored(docs.mapInArrow(_score(model), schema))
     model.destroy()  # the texts are scored; the driver need not hold the tables during the joins
     del model
@@ -324,11 +338,14 @@ def ppm_scores(docs: DataFrame, learn) -> DataFrame:
     if common > 1:
         rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").count()
         seen = rare.join(counts.where((F.col("kind") == "word") & (F.col("n") < common)), "key", "left")
-        more = seen.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("more_known"), F.sum(F.col("count") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
-        scored = scored.join(more, "row", "left").withColumns({"more_known": F.coalesce("more_known", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
+        more = seen.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("more_known"),
+            F.sum(F.col("count") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
+        scored = scored.join(more, "row", "left").withColumns({"more_known": F.coalesce("more_known",
+            F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
     else:
         scored = scored.withColumns({"more_known": F.lit(0), "more_logs": F.size("rare") * float(np.log10(0.5))})
-    pairs = scored.select("row", F.explode(F.arrays_zip("edges", "times")).alias("e")).select("row", F.col("e.edges").alias("key"), F.col("e.times").alias("times"))
+    pairs = scored.select("row", F.explode(F.arrays_zip("edges", "times")).alias("e")).select("row",
+        F.col("e.edges").alias("key"), F.col("e.times").alias("times"))
     keys = pairs.select("key").distinct().join(longest.select("key", "log"), "key", "left")
     keys = stored(keys)
     lengths = keys.where("log is not null").unionByName(_escaped(keys.where("log is null"), orders))

@@ -17,7 +17,9 @@ from gameline.llm.words import word_hashes
 SAMPLE = 12_000
 _CLASSES = 12
 _CLASS = np.zeros(256, dtype=np.uint8)
-for _chars, _k in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b" ", 4), (b"\n\r\t\x0b\x0c", 5), (b".,;:'\"-?()", 6), (b"!", 7), (b"#$%&*@^~=+<>\\/_", 8), (b"|", 9), (b"[]{}`", 10), (range(128, 256), 11)):
+for _chars, _k in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b" ", 4), (b"\n\r\t\x0b\x0c",
+    5), (b".,;:'\"-?()", 6), (b"!", 7), (b"#$%&*@^~=+<>\\/_", 8), (b"|", 9), (b"[]{}`", 10), (range(128,
+    256), 11)):
     for _c in _chars:
         _CLASS[_c] = _k
 
@@ -28,7 +30,8 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     size = np.array([len(d) for d in data], dtype=np.int64)
     flat = np.frombuffer(b"".join(data), dtype=np.uint8)
-    count = np.stack([np.bincount(_CLASS[flat[a:b]], minlength=_CLASSES) for a, b in zip((np.cumsum(size) - size).tolist(), np.cumsum(size).tolist(), strict=True)]) if len(texts) else np.zeros((0, _CLASSES))
+    count = np.stack([np.bincount(_CLASS[flat[a:b]], minlength=_CLASSES) for a, b in zip((np.cumsum(size) - size).tolist(),
+        np.cumsum(size).tolist(), strict=True)]) if len(texts) else np.zeros((0, _CLASSES))
     h, n_words = word_hashes(texts)
     rows, at = [], 0
     for i, n in enumerate(n_words.tolist()):
@@ -48,7 +51,9 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     rows = np.array(rows, dtype=np.float64).reshape(len(texts), 7)
     each = np.maximum(size, 1)[:, None]
     words = np.maximum(n_words, 1)
-    return np.column_stack([np.log1p(size), np.log1p(n_words), (size - count[:, 4] - count[:, 5]) / words, count / each, count[:, 2] / np.maximum(count[:, 1] + count[:, 2], 1), count[:, 7] / words, count[:, 8] / words, count[:, 9] / words, rows])
+    return np.column_stack([np.log1p(size), np.log1p(n_words), (size - count[:, 4] - count[:, 5]) / words,
+        count / each, count[:, 2] / np.maximum(count[:, 1] + count[:, 2], 1), count[:, 7] / words,
+        count[:, 8] / words, count[:, 9] / words, rows])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +76,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, size:
     are enough. The ids are chosen first, so texts of other documents are not moved."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
-    chosen = ids.where("label = 1").orderBy(order, "doc_id").limit(size // 2).unionByName(ids.where("label = 0").orderBy(order, "doc_id").limit(size - size // 2))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # size ids at most
+    chosen = ids.where("label = 1").orderBy(order, "doc_id").limit(size // 2).unionByName(ids.where("label = 0").orderBy(order,
+        "doc_id").limit(size - size // 2))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen),
+        "doc_id").select("doc_id", "label", "text")  # size ids at most
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:

@@ -65,7 +65,8 @@ def _units(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
 
 def _joined(rows):
     size = np.array([len(x) for _, _, x in rows], dtype=np.int64)
-    return np.frombuffer(b"".join(x for _, _, x in rows), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)]), np.array([i for i, _, _ in rows]), np.array([at for _, at, _ in rows], dtype=np.int64)
+    return np.frombuffer(b"".join(x for _, _, x in rows), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)]), np.array([i for i,
+        _, _ in rows]), np.array([at for _, at, _ in rows], dtype=np.int64)
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, length: int):
@@ -119,7 +120,9 @@ def _repeats(each: int):
                 count[once] = np.minimum(count[once], HOT) + 1
                 count[many] = np.minimum(count[many].astype(np.uint32) + np.minimum(n, HOT), HOT)  # a sum of two may not fit 16 bits
         for block, count in seen.items():
-            yield pa.record_batch({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(count > 1).tobytes()], pa.binary()), "hot": pa.array([np.flatnonzero(count >= HOT).astype(np.uint32).tobytes()], pa.binary())})
+            yield pa.record_batch({"block": pa.array([block], pa.int32()), "bits": pa.array([np.packbits(count > 1).tobytes()],
+                pa.binary()), "hot": pa.array([np.flatnonzero(count >= HOT).astype(np.uint32).tobytes()],
+                pa.binary())})
 
     return run
 
@@ -138,7 +141,8 @@ def _spans_of(doc, part, start, stop) -> pa.RecordBatch:
         group = np.concatenate([[0], np.cumsum(~(same & (start[1:] <= stop[:-1])))])
         head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         doc, part, start, stop = doc[head], part[head], start[head], np.maximum.reduceat(stop, head)
-    return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+    return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()),
+        "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
 
 
 def _deal(length: int, bits: int, buckets: int, bitmap, hot):
@@ -172,7 +176,9 @@ def _deal(length: int, bits: int, buckets: int, bitmap, hot):
 
                 def packed(bucket: int, s: np.ndarray, text: bool) -> dict:
                     s = np.sort(s)  # in the order of the texts, which packs best
-                    return {"bucket": bucket, "number": len(s), "rows": pack(_packed(rows_of[:, s])), "salt": salt[s].tobytes() if salt[s].any() else None, "data": pack(data[_ranges(first[s], size[s] + length - 1)].tobytes()) if text else None}  # noqa: B023
+                    return {"bucket": bucket, "number": len(s), "rows": pack(_packed(rows_of[:, s])),
+                        "salt": salt[s].tobytes() if salt[s].any() else None, "data": pack(data[_ranges(first[s],
+                        size[s] + length - 1)].tobytes()) if text else None}  # noqa: B023
 
                 head, copies = order[fresh], order[~fresh]
                 out = [packed(-1, copies, False)] if len(copies) else []
@@ -380,7 +386,10 @@ def _apply(keep_text: bool, keep_bytes: bool):
                 out["kept"].append(rest if keep_bytes else None)
                 out["kept_text"].append(rest.decode("utf-8", "ignore") if keep_text else None)
             others = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "part")}
-            yield pa.record_batch({**others, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary()), "kept_text": pa.array(out["kept_text"], pa.string())})
+            yield pa.record_batch({**others, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes",
+                "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
+                "kept": pa.array(out["kept"], pa.binary()), "kept_text": pa.array(out["kept_text"],
+                pa.string())})
 
     return run
 
@@ -415,7 +424,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True, kee
     as they are, n_removed 0. An empty table gives no rows. Columns of docs named like a result column are replaced;
     so are columns named spans or part.
     """
-    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "part", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")]
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "part", "spans",
+        "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs, keys = docs.withColumn("part", F.lit(0)), ["doc_id"]
@@ -428,7 +438,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True, kee
     gathered = spans.repartition(each, *keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = docs.repartition(each, *keys).join(gathered, keys, "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("text", "part"))
-    return joined.mapInArrow(_apply(keep_text, keep_bytes), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    return joined.mapInArrow(_apply(keep_text, keep_bytes),
+        f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

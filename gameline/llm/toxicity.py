@@ -131,7 +131,8 @@ def _sampled_features(pairs):
         differs = [Differ(pair) for pair in pairs.value]
         for batch in text_batches(batches, "text"):
             rows = zip(batch.column("half").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            yield pa.record_batch({"label": batch.column("label"), "x": pa.array([differs[1 - half].features(t) for half, t in rows], pa.list_(pa.float64()))})
+            yield pa.record_batch({"label": batch.column("label"), "x": pa.array([differs[1 - half].features(t) for half,
+                t in rows], pa.list_(pa.float64()))})
 
     return run
 
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str, sample: int) -> d
     found = labelled_sample(docs, labels, label, learn, sample).withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int"))
     rows = stored(found)
     fits, total = [], 0
-    for r in sorted(rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):  # numbers of `sample` documents
+    for r in sorted(rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect(),
+        key=lambda r: (r["h"], r["doc_id"])):  # numbers of `sample` documents
         if total + (r["n"] or 0) <= SAMPLE_BYTES:
             total += r["n"] or 0
             fits.append(r["doc_id"])
@@ -173,7 +175,8 @@ def _score(model, keep: list[str]):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", threshold: float = 0.3, sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", threshold: float = 0.3,
+    sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
     """The columns of docs but text (with it, if keep_text), with score (0 to 1) and predicted (1 if score >= threshold).
 
     learn is a boolean column over doc_id: labels of other documents are not looked at. Null, empty and blank texts
