@@ -38,7 +38,7 @@ PIECE = 8
 #: Symbols of a shard and of one merge.
 SHARD, MERGE = 1 << 18, 1 << 20
 #: Bytes of text for each bucket; a task takes one bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
 _UNIT = 1 << 19
 _SLOTS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("count", pa.binary())])
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("rows", pa.binary()), ("salt", pa.binary()), ("data", pa.binary())])
@@ -115,7 +115,9 @@ def _repeats(each: int):
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for x in batch.to_pylist():
-                count = seen.setdefault(x["block"], np.zeros(each, dtype=np.uint16))
+                if x["block"] not in seen:
+                    seen[x["block"]] = np.zeros(each, dtype=np.uint16)
+                count = seen[x["block"]]
                 once, many, n = array_of(x["once"], "u4"), array_of(x["many"], "u4"), array_of(x["count"], "u4")
                 count[once] = np.minimum(count[once], HOT) + 1
                 count[many] = np.minimum(count[many].astype(np.uint32) + np.minimum(n, HOT), HOT)  # a sum of two may not fit 16 bits
@@ -400,7 +402,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     size = total_bytes(docs)
     bits = min(MOST_BITS, max(16, (size // 3).bit_length()))
-    blocks = 1 << max(2, bits - 22)
+    blocks = 1 << max(2, bits - 23)
     slots = docs.mapInArrow(_slots(length, bits, blocks), "block int, once binary, many binary, count binary")
     found = slots.repartitionById(blocks, F.col("block")).mapInArrow(_repeats((1 << bits) // blocks), "block int, bits binary, hot binary").collect()
     bitmap, hot, each = np.zeros((1 << bits) // 8, dtype=np.uint8), [], (1 << bits) // blocks
