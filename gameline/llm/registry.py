@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gameline.llm import decontaminate, html_text, license_scan, lsh_forest, mixing, ngram_join, ppm, quality, suffix_dedup, toxicity
+from gameline.llm import byte_bpe, decontaminate, html_text, lexical, license_scan, lsh_forest, mixing, ngram_join, ppm, quality, suffix_dedup, token_align, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,12 +22,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_nearest": lsh_forest.op9_nearest,
         "op10_lm_scoring": ppm.op10_lm_scoring,
+        "op11_token_align": token_align.op11_token_align,
+        "op12_lexical_search": lexical.op12_lexical_search,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op8_mixing": mixing.OP8_SQL}
+    sql = {"op8_mixing": mixing.OP8_SQL, "op12_lexical_search": lexical.OP12_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql

@@ -27,7 +27,7 @@ def test_matches_sql(spark, name):
     assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n != "pipeline" and not n.startswith("op12")])
 def test_a_row_for_every_input_row(spark, name):
     out = registry.queries()[name](spark, SF)
     key = "page_id" if name.startswith("op4") else "query_id" if name.startswith("op9") else "doc_id"
