@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORM = ("win_pct_30", "runs_for_30", "runs_against_30", "avg_runs_scored_60", "avg_runs_allowed_60", "games_in_window_60")
@@ -61,6 +61,15 @@ def lacking_starts(games: DataFrame, starters: DataFrame, starts: DataFrame) ->
     return g.where("home_has is null or away_has is null").drop("home_has", "away_has")
 
 
+def lacking_starts_by_game(games: DataFrame, starters: DataFrame, starts: DataFrame) -> DataFrame:
+    """The same, matched by game alone, as both starters' ids are compared within the game's few start rows: tables
+    that are bucketed by game_id are not shuffled."""
+    has = starts.groupBy("game_id").agg(F.collect_set("pitcher_id").alias("seen"))
+    g = games.where("home_runs is not null and away_runs is not null").join(starters.select("game_id", "home_sp_id", "away_sp_id"), "game_id")
+    seen = lambda c: F.coalesce(F.array_contains("seen", F.col(c)), F.lit(False))
+    return g.join(has, "game_id", "left").where(~(seen("home_sp_id") & seen("away_sp_id"))).drop("seen")
+
+
 def lacking_context(games: DataFrame, appearances: DataFrame) -> DataFrame:
     """Regular games with relief rows that miss any entry context."""
     bad = appearances.where("not is_starter and (inning_entered is null or outs_on_entry is null or score_diff_on_entry is null "
@@ -68,18 +77,35 @@ def lacking_context(games: DataFrame, appearances: DataFrame) -> DataFrame:
     return games.where("game_type = 'R'").join(bad.select("game_id"), "game_id", "left_semi")
 
 
-def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365) -> DataFrame:
+def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365, start: str | None = None, end: str | None = None,
+    since: Column | None = None, bucket_days: int = 92) -> DataFrame:
     """lookups (entity, game_date, ...) with the entity's latest rollup of at most the day before. The latest row wins
-    even where it holds nulls. Both sides are one sorted stream for each entity: no inequality join. Null entities are
-    kept apart, so that they do not meet in one group."""
+    even where it holds nulls. A run of games from start to end reads the rollups of [start - 366 days, end] only, a
+    filter that reaches the scan; since, a date of the lookup, hides what is older.
+
+    An entity's rows are dealt out by time buckets: each bucket is one sorted stream that begins with the last rollup of
+    the buckets before, so no task holds more than a bucket of an entity, and one row of each bucket when the last ones
+    are carried over. Null entities are kept apart, so that they do not meet in one group."""
     values = [c for c in rollups.columns if c not in (entity, "as_of_date", "window_days")]
-    r = rollups.where((F.col("window_days") == days) & F.col(entity).isNotNull()).select(F.col(entity),
-        F.col("as_of_date").alias("at"), F.lit(0).alias("ask"), F.struct(*values).alias("found"))
-    asked = lookups.where(F.col(entity).isNotNull()).select(F.col(entity), F.date_sub("game_date", 1).alias("at"),
-        F.lit(1).alias("ask"), F.struct(*[F.col(c) for c in lookups.columns]).alias("row"))
-    w = Window.partitionBy(entity).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    hit = r.unionByName(asked, allowMissingColumns=True).withColumn("found", F.last("found",
-        ignorenulls=True).over(w)).where("ask = 1").select("row.*", "found.*")
+    known = rollups.where((F.col("window_days") == days) & F.col(entity).isNotNull())
+    if start:
+        known = known.where(F.col("as_of_date") >= F.date_sub(F.lit(start).cast("date"), 366))
+    if end:
+        known = known.where(F.col("as_of_date") <= F.lit(end).cast("date"))
+    bucket = F.floor(F.datediff("at", F.lit("1970-01-01").cast("date")) / bucket_days).alias("bucket")
+    r = known.select(entity, F.col("as_of_date").alias("at"), F.lit(0).alias("ask"), F.struct("as_of_date", *values).alias("found")).select("*", bucket)
+    row = F.struct(*[F.col(c) for c in lookups.columns]).alias("row")
+    hidden = [] if since is None else [since.alias("since")]
+    asked = lookups.where(F.col(entity).isNotNull()).select(entity, F.date_sub("game_date", 1).alias("at"), F.lit(1).alias("ask"), row, *hidden).select("*", bucket)
+    last = r.groupBy(entity, "bucket").agg(F.max_by("found", "at").alias("found"))
+    wanted = asked.groupBy(entity, "bucket").agg(F.lit(True).alias("wanted"))
+    before = Window.partitionBy(entity).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.join(wanted, [entity, "bucket"], "full_outer").withColumn("found", F.last("found", ignorenulls=True).over(before)).where("wanted and found is not null")
+    first = carried.select(entity, F.lit(None).cast("date").alias("at"), F.lit(0).alias("ask"), "found", "bucket")
+    w = Window.partitionBy(entity, "bucket").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    hit = r.unionByName(first).unionByName(asked, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(w)).where("ask = 1")
+    shown = F.lit(True) if since is None else F.col("found.as_of_date") >= F.col("since")
+    hit = hit.select("row.*", *[F.when(shown, F.col(f"found.{c}")).alias(c) for c in values])
     none = lookups.where(F.col(entity).isNull()).select("*", *[F.lit(None).cast(rollups.schema[c].dataType).alias(c) for c in values])
     return hit.unionByName(none)
 

@@ -51,16 +51,6 @@ def stamped(df: DataFrame, as_of: str) -> DataFrame:
     return df.select(F.lit(as_of).cast("timestamp").alias("as_of_ts"), *df.columns)
 
 
-def in_sink_order(df: DataFrame, *partition: str) -> DataFrame:
-    """Rows sorted by date and game inside each task, for the sink; there is no global order."""
-    return df.sortWithinPartitions(*partition, "game_date", "game_id")
-
-
-def append(df: DataFrame, path: str, partition: str = "game_date") -> None:
-    """Adds rows to a table; nothing that is there changes."""
-    df.write.mode("append").partitionBy(partition).parquet(path)
-
-
 def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in columns.items() if c not in df.columns])
 

@@ -331,10 +331,19 @@ def _(spark, d):
     return rounded(W.batter_skill(v(spark, d, "v_pitches")), 9)
 
 
-def batters(spark, d):
-    line = P_.top_of_order(v(spark, d, "v_lineups"), 5).select("game_id", "game_date", "is_home",
+def game_range(spark, d) -> tuple[str, str]:
+    """The first and the last date of the games: the range of a run over all of them."""
+    r = v(spark, d, "v_games").agg(F.min("game_date").alias("a"), F.max("game_date").alias("b")).first()
+    return (str(r["a"]), str(r["b"])) if r["a"] else ("1900-01-01", "1900-01-01")
+
+
+def lines(spark, d):
+    return P_.top_of_order(v(spark, d, "v_lineups"), 5).select("game_id", "game_date", "is_home",
         "batting_order", F.col("player_id").cast("long").alias("batter_id"))
-    return J.as_of(line, W.batter_skill(v(spark, d, "v_pitches")), "batter_id")
+
+
+def batters(spark, d):
+    return J.as_of(lines(spark, d), T.stored(W.batter_skill(v(spark, d, "v_pitches")), "skill"), "batter_id", 365, *game_range(spark, d))
 
 
 BATTERS = (f"{SKILL}, batters AS (SELECT l.game_id, l.is_home, l.batting_order, {', '.join('s.' + c for c in A.SKILLS)} FROM "
@@ -357,10 +366,14 @@ def _(spark, d):
     return rounded(A.lineup_vectors(batters(spark, d)), 9)
 
 
-def starter_mix(spark, d):
+def home_starters(spark, d):
     g = J.with_starters(v(spark, d, "v_games"), v(spark, d, "v_starters")).select("game_id",
         "game_date", F.col("home_sp_id").cast("long").alias("pitcher_id"))
-    return J.as_of(g.withColumn("pitcher_id", F.col("pitcher_id") % 100), W.pitch_mix(v(spark, d, "v_pitches")), "pitcher_id")
+    return g.withColumn("pitcher_id", F.col("pitcher_id") % 100)
+
+
+def starter_mix(spark, d):
+    return J.as_of(home_starters(spark, d), T.stored(W.pitch_mix(v(spark, d, "v_pitches")), "mix"), "pitcher_id", 365, *game_range(spark, d))
 
 
 STARTER_MIX = (f"{MIX}, sm AS (SELECT l.game_id, {', '.join('m.' + c for c in A.MIXES)} FROM (SELECT g.game_id, g.game_date - 1 "
@@ -380,9 +393,9 @@ def _(spark, d):
     f"a.game_id AND NOT a.is_home")
 def _(spark, d):
     vec = A.lineup_vectors(batters(spark, d))
-    side = lambda flag, p: vec.where(flag).select("game_id", F.col("lineup_skill").alias(f"{p}_skill"),
-        *[F.col(c).alias(f"{p}_{c}") for c in A.SKILLS])
-    j = starter_mix(spark, d).join(side("is_home", "h"), "game_id", "left").join(side("not is_home", "a"), "game_id", "left")
+    side = lambda flag, c, name: F.max(F.when(F.col("is_home") == flag, F.col(c))).alias(name)
+    both = vec.groupBy("game_id").agg(side(True, "lineup_skill", "h_skill"), side(False, "lineup_skill", "a_skill"), *[side(False, c, f"a_{c}") for c in A.SKILLS])
+    j = starter_mix(spark, d).join(both, "game_id", "left")
     dot = B.dot_or_null([F.col(c) for c in A.MIXES], [F.col(f"a_{c}") for c in A.SKILLS])
     return rounded(j.select("game_id", dot.alias("away_vs_home_sp_matchup"), (F.col("h_skill") - F.col("a_skill")).alias("lineup_skill_diff")), 8)
 
@@ -612,7 +625,7 @@ for _name, _f, _sql in feed_queries.FEEDS:
     QUERIES[_name] = _f
     SQL[_name] = with_views(_sql)
 
-from gameline.plans import runs  # noqa: E402, F401  adds its queries to those above
+from gameline.plans import runs, stored_runs  # noqa: E402, F401  add their queries to those above
 
 
 def queries() -> dict[str, Query]:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from gameline.functions import baseball as B
 from gameline.functions import prob as P
 from gameline.operators import aggregates as A
+from gameline.operators import boosting as BT
 from gameline.operators import filters as FL
 from gameline.operators import joins as J
 from gameline.operators import models as M
 from gameline.operators import reshape as R
 from gameline.operators import sinks as K
+from gameline.operators import stored as TB
 from gameline.operators import windows as W
 from gameline.plans import catalog as C
 from gameline.sources import tables as T
@@ -37,7 +39,7 @@ def versioned_append(spark, d):
     rows = games.join(C.v(spark, d, "v_run_preds").where("home_runs_pred is not null"), "game_id")
     path = T.scratch(spark, "predictions")
     for as_of in ("2024-04-01 12:00:00", "2024-04-02 12:00:00"):
-        K.append(K.in_sink_order(K.stamped(rows, as_of), "season"), path, "season")
+        TB.append(K.stamped(rows, as_of), path, "season", "game_date", "game_id")
     return spark.read.schema(K.stamped(rows, "2024-04-01 12:00:00").schema).parquet(path)
 
 
@@ -52,16 +54,16 @@ def odds_snapshots(spark, d):
     odds = C.v(spark, d, "v_odds").select(*columns, B.season_of(F.lit(None), F.col("game_date")).alias("season"))
     path = T.scratch(spark, "odds")
     for poll in ("t1 % 2 = 0", "t1 % 2 <> 0"):
-        K.append(odds.where(poll), path, "season")
+        TB.append(odds.where(poll), path, "season", "game_id")
     return spark.read.schema(odds.schema).parquet(path)
 
 
 @C.query("t5_sink_order", "SELECT game_id, game_date, season, home_runs, away_runs FROM {v_games}")
 def sink_order(spark, d):
-    """A feature table written in order of date and game inside its files."""
+    """A feature table whose files follow one another by date and game, each in that order."""
     rows = C.v(spark, d, "v_games").select("game_id", "game_date", "season", "home_runs", "away_runs")
     path = T.scratch(spark, "features")
-    K.in_sink_order(rows).write.parquet(path)
+    TB.write_in_order(rows, path, "game_date", "game_id")
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -179,6 +181,34 @@ def run_report(spark, d):
     return C.rounded(out)
 
 
+def boosted_runs(spark, d):
+    """({target: model}, rows, features): boosted trees for the home and the away runs, learned in the same passes."""
+    rows, names = C._trainable(spark, d)
+    rows = T.stored(rows.select("game_id", "split", "home_runs", "away_runs", *names), "trainable")
+    fitted = rows.where("split in ('train', 'val')").withColumn("validate", F.col("split") == "val")
+    return BT.fit_boosted(fitted, names, ["home_runs", "away_runs"], "validate", power=1.2), rows, names
+
+
+@C.query("m2_boosted_runs")
+def boosted_predictions(spark, d):
+    models, rows, names = boosted_runs(spark, d)
+    for side in ("home", "away"):
+        rows = M.score_any(rows, models[f"{side}_runs"], names, f"{side}_p")
+    return M.run_columns(rows, "home_p", "away_p").select("game_id", "split", "home_runs_pred", "away_runs_pred", "total_runs_pred", "run_diff_pred")
+
+
+@C.query("m2_a4_boosted_report")
+def boosted_report(spark, d):
+    """Errors of the boosted home and away run models on each split."""
+    models, rows, names = boosted_runs(spark, d)
+    out = None
+    for side in ("home", "away"):
+        scored = M.score_any(rows, models[f"{side}_runs"], names, "prediction")
+        one = A.regression_report(scored, f"{side}_runs", "prediction").withColumn("side", F.lit(side))
+        out = one if out is None else out.unionByName(one)
+    return C.rounded(out)
+
+
 @C.query("m2_u3_team_run_model")
 def team_run_model(spark, d):
     """One model on two rows a game, brought back to a row a game and judged on each split. Scores of the own game

@@ -166,20 +166,27 @@ def lineups(docs: DataFrame, column: str = "doc") -> DataFrame:
         short(one["position"]["abbreviation"], one["position"]["name"]).alias("pos"))
 
 
-def odds(docs: DataFrame, day: str | None = None, allowed: list[str] = (), column: str = "doc") -> DataFrame:
+def raw_events(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """(raw_key, raw): the text of each event of the documents and its digest."""
+    e = docs.select(F.explode(F.from_json(column, "array<string>")).alias("raw")).where("raw is not null")
+    return e.select(F.sha2("raw", 256).alias("raw_key"), "raw")
+
+
+def odds(docs: DataFrame, day: str | None = None, allowed: list[str] = (), column: str = "doc", keep: list[str] = ()) -> DataFrame:
     """A row for each event and book of a UTC date (all dates without one): the first moneyline market, in it the last
-    outcome of each team's name; missing prices stay null."""
-    e = docs.select(F.explode(F.from_json(column, ODDS)).alias("e")).select("e.*").withColumn("at", F.try_to_timestamp("commence_time"))
+    outcome of each team's name; missing prices stay null. keep: columns of docs that every row carries, such as the
+    key of a landed document."""
+    e = docs.select(*keep, F.explode(F.from_json(column, ODDS)).alias("e")).select(*keep, "e.*").withColumn("at", F.try_to_timestamp("commence_time"))
     if day:
         e = e.where(F.when(F.col("at").isNotNull(), F.to_date("at") == F.lit(day).cast("date")).otherwise(F.col("commence_time").startswith(day)))
     e = e.where(_filled(F.col("home_team")).isNotNull() & _filled(F.col("away_team")).isNotNull())
-    b = e.select("home_team", "away_team", F.col("at").alias("commence_time"), F.explode("bookmakers").alias("b"))
+    b = e.select(*keep, "home_team", "away_team", F.col("at").alias("commence_time"), F.explode("bookmakers").alias("b"))
     b = b.withColumn("sportsbook", _filled(F.trim(F.coalesce(_filled(F.col("b.title")), F.col("b.key"))))).where("sportsbook is not null")
     if allowed:
         b = b.where(F.lower("sportsbook").isin(*[x.lower() for x in allowed]))
     b = b.withColumn("m", F.get(F.filter("b.markets", lambda m: m["key"] == "h2h"), F.lit(0))).where("m is not null")
     price = lambda team: F.try_element_at(F.filter("m.outcomes", lambda o: o["name"] == F.col(team)), F.lit(-1))["price"]
-    return b.select("home_team", "away_team", "commence_time", "sportsbook", F.lit("h2h").alias("market"),
+    return b.select(*keep, "home_team", "away_team", "commence_time", "sportsbook", F.lit("h2h").alias("market"),
         price("home_team").alias("home_price"), price("away_team").alias("away_price"))
 
 

@@ -29,6 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/gameline-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once under spark.checkpoint.dir and read again: what follows neither computes it anew nor depends on
+    the executors that made it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def month_ranges(season: int, first: int = 3, last: int = 11, season_end: str | None = None) -> list[tuple[str, str]]:
     """First and last day of each month from March to November, cut at the season's end."""
     end = min(dt.date(season, last, calendar.monthrange(season, last)[1]), dt.date(season, 11, 30),

@@ -4,10 +4,11 @@ import datetime as dt
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from gameline.plans import catalog
+from gameline.plans import catalog, runs
 from tests.conftest import SF
 
 HAVE = os.path.isdir(SF)
@@ -68,3 +69,28 @@ def test_model_reports_are_sane(spark):
     gains = q["t3_k7_importances"](spark, SF).toPandas()
     assert gains.gain.is_monotonic_decreasing or sorted(gains.gain)[::-1] == gains.gain.tolist()
     assert gains.gain.sum() == pytest.approx(1) and set(gains.feature) == {f"{s}_{c}" for s in ("home", "away") for c in ("win_pct_30", "runs_for_30", "runs_against_30", "avg_runs_scored_60", "avg_runs_allowed_60", "games_in_window_60")}
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_reports_of_the_models_by_brute_force(spark):
+    models, rows, names = runs.boosted_runs(spark, SF)
+    frame = rows.toPandas()
+    report = catalog.queries()["m2_a4_boosted_report"](spark, SF).toPandas().set_index(["split", "side"])
+    model, kept, features = runs.win_model(spark, SF)
+    scored = runs.M.score(kept, model, features).withColumn("p", runs.vector_to_array("probability")[1]).select("split", "p", "y")
+    for (split, side), r in report.iterrows():
+        part = frame[frame.split == split]
+        p = models[f"{side}_runs"].predict(part[names].to_numpy(dtype=float))
+        y = part[f"{side}_runs"].to_numpy(dtype=float)
+        assert r.mae == pytest.approx(abs(y - p).mean(), abs=1e-5) and r.rmse == pytest.approx(((y - p) ** 2).mean() ** 0.5, abs=1e-5)
+        assert r.mean_true == pytest.approx(y.mean(), abs=1e-5) and r.mean_pred == pytest.approx(p.mean(), abs=1e-5)
+    said = runs.A.binary_report(scored, "p", "y").toPandas().set_index("split")
+    for split, part in scored.toPandas().groupby("split"):
+        p, y = part.p.to_numpy(), part.y.to_numpy()
+        pos, neg = p[y == 1], p[y == 0]
+        auc = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg)
+        assert said.n[split] == len(p) and said.auc[split] == pytest.approx(auc) and said.brier[split] == pytest.approx(((p - y) ** 2).mean())
+        assert said.log_loss[split] == pytest.approx(-np.log(np.where(y == 1, p, 1 - p)).mean()) and said.mean_p[split] == pytest.approx(p.mean())
+    gains = [(g.feature, g.gain) for g in catalog.queries()["t3_k7_importances"](spark, SF).collect()]
+    assert gains == sorted(gains, key=lambda x: (-x[1], x[0]))
+    assert dict(gains) == pytest.approx(dict(zip(features, model.stages[-1].featureImportances.toArray(), strict=True)))
