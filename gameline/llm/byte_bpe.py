@@ -18,53 +18,57 @@ from pyspark.sql import functions as F
 from gameline.llm.common import arrow_bounds, table, text_batches, trim
 
 #: Pieces that a Python worker remembers, none longer than REMEMBERED_CHARS.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 48
+REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+#: Characters of a text whose pieces are made at once; those of a longer one come one by one.
+AT_ONCE = 1 << 18
 _coders: dict[tuple[bytes, str], Coder] = {}
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     """Ids of a piece: the whole piece's, if it has one; else the leftmost pair whose bytes have the least rank is
-    merged, until no pair has a rank. A node of the tree has the least (rank, position) of the pairs below it."""
+    merged, until no pair has a rank. The tree's rows, from the pairs by their first byte up to the root, hold the
+    least (rank, position) below each node."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get, none = len(piece), ranks.get, 1 << 62
     size = 1 << max(0, (n - 2).bit_length())
-    none = 1 << 62
-    tree = [none] * (2 * size)
+    row = [none] * size
     for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
+        rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank * size + i
-    for node in range(size - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+            row[i] = rank * size + i
+    inner = []
+    while len(row) > 1:
+        inner.append(row)
+        row = [x if x < y else y for x, y in zip(row[::2], row[1::2], strict=True)]
+    root = row
+
+    def put(at: int, value: int) -> None:
+        for nodes in inner:
+            if nodes[at] == value:  # nothing above changes
+                return
+            nodes[at] = value
+            beside = nodes[at ^ 1]
+            if beside < value:
+                value = beside
+            at >>= 1
+        root[0] = value
+
     end, before = list(range(1, n + 1)), list(range(-1, n))
-    while tree[1] < none:
-        i = tree[1] % size
+    while root[0] < none:
+        i = root[0] % size
         right = end[i]
         stop = end[i] = end[right]
         before[stop] = i
-        changed = [(right, none), (i, none)]
-        if stop < n and end[stop] - i <= longest:
-            rank = ranks.get(piece[i : end[stop]])
-            if rank is not None:
-                changed[1] = (i, rank * size + i)
+        if right < size:
+            put(right, none)
+        rank = get(piece[i : end[stop]]) if stop < n and end[stop] - i <= longest else None
+        put(i, none if rank is None else rank * size + i)
         if i:
             left = before[i]
-            rank = ranks.get(piece[left:stop]) if stop - left <= longest else None
-            changed.append((left, none if rank is None else rank * size + left))
-        for at, value in changed:
-            node = at + size
-            if node >= 2 * size:  # the last byte starts no pair
-                continue
-            tree[node] = value
-            node >>= 1
-            while node:
-                least = min(tree[2 * node], tree[2 * node + 1])
-                if tree[node] == least:
-                    break
-                tree[node] = least
-                node >>= 1
+            rank = get(piece[left:stop]) if stop - left <= longest else None
+            put(left, none if rank is None else rank * size + left)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -95,7 +99,8 @@ class Coder(dict):
         return ids
 
     def encode(self, text: str) -> array:
-        return array("i", chain.from_iterable(map(self.__getitem__, (m[0] for m in self.pattern.finditer(text)))))
+        pieces = self.pattern.findall(text) if len(text) <= AT_ONCE and not self.pattern.groups else (m[0] for m in self.pattern.finditer(text))
+        return array("i", chain.from_iterable(map(self.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
