@@ -23,6 +23,7 @@ class Tree:
     feature: np.ndarray
     bin: np.ndarray
     value: np.ndarray
+    gain: np.ndarray
 
     def leaves(self, bins: np.ndarray, depth: int) -> np.ndarray:
         at = np.zeros(len(bins), dtype=np.int64)
@@ -50,6 +51,14 @@ class Boosted:
     def binned(self, x: np.ndarray) -> np.ndarray:
         return binned(x, self.cuts)
 
+    def gains(self) -> dict[str, float]:
+        """Each feature's share of the gain of all splits; zeros without any."""
+        total = np.zeros(len(self.features))
+        for t in self.trees:
+            split = t.feature >= 0
+            np.add.at(total, t.feature[split], t.gain[split])
+        return dict(zip(self.features, (total / (total.sum() or 1)).tolist(), strict=True))
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         bins = self.binned(np.asarray(x, dtype=float))
         return np.exp(self.base + sum((t.step(bins, self.depth) for t in self.trees), np.zeros(len(bins))))
@@ -68,13 +77,17 @@ def gradients(y: np.ndarray, score: np.ndarray, power: float) -> tuple[np.ndarra
     return high - low, (2 - power) * high - (1 - power) * low
 
 
-def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l2: float, least: int) -> tuple[float, int, int]:
+def shrunk(g, l1: float):
+    return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
+
+
+def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l1: float, l2: float, least: int, allowed: np.ndarray) -> tuple[float, int, int]:
     """(gain, feature, bin) of a node's sums by feature and bin; rows up to the bin go left. Of equal gains the first
     feature's and the lowest bin's. Without a gain the feature is -1."""
     gl, hl, nl = (np.cumsum(x, axis=1)[:, :-1] for x in (g, h, n))
     gt, ht, nt = g[0].sum(), h[0].sum(), n[0].sum()
-    gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
-    gain = np.where((nl >= least) & (nt - nl >= least), gain, 0.0)
+    gain = shrunk(gl, l1) ** 2 / (hl + l2) + shrunk(gt - gl, l1) ** 2 / (ht - hl + l2) - shrunk(gt, l1) ** 2 / (ht + l2)
+    gain = np.where((nl >= least) & (nt - nl >= least) & allowed[:, None], gain, 0.0)
     at = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(gain.max()))))
     f, b = divmod(at, gain.shape[1])
     return (float(gain[f, b]), f, b) if gain.max() > 1e-9 else (0.0, -1, 0)
@@ -89,7 +102,7 @@ def _bins(features: list[str], targets: list[str], cuts: list[np.ndarray], base:
             y = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in targets])
             rows = binned(x, cuts)
             first = np.tile(base, (batch.num_rows, 1))
-            yield pa.record_batch({"val": batch.column("val"), "x": pa.array([r.tobytes() for r in rows], pa.binary()), "y": pa.array([r.tobytes() for r in y], pa.binary()),
+            yield pa.record_batch({"key": batch.column("key"), "val": batch.column("val"), "x": pa.array([r.tobytes() for r in rows], pa.binary()), "y": pa.array([r.tobytes() for r in y], pa.binary()),
                 "score": pa.array([r.tobytes() for r in first], pa.binary())})
 
     return run
@@ -108,14 +121,24 @@ def _advanced(trees: list[list[Tree]], depth: int, n_features: int):
             if batch.num_rows:
                 _, x, _, score = _unpacked(batch, n_features, len(trees))
                 score = score + np.column_stack([sum((t.step(x, depth) for t in ts), np.zeros(len(x))) for ts in trees])
-                yield pa.record_batch({**{c: batch.column(c) for c in ("val", "x", "y")}, "score": pa.array([r.tobytes() for r in score], pa.binary())})
+                yield pa.record_batch({**{c: batch.column(c) for c in ("key", "val", "x", "y")}, "score": pa.array([r.tobytes() for r in score], pa.binary())})
 
     return run
 
 
-def _sums(trees: list[list[Tree]], growing: list[Tree | None], level: int, depth: int, n_features: int, n_bins: int, power: float):
-    """Map: a task's sums for each target: by node of the level, feature and bin over the rows learned from, and at the
-    root the squared error over the rows held out (node -1)."""
+def in_bag(keys: np.ndarray, n: int, fraction: float) -> np.ndarray:
+    """Rows that round n learns from: chosen by their keys, so that a task that runs again chooses the same."""
+    if fraction >= 1:
+        return np.ones(len(keys), dtype=bool)
+    x = keys.view(np.uint64) + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < fraction
+
+
+def _sums(trees: list[list[Tree]], growing: list[Tree | None], n: int, level: int, depth: int, n_features: int, n_bins: int, power: float, row_fraction: float):
+    """Map: a task's sums for each target: by node of the level, feature and bin over the rows that round n learns from,
+    and at the root the squared error over the rows held out (node -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, k = 2**level, len(trees)
@@ -125,6 +148,7 @@ def _sums(trees: list[list[Tree]], growing: list[Tree | None], level: int, depth
             if not batch.num_rows:
                 continue
             val, x, y, score = _unpacked(batch, n_features, k)
+            used = ~val & in_bag(np.array(batch.column("key"), dtype=np.int64), n, row_fraction)
             at = np.arange(n_features) * n_bins + x.astype(np.int64)
             for i, (ts, tree) in enumerate(zip(trees, growing, strict=True)):
                 if tree is None:
@@ -132,9 +156,9 @@ def _sums(trees: list[list[Tree]], growing: list[Tree | None], level: int, depth
                 s = score[:, i] + sum((t.step(x, depth) for t in ts), np.zeros(len(x)))
                 g, h = gradients(y[:, i], s, power)
                 node = tree.leaves(x, level) - (nodes - 1)
-                place = (node[:, None] * n_features * n_bins + at)[~val].ravel()
+                place = (node[:, None] * n_features * n_bins + at)[used].ravel()
                 for j, w in enumerate((g, h, np.ones(len(g)))):
-                    total[i, j] += np.bincount(place, weights=np.repeat(w[~val], n_features), minlength=total.shape[2])
+                    total[i, j] += np.bincount(place, weights=np.repeat(w[used], n_features), minlength=total.shape[2])
                 if not level:
                     d = (y[:, i] - np.exp(s))[val]
                     error[i] += (d @ d, 0.0, len(d))
@@ -148,32 +172,37 @@ def _sums(trees: list[list[Tree]], growing: list[Tree | None], level: int, depth
 
 
 def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], validation: str, power: float = 1.2, rounds: int = 60, rate: float = 0.1, depth: int = 4,
-    bins: int = 63, l2: float = 10.0, least: int = 20, patience: int = 10, rewrite: int = 12) -> dict[str, Boosted]:
+    bins: int = 63, l1: float = 0.0, l2: float = 10.0, least: int = 20, patience: int = 10, row_fraction: float = 1.0, feature_fraction: float = 1.0,
+    seed: int = 42, rewrite: int = 12) -> dict[str, Boosted]:
     """A model for each target. Rows where the boolean column validation is true choose the number of trees: a target
     stops after patience rounds without a lower squared error there and keeps its best round's trees. Rows without any
-    of the targets are left out; missing features have a bin of their own.
+    of the targets are left out; missing features have a bin of their own. row_fraction and feature_fraction are the
+    shares of rows (by their values) and of features (of each target) that a tree learns from.
 
     What reaches the driver is bounded by targets x nodes x features x bins. Scores are stored anew every rewrite
     rounds, so that a pass adds the steps of fewer trees than that."""
     spark = rows.sparkSession
     # sums differ in their last digits with the order of tasks; numbers are doubles throughout
     d = rows.dropna(subset=targets).select(F.coalesce(F.col(validation), F.lit(False)).alias("val"), *[F.col(c).cast("double").alias(c) for c in (*features, *targets)])
+    d = d.withColumn("key", F.xxhash64(F.lit(seed), *features, *targets))
     learned = d.where("not val")
     at = [i / bins for i in range(1, bins)]
     one = learned.agg(*[F.percentile_approx(c, at, 10_000).alias(f"c{i}") for i, c in enumerate(features)], *[F.avg(c).alias(f"m{i}") for i, c in enumerate(targets)]).first()
     cuts = [np.unique(np.array([v for v in one[f"c{i}"] or [] if v is not None and np.isfinite(v)], dtype=float)) for i in range(len(features))]
     base = [float(np.log(max(one[f"m{i}"] or 0.0, 1e-6))) for i in range(len(targets))]
     n_bins = 2 + max(map(len, cuts))
-    table = stored(d.mapInArrow(_bins(features, targets, cuts, base), "val boolean, x binary, y binary, score binary"), "bins")
+    table = stored(d.mapInArrow(_bins(features, targets, cuts, base), "key long, val boolean, x binary, y binary, score binary"), "bins")
     models = [Boosted(features, cuts, b, depth) for b in base]
     recent: list[list[Tree]] = [[] for _ in targets]
     best: list[tuple[float, int]] = [(np.inf, 0) for _ in targets]
     open_ = set(range(len(targets)))
     for n in range(rounds + 1):
         inner = 2**depth - 1
-        growing = [Tree(np.full(inner, -1), np.zeros(inner, dtype=np.int64), np.zeros(2**depth)) if i in open_ else None for i in range(len(targets))]
+        growing = [Tree(np.full(inner, -1), np.zeros(inner, dtype=np.int64), np.zeros(2**depth), np.zeros(inner)) if i in open_ else None for i in range(len(targets))]
+        chosen = [np.isin(np.arange(len(features)), np.random.default_rng((seed, n, i)).permutation(len(features))[: max(1, round(feature_fraction * len(features)))])
+            for i in range(len(targets))]
         for level in range(depth):
-            found = table.mapInArrow(_sums(recent, growing, level, depth, len(features), n_bins, power), "target long, node long, place long, g double, h double, n double")
+            found = table.mapInArrow(_sums(recent, growing, n, level, depth, len(features), n_bins, power, row_fraction), "target long, node long, place long, g double, h double, n double")
             summed = found.groupBy("target", "node", "place").agg(*[F.sum(c).alias(c) for c in "ghn"]).toPandas()
             if not level:
                 for r in summed[summed.node < 0].itertuples():
@@ -188,7 +217,7 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
                 s = summed[(summed.target == i) & (summed.node >= 0)]
                 total = np.zeros((3, 2**level, len(features) * n_bins))
                 total[:, s.node.to_numpy(), s.place.to_numpy()] = s[list("ghn")].to_numpy().T
-                _grow(growing[i], total.reshape(3, 2**level, len(features), n_bins), level, depth, l2, least, rate)
+                _grow(growing[i], total.reshape(3, 2**level, len(features), n_bins), level, depth, l1, l2, least, rate, chosen[i])
         if n == rounds or not open_:
             break
         for i, tree in enumerate(growing):
@@ -196,7 +225,7 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
                 models[i].trees.append(tree)
                 recent[i].append(tree)
         if max(map(len, recent)) >= rewrite:
-            table = stored(table.mapInArrow(_advanced(recent, depth, len(features)), "val boolean, x binary, y binary, score binary"), "bins")
+            table = stored(table.mapInArrow(_advanced(recent, depth, len(features)), "key long, val boolean, x binary, y binary, score binary"), "bins")
             recent = [[] for _ in targets]
     for m, (_, n) in zip(models, best, strict=True):
         if m.losses:
@@ -204,15 +233,15 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
     return dict(zip(targets, models, strict=True))
 
 
-def _grow(tree: Tree, sums: np.ndarray, level: int, depth: int, l2: float, least: int, rate: float) -> None:
+def _grow(tree: Tree, sums: np.ndarray, level: int, depth: int, l1: float, l2: float, least: int, rate: float, allowed: np.ndarray) -> None:
     """Splits the level's nodes; on the last level the children's steps follow from the same sums."""
     first = 2**level - 1
     for node in range(2**level):
         g, h, n = sums[:, node]
-        _, f, b = best_split(g, h, n, l2, least)
-        tree.feature[first + node], tree.bin[first + node] = f, b
+        gain, f, b = best_split(g, h, n, l1, l2, least, allowed)
+        tree.feature[first + node], tree.bin[first + node], tree.gain[first + node] = f, b, gain
         if level == depth - 1:
             gt, ht = g[0].sum(), h[0].sum()
             gl, hl = (g[f, : b + 1].sum(), h[f, : b + 1].sum()) if f >= 0 else (gt, ht)
-            tree.value[2 * node] = -rate * gl / (hl + l2)
-            tree.value[2 * node + 1] = -rate * (gt - gl) / (ht - hl + l2) if f >= 0 else 0.0
+            tree.value[2 * node] = -rate * shrunk(gl, l1) / (hl + l2)
+            tree.value[2 * node + 1] = -rate * shrunk(gt - gl, l1) / (ht - hl + l2) if f >= 0 else 0.0

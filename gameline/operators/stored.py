@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from gameline.operators.sinks import update, upsert
-from gameline.sources.tables import stored
+from gameline.sources.tables import scratch, stored
 
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -108,11 +108,14 @@ def write_in_order(df: DataFrame, path: str, *order: str, files: int | None = No
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int = 16) -> DataFrame:
-    """df as a table of the warehouse in buckets of key, sorted by it: joins and groupings by key read it without a
-    shuffle. One file a bucket, as rows are dealt by key before the write."""
+    """df as a table in buckets of key, sorted by it: joins and groupings by key read it without a shuffle. One file a
+    bucket, as rows are dealt by key before the write. The files are in spark.checkpoint.dir, like other tables that a
+    run makes; the catalog knows the table by a name of its own."""
+    spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
-    return df.sparkSession.table(table)
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
 
 
 def landed(events: DataFrame) -> DataFrame:

@@ -397,7 +397,8 @@ def _(spark, d):
     both = vec.groupBy("game_id").agg(side(True, "lineup_skill", "h_skill"), side(False, "lineup_skill", "a_skill"), *[side(False, c, f"a_{c}") for c in A.SKILLS])
     j = starter_mix(spark, d).join(both, "game_id", "left")
     dot = B.dot_or_null([F.col(c) for c in A.MIXES], [F.col(f"a_{c}") for c in A.SKILLS])
-    return rounded(j.select("game_id", dot.alias("away_vs_home_sp_matchup"), (F.col("h_skill") - F.col("a_skill")).alias("lineup_skill_diff")), 8)
+    out = rounded(j.select("game_id", dot.alias("away_vs_home_sp_matchup"), (F.col("h_skill") - F.col("a_skill")).alias("lineup_skill_diff")), 8)
+    return out.withColumn("lineup_skill_diff", F.col("lineup_skill_diff") + 0.0)  # no negative zero
 
 
 # --- joins that pick games ---------------------------------------------------------------------------------------------

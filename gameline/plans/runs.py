@@ -186,7 +186,7 @@ def boosted_runs(spark, d):
     rows, names = C._trainable(spark, d)
     rows = T.stored(rows.select("game_id", "split", "home_runs", "away_runs", *names), "trainable")
     fitted = rows.where("split in ('train', 'val')").withColumn("validate", F.col("split") == "val")
-    return BT.fit_boosted(fitted, names, ["home_runs", "away_runs"], "validate", power=1.2), rows, names
+    return BT.fit_boosted(fitted, names, ["home_runs", "away_runs"], "validate", power=1.2, l1=0.5, row_fraction=0.7, feature_fraction=0.7), rows, names
 
 
 @C.query("m2_boosted_runs")
@@ -209,6 +209,20 @@ def boosted_report(spark, d):
     return C.rounded(out)
 
 
+@C.query("t3_k7_boosted_importances")
+def boosted_importances(spark, d):
+    """Gains of the boosted run models' features, largest first for each target, as CSV reports read again."""
+    models, rows, _ = boosted_runs(spark, d)
+    out = None
+    for target, model in models.items():
+        gains = A.importances(spark.createDataFrame(list(model.gains().items()), "feature string, gain double"))
+        path = T.scratch(spark, "importances")
+        K.write_report(gains, path, "csv")
+        one = spark.read.schema(gains.schema).csv(path).withColumn("target", F.lit(target))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @C.query("m2_u3_team_run_model")
 def team_run_model(spark, d):
     """One model on two rows a game, brought back to a row a game and judged on each split. Scores of the own game

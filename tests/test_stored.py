@@ -278,6 +278,26 @@ def test_boosted_trees_are_the_twin_s(spark, rewrite):
         assert m.predict(x) == pytest.approx(np.exp(f))
 
 
+def test_boosting_on_shares_of_rows_and_features(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(400, 3))
+    y = r.poisson(np.exp(0.5 + 0.8 * (x[:, 1] > 0.2)))
+    df = spark.createDataFrame([(*map(float, a), float(t), i % 4 == 0) for i, (a, t) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, runs double, val boolean")
+    options = {"rounds": 6, "rate": 0.3, "depth": 2, "l1": 0.5, "row_fraction": 0.7, "feature_fraction": 0.7, "patience": 99}
+    one, two = (boosting.fit_boosted(df.repartition(n), ["a", "b", "c"], ["runs"], "val", **options)["runs"] for n in (1, 4))
+    assert one.losses == pytest.approx(two.losses) and one.predict(x) == pytest.approx(two.predict(x))
+    assert one.trees and all(len(set(t.feature) - {-1}) <= 2 for t in one.trees)
+    gains = one.gains()
+    assert sum(gains.values()) == pytest.approx(1) and max(gains, key=gains.get) == "b"
+    keys = r.integers(-(2**63), 2**63 - 1, 20_000)
+    shares = [boosting.in_bag(keys, n, 0.7) for n in range(3)]
+    assert all(abs(s.mean() - 0.7) < 0.02 for s in shares) and abs((shares[0] & shares[1]).mean() - 0.49) < 0.02
+
+
+def test_l1_shrinks_sums():
+    assert boosting.shrunk(np.array([-2.0, -0.3, 0.0, 0.4, 3.0]), 0.5).tolist() == [-1.5, -0.0, 0.0, 0.0, 2.5]
+
+
 def test_boosting_stops_early_and_knows_missing_numbers(spark):
     r = np.random.default_rng(9)
     data = [(float(r.normal()), float(r.poisson(3)), bool(i % 3 == 0)) for i in range(300)] + [(None, 4.0, None), (1.0, None, False)]
