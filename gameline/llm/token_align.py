@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ RANGE_BYTES = 256 << 10
 FAN = 8
 #: Id pairs, the most frequent ones, whose counts every task has (17 bytes each); all others are joined.
 SENT_PAIRS = 1_000_000
-#: Stretches between spaces whose ids a Python worker remembers, none longer than REMEMBERED_BYTES.
-REMEMBERED, REMEMBERED_BYTES = 150_000, 48
+#: Stretches between spaces whose ids a Python worker remembers of each of two generations, none longer than
+#: REMEMBERED_BYTES.
+REMEMBERED, REMEMBERED_BYTES = 350_000, 48
 #: Links of a group beyond which its ids are counted before they are paired.
 LARGE_GROUP = 1 << 14
 #: Links that are made at once.
@@ -44,7 +47,7 @@ def safe_cuts(data: bytes) -> np.ndarray:
 
 class Pair:
     """Both tokenizers in a worker: A reads a stretch that begins with a space, B what follows that space, which it adds
-    itself. Stretches are encoded apart and remembered; a longer one is encoded anew."""
+    itself. Stretches are remembered; those of a text that are not known are encoded as one text, and long ones anew."""
 
     def __init__(self, a_json: bytes, b_model: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,37 +67,60 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[bytes, tuple[list[int], list[int], bool]] = {}
+        self.known: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes, bool]] = {}
         n = max(self.n_a, self.n_b)
         self.names = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(n)]
         self.n_names = n
 
-    def stretch(self, data: bytes) -> tuple[list[int], list[int], bool]:
-        """Ids of both, and whether both have the stretch's bytes."""
-        found = self.known.get(data)
-        if found is None:
-            text = data.decode()
-            a = self.a.encode(text, add_special_tokens=False).ids
-            b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space]
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            found = (a, b, good)
-            if len(data) <= REMEMBERED_BYTES:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[data] = found
-        return found
+    def alone(self, data: bytes) -> tuple[bytes, bytes, bool]:
+        """Ids of both for a stretch, as packed 32-bit numbers, and whether both have its bytes."""
+        text = data.decode()
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space]
+        good = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
+        return array("i", a).tobytes(), array("i", b).tobytes(), good
+
+    def together(self, new: list[bytes]) -> dict[bytes, tuple[bytes, bytes, bool]] | None:
+        """The same for stretches that end in no white space, encoded as one text and cut at their ends; None if that is
+        not possible."""
+        cuts, data = [], b"".join(new)
+        ends = np.cumsum([len(x) for x in new])
+        a, b, good = self.alone(data)
+        if not good:
+            return None
+        for side, size in ((a, self.a_len), (b, self.b_len)):
+            at = np.cumsum(size[array_of(side, "i4")])
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                return None
+            cuts.append([0, *(4 * last + 4).tolist()])
+        return {x: (a[i:j], b[k:m], True) for x, i, j, k, m in zip(new, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)}
 
     def tokens(self, data: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of both for a text that begins with a space, and whether both have its bytes."""
         cuts = safe_cuts(data).tolist()
-        a: list[int] = []
-        b: list[int] = []
-        good = True
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            x, y, same = self.stretch(data[i:j])
-            a += x
-            b += y
-            good &= same
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), good
+        stretches = [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, new = self.known, []
+        for x in dict.fromkeys(stretches):
+            if x not in known:
+                ids = self.before.get(x)
+                if ids is None:
+                    new.append(x)
+                else:
+                    known[x] = ids
+        found: dict[bytes, tuple[bytes, bytes, bool]] = {}
+        if new:
+            solid = [x for x in new if _SOLID[x[-1]]]
+            found = (self.together(solid) if solid else {}) or {}
+            found.update((x, self.alone(x)) for x in new if x not in found)
+            known.update((x, ids) for x, ids in found.items() if len(x) <= REMEMBERED_BYTES)
+        long = any(len(x) > REMEMBERED_BYTES for x in new)
+        ids = [known.get(x) or found[x] for x in stretches] if long else list(map(known.__getitem__, stretches))
+        a, b = (array_of(b"".join(map(itemgetter(side), ids)), "i4").astype(np.int64) for side in (0, 1))
+        return a, b, all(map(itemgetter(2), ids))
 
     def text(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: int) -> bytes:
         """Groups as text, a1,a2|b1;a3|b2: of_a and of_b are the tokens' group numbers, 0 to n - 1, ascending."""
