@@ -7,7 +7,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from gameline.llm.common import arrow_bounds, table, text_batches, trim
 
-#: Pieces that a Python worker remembers, none longer than REMEMBERED_CHARS.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 48
+#: Pieces that a Python worker remembers of each of two generations, none longer than REMEMBERED_CHARS.
+REMEMBERED, REMEMBERED_CHARS = 450_000, 48
 #: Characters of a text whose pieces are made at once; those of a longer one come one by one.
 AT_ONCE = 1 << 18
 _coders: dict[tuple[bytes, str], Coder] = {}
@@ -33,11 +32,8 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
         return [whole]
     n, get, none = len(piece), ranks.get, 1 << 62
     size = 1 << max(0, (n - 2).bit_length())
-    row = [none] * size
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            row[i] = rank * size + i
+    row = [none if (rank := get(piece[i : i + 2])) is None else rank * size + i for i in range(n - 1)]
+    row += [none] * (size + 1 - n)
     inner = []
     while len(row) > 1:
         inner.append(row)
@@ -77,7 +73,8 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class Coder(dict):
-    """Ids of pieces by their text, for as many as it remembers; rank file and pattern of one encoding."""
+    """Ids of pieces by their text, as packed 32-bit numbers, for as many as it remembers: what was met lately, and of
+    the generation before it what is met again. Rank file and pattern of one encoding."""
 
     def __init__(self, file: bytes, pattern: str) -> None:
         super().__init__()
@@ -89,18 +86,23 @@ class Coder(dict):
         for t, r in self.ranks.items():
             tokens[r] = t
         self.tokens = tokens
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merged(piece.encode(), self.ranks, self.longest))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("i", merged(piece.encode(), self.ranks, self.longest)).tobytes()
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text."""
         pieces = self.pattern.findall(text) if len(text) <= AT_ONCE and not self.pattern.groups else (m[0] for m in self.pattern.finditer(text))
-        return array("i", chain.from_iterable(map(self.__getitem__, pieces)))
+        return b"".join(map(self.__getitem__, pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -135,12 +137,9 @@ def encoded(docs: DataFrame, file: bytes, pattern: str, column: str = "text", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(sent.value, pattern)
         for batch in text_batches(batches, column):
-            ids, cuts = array("i"), [0]
-            for text in batch.column(column):
-                if text.is_valid:
-                    ids.extend(own.encode(text.as_py()))
-                cuts.append(len(ids))
-            found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
+            ids = [own.encode(text.as_py()) if text.is_valid else b"" for text in batch.column(column)]
+            cuts = np.cumsum([0, *map(len, ids)]) // 4
+            found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
             yield pa.record_batch({**{c: batch.column(c) for c in kept}, "ids": found})
 
     return docs.mapInArrow(run, f"{_fields(docs, kept)}ids array<int>")
