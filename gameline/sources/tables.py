@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,14 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a run's table under spark.checkpoint.dir, which all executors share."""
+    """A new folder for a run's table under spark.checkpoint.dir, which all executors share. Where that is unset, a local
+    session uses a temporary folder, and on a cluster it is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/gameline-{name}-{uuid.uuid4().hex}"
 
 
