@@ -43,11 +43,19 @@ def _hashes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _units(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of length 1, and the two factors of each length: its greatest component and the rest, so that no square
+    overflows or vanishes."""
+    most = np.abs(v).max(axis=1, initial=0)
+    most = np.where(most > 0, most, 1)
+    scaled = v / most[:, None]
+    rest = np.linalg.norm(scaled, axis=1)
+    return scaled / np.where(rest > 0, rest, 1)[:, None], most, rest
+
+
 def build(rows: np.ndarray, ids: np.ndarray) -> dict:
     """A block's forest."""
-    length = np.linalg.norm(rows, axis=1)
-    unit = rows / np.where(length > 0, length, 1)[:, None]
-    own = _hashes(unit.astype(np.float32), _planes(rows.shape[1]))
+    own = _hashes(_units(rows)[0].astype(np.float32), _planes(rows.shape[1]))
     order = np.argsort(own, axis=1, kind="stable").astype(np.int32)
     return {"rows": rows, "ids": ids, "order": order, "keys": np.take_along_axis(own, order, axis=1)}
 
@@ -81,10 +89,16 @@ def search(forest: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bou
     """(query_id, vec_id, score) of the k best rows that the forest finds for every query. Rows below a query's bound
     need not be found. visited gets the number of rows that each query was compared with."""
     rows, ids, order, keys = forest["rows"], forest["ids"], forest["order"], forest["keys"]
-    x, q = rows.astype(np.float32), queries.astype(np.float32)
-    reach = np.linalg.norm(queries, axis=1)
-    longest = float(np.linalg.norm(rows, axis=1).max(initial=0))
-    asked = _hashes((queries / reach[:, None]).astype(np.float32), _planes(rows.shape[1]))
+    # float32 scores are of rows divided by the longest one's length and of queries of length 1, so from -1 to 1
+    top_row = float(np.abs(rows).max(initial=0)) or 1.0
+    x = rows / top_row
+    longest = float(np.linalg.norm(x, axis=1).max(initial=0)) or 1.0
+    x = (x / longest).astype(np.float32)
+    unit, most, rest = _units(queries)
+    q = unit.astype(np.float32)
+    asked = _hashes(q, _planes(rows.shape[1]))
+    if bound is not None:
+        bound = bound / top_row / longest / most / rest
     start = _descend(keys, asked, min(FIRST, TREES * len(x)))
     out = []
     for i in range(len(q)):
@@ -105,7 +119,7 @@ def search(forest: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bou
             if bound is not None:
                 least = max(least, float(bound[i]))
             # nothing of the block reaches this inner product at a wider angle than this one
-            angle = np.arccos(np.clip(least / max(longest * reach[i], 1e-300), -1, 1)) if least > -np.inf else np.pi
+            angle = np.arccos(np.clip(least, -1, 1)) if least > -np.inf else np.pi
             agree = 1 - angle / np.pi
             sure = 1 - MISS ** (1 / TREES)
             wanted = BITS if agree >= 1 else int(np.log(sure) / np.log(agree)) if agree > 0 else 0
@@ -115,8 +129,9 @@ def search(forest: dict, queries: np.ndarray, query_ids: np.ndarray, k: int, bou
         if visited is not None:
             visited.append(len(found))
         if best:
-            near = found[score >= kth - 1e-5 * max(1.0, abs(kth), longest * reach[i])]
-            exact = (rows[near] * queries[i]).sum(axis=1)
+            near = found[score >= kth - 1e-5]
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (rows[near] * queries[i]).sum(axis=1)
             top = np.lexsort((ids[near], -exact))[:k]
             out.append((np.full(len(top), query_ids[i]), ids[near][top], exact[top]))
     if not out:

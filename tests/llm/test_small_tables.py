@@ -488,6 +488,20 @@ def test_nearest(spark):
     assert lsh_forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-150, 1e30, 1e150])
+def test_nearest_of_any_magnitude(spark, scale):
+    """No square overflows or vanishes before the exact scores; rows of small and large magnitudes meet in one block."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((60, 8)) * scale
+    x[50:] *= 1e-6
+    got = lsh_forest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    for q in (0, 20, 40):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert [v for _, v, _ in mine] == np.lexsort((np.arange(60), -s))[:20].tolist() and [t for _, _, t in mine] == pytest.approx(np.sort(s)[::-1][:20].tolist())
+
+
 def test_nearest_with_repeated_ids(spark):
     """Rows that repeat an id count each as candidates; a query in several rows is asked once, by its smallest vector."""
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 3.0]), (2, [5.0, 1.0])]
