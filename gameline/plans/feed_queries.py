@@ -27,7 +27,6 @@ def _schedule(spark, d):
         F.struct(team("home").alias("home"), team("away").alias("away")).alias("teams"))
     days = g.groupBy("game_date").agg(F.collect_list(game).alias("games"))
     return days.groupBy(F.date_trunc("month", "game_date").alias("m")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("game_date").cast("string").alias("date"),
-        
         "games")).alias("dates"))).alias("doc"))
 
 
@@ -89,7 +88,6 @@ def _plays(spark, d):
     play = F.struct(F.col("pitcher_id").alias("o"), F.struct(F.when(~missing, F.col("inning_entered")).alias("inning"),
         half.alias("halfInning"), F.when(~missing, F.col("outs_on_entry")).alias("outs")).alias("about"),
         F.struct(F.struct(F.col("pitcher_id").alias("id"), F.concat(F.lit("P"), F.col("pitcher_id").cast("string")).alias("fullName")).alias("pitcher")).alias("matchup"),
-            
         F.array(F.struct(F.col("inning_entered").alias("inning"), F.col("outs_on_entry").alias("outs"))).alias("playEvents"))
     p = a.groupBy("game_id").agg(F.sort_array(F.collect_list(play)).alias("plays"))
     g = view(spark, d, "v_games").join(view(spark, d, "v_starters").select("game_id", "home_sp_id",
@@ -97,7 +95,6 @@ def _plays(spark, d):
     pitcher = lambda c: F.struct(F.col(c).alias("id"), F.concat(F.lit("P"), F.col(c).cast("string")).alias("fullName"))
     team = lambda s: F.struct(F.col(f"{s}_team_id").alias("id"))
     innings = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(F.struct(((F.col("game_id") + i) % 3).cast("int").alias("runs")).alias("home"),
-        
         F.struct(((F.col("game_id") + 2 * i) % 4).cast("int").alias("runs")).alias("away")))
     doc = F.to_json(F.struct(F.struct(F.struct(pitcher("home_sp_id").alias("home"), pitcher("away_sp_id").alias("away")).alias("probablePitchers"),
         F.struct(team("home").alias("home"), team("away").alias("away")).alias("teams")).alias("gameData"),
@@ -121,7 +118,6 @@ def s8(spark, d):
         lambda s: s["id"]).alias("ids"), F.collect_set(F.concat(F.lit("ID"), F.col("player_id").cast("string"))).alias("players"))
     one = lambda p: F.struct(p.alias("key"), F.struct(F.struct(F.struct(F.when(F.right(p, F.lit(1)) != "0",
         "L").alias("code")).alias("batSide")).alias("person"), F.struct(F.lit("").alias("code"), F.lit("  Switch hitter ").alias("description")).alias("batSide"),
-            
         F.struct(F.lit("").alias("abbreviation"), F.lit("Shortstop").alias("name")).alias("position")).alias("value"))
     s = side.select("game_id", "game_date", "is_home", F.struct(F.struct(F.col("team_id").alias("id")).alias("team"),
         F.col("ids").alias("battingOrder"), F.map_from_entries(F.transform("players", one)).alias("players")).alias("side"))
@@ -180,12 +176,9 @@ FEEDS = [
         "a.game_id = s.game_id"),
     ("s6_starter_lines", s6, "SELECT a.game_id, a.pitcher_id, a.team_id, a.is_home, a.outs_pitched, a.runs_allowed FROM "
         "{v_appearances} a JOIN {v_starters} s ON a.game_id = s.game_id AND a.pitcher_id IN (s.home_sp_id, s.away_sp_id)"),
-        
     ("s7_entry_context", s7, """WITH c AS (SELECT a.*, g.home_team_id, g.away_team_id, a.pitcher_id % 2 = 0 AS top FROM {v_appearances} a JOIN {v_games} g USING (game_id) WHERE a.inning_entered IS NOT NULL),
  s AS (SELECT *, coalesce((SELECT sum((game_id + i) % 3) FROM (SELECT unnest(range(1, 10)) AS i) WHERE i < inning_entered), 0) AS h, coalesce((SELECT sum((game_id + 2 * i) % 4) FROM (SELECT unnest(range(1, 10)) AS i) WHERE i < inning_entered OR (i = inning_entered AND NOT top)), 0) AS a FROM c)
  SELECT game_id, CASE WHEN top THEN home_team_id ELSE away_team_id END AS team_id, pitcher_id, inning_entered, outs_on_entry, CAST(CASE WHEN top THEN h - a ELSE a - h END AS INTEGER) AS score_diff_on_entry, inning_entered >= 7 AND abs(h - a) <= 2 AS is_high_leverage FROM s"""),
-     
-     
     ("s8_lineups", s8, "SELECT game_id, game_date, team_id, is_home, CASE WHEN batting_order > 4 THEN batting_order - 1 ELSE "
         "batting_order END AS batting_order, player_id, CASE WHEN player_id % 10 <> 0 THEN 'L' ELSE 'Switch hit' END AS bats, "
         "'Shortstop' AS pos FROM {v_lineups} WHERE batting_order <> 4 AND team_id <> 0"),

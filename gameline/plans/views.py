@@ -18,12 +18,8 @@ VIEWS = {
       CAST(CASE WHEN l_partkey % 40 = 0 THEN NULL WHEN l_partkey % 97 = 0 THEN 5000 WHEN l_returnflag = 'A' THEN -(95 + 3 * CAST(floor(l_quantity) AS INT)) WHEN l_returnflag = 'N' THEN 95 + 3 * CAST(floor(l_quantity) AS INT) ELSE -(100 + CAST(floor(l_quantity) AS INT)) END AS INT) AS home_price,
       CAST(CASE WHEN l_returnflag = 'A' THEN 85 + 3 * CAST(floor(l_quantity) AS INT) WHEN l_returnflag = 'N' THEN -(105 + 3 * CAST(floor(l_quantity) AS INT)) ELSE 90 + CAST(floor(l_quantity) AS INT) END AS INT) AS away_price,
       l_linenumber AS t1, l_partkey AS t2, l_suppkey AS t3, l_extendedprice AS t4, l_shipdate AS commence_time FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
-          
-          
     "v_appearances": """SELECT a.game_id, g.game_date, a.pitcher_id, CASE WHEN a.pitcher_id % 2 = 0 THEN g.home_team_id ELSE g.away_team_id END AS team_id, CASE WHEN a.pitcher_id % 2 = 0 THEN g.away_team_id ELSE g.home_team_id END AS opponent_team_id, a.pitcher_id % 2 = 0 AS is_home, a.outs_pitched, a.runs_allowed, a.is_starter, a.inning_entered, CAST(a.game_id % 3 AS INT) AS outs_on_entry, a.score_diff_on_entry, a.inning_entered >= 7 AND abs(a.score_diff_on_entry) <= 2 AS is_high_leverage FROM (
       SELECT l_orderkey AS game_id, CAST(l_suppkey AS INT) AS pitcher_id, CAST(CAST(floor(min(l_quantity)) AS BIGINT) % 10 AS INT) AS outs_pitched, CAST(min(l_partkey) % 5 AS INT) AS runs_allowed, min(l_linenumber) = 1 AS is_starter, CASE WHEN min(l_partkey) % 37 = 0 THEN NULL ELSE CAST(min(l_linenumber) + 2 AS INT) END AS inning_entered, CAST(min(l_partkey) % 9 - 4 AS INT) AS score_diff_on_entry FROM {lineitem} GROUP BY l_orderkey, l_suppkey) a JOIN {v_games} g ON a.game_id = g.game_id""",
-          
-          
     "v_starts": "SELECT game_id, game_date, pitcher_id, team_id, outs_pitched, runs_allowed FROM {v_appearances} WHERE is_starter",
     "v_starters": "SELECT game_id, min(CASE WHEN pitcher_id % 2 = 0 THEN pitcher_id END) AS home_sp_id, min(CASE WHEN "
         "pitcher_id % 2 = 1 THEN pitcher_id END) AS away_sp_id FROM {v_appearances} WHERE is_starter AND game_id % 41 <> 0 "
@@ -34,8 +30,6 @@ VIEWS = {
         "(2), (3), (4), (5), (6), (7), (8), (9)) AS b(b)",
     "v_pitches": """SELECT DISTINCT CAST(l_shipdate AS DATE) AS game_date, l_orderkey AS game_pk, CAST(l_linenumber AS BIGINT) AS at_bat_number, l_partkey AS pitch_number, CAST(l_suppkey % 100 AS BIGINT) AS pitcher, CAST(l_partkey % 200 AS BIGINT) AS batter,
       CASE (l_partkey + l_linenumber) % 9 WHEN 0 THEN 'ff' WHEN 1 THEN 'SI' WHEN 2 THEN 'FC' WHEN 3 THEN 'SL' WHEN 4 THEN 'CU' WHEN 5 THEN 'CH' WHEN 6 THEN 'SP' WHEN 7 THEN 'FS' END AS pitch_type, l_tax * 10 AS woba_value, CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS woba_denom FROM {lineitem}""",
-          
-          
     "v_run_preds": "SELECT o_orderkey AS game_id, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE 2 + (o_custkey % 50) / CAST(10 "
         "AS DOUBLE) END AS home_runs_pred, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE 2 + (o_orderkey % 47) / CAST(10 AS "
         "DOUBLE) END AS away_runs_pred FROM {orders}",

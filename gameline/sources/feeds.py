@@ -135,7 +135,6 @@ def entry_context(docs: DataFrame, column: str = "doc") -> DataFrame:
     d = _live(docs, column)
     innings = F.col("f.liveData.linescore.innings")
     plays = d.select("game_id", innings.alias("innings"), F.col("f.gameData.teams").alias("of"), F.posexplode("f.liveData.plays.allPlays").alias("pos",
-        
         "play"))
     p = plays.withColumn("c", B.play_context(F.col("play"))).withColumn("pitcher_id", F.col("play.matchup.pitcher.id"))
     p = p.where("pitcher_id is not null and c.inning is not null and c.half in ('top', 'bottom') and c.outs is not null")
@@ -209,7 +208,6 @@ def hourly_weather(docs: DataFrame, column: str = "doc") -> DataFrame:
     """A row for each hour of a venue's document (venue_id, doc), in Fahrenheit, miles per hour and inches."""
     h = docs.select("venue_id", F.from_json(column, HOURLY)["hourly"].alias("h"))
     z = h.select("venue_id", F.explode(F.arrays_zip(*[F.coalesce(F.col(f"h.{c}"), F.array().cast(f"array<{'string' if c == 'time' else 'double'}>")).alias(c) for c in ("time",
-        
         "temperature_2m", "relative_humidity_2m", "precipitation", "surface_pressure",
         "wind_speed_10m", "wind_direction_10m")])).alias("z"))
     return z.select("venue_id", F.try_to_timestamp("z.time").alias("hour"), B.c_to_f(F.col("z.temperature_2m")).alias("temp_f"),
