@@ -343,7 +343,7 @@ def lines(spark, d):
 
 
 def batters(spark, d):
-    return J.as_of(lines(spark, d), T.stored(W.batter_skill(v(spark, d, "v_pitches")), "skill"), "batter_id", 365, *game_range(spark, d))
+    return J.as_of(T.stored(lines(spark, d), "lines"), T.stored(W.batter_skill(v(spark, d, "v_pitches")), "skill"), "batter_id", 365, *game_range(spark, d))
 
 
 BATTERS = (f"{SKILL}, batters AS (SELECT l.game_id, l.is_home, l.batting_order, {', '.join('s.' + c for c in A.SKILLS)} FROM "
@@ -373,7 +373,7 @@ def home_starters(spark, d):
 
 
 def starter_mix(spark, d):
-    return J.as_of(home_starters(spark, d), T.stored(W.pitch_mix(v(spark, d, "v_pitches")), "mix"), "pitcher_id", 365, *game_range(spark, d))
+    return J.as_of(T.stored(home_starters(spark, d), "starters"), T.stored(W.pitch_mix(v(spark, d, "v_pitches")), "mix"), "pitcher_id", 365, *game_range(spark, d))
 
 
 STARTER_MIX = (f"{MIX}, sm AS (SELECT l.game_id, {', '.join('m.' + c for c in A.MIXES)} FROM (SELECT g.game_id, g.game_date - 1 "

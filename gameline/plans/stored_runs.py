@@ -37,7 +37,7 @@ def season_runs_of_batters(spark, d):
     start, end = C.game_range(spark, d)
     skill = T.stored(W.batter_skill(C.v(spark, d, "v_pitches")), "skill")
     since = F.date_sub(F.make_date(F.year("game_date"), F.lit(1), F.lit(1)), 366)
-    found = J.as_of(C.lines(spark, d), skill, "batter_id", 365, f"{start[:4]}-01-01", end, since)
+    found = J.as_of(T.stored(C.lines(spark, d), "lines"), skill, "batter_id", 365, f"{start[:4]}-01-01", end, since)
     return C.rounded(found.select("game_id", "is_home", "batting_order", *A.SKILLS), 9)
 
 
@@ -53,7 +53,7 @@ def season_runs_of_starters(spark, d):
     start, end = C.game_range(spark, d)
     mix = T.stored(W.pitch_mix(C.v(spark, d, "v_pitches")), "mix")
     since = F.date_sub(F.make_date(F.year("game_date"), F.lit(1), F.lit(1)), 366)
-    return C.rounded(J.as_of(C.home_starters(spark, d), mix, "pitcher_id", 365, f"{start[:4]}-01-01", end, since).select("game_id", *A.MIXES))
+    return C.rounded(J.as_of(T.stored(C.home_starters(spark, d), "starters"), mix, "pitcher_id", 365, f"{start[:4]}-01-01", end, since).select("game_id", *A.MIXES))
 
 
 # --- merges ------------------------------------------------------------------------------------------------------------
