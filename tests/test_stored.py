@@ -160,6 +160,7 @@ def test_days_are_read_by_month_and_can_be_loaded_again(spark, tmp_path):
         needed = TB.days_for(spark, path, daily.schema, str(low), str(high))
         out += rows(W.mix_of_days(needed).where(F.col("as_of_date").between(low, high)))
     assert sorted(out, key=str) == rows(W.pitch_mix(df))
+    assert "(month#" in plan_of(needed).split("PartitionFilters: [")[1].split("]")[0]
     months = {r.m for r in needed.select(F.regexp_extract(F.input_file_name(), "month=([^/]*)", 1).alias("m")).distinct().collect()}
     assert min(months) == "2000-05-01" and "2000-04-01" in files(path, "month")
     before = files(path, "month")
