@@ -41,9 +41,18 @@ def update(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return _joined(target, updates, keys, "left").select(*out, *[F.col(f"__{c}").alias(c) for c in new])
 
 
-def insert_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """target and the rows of new keys, one of each."""
-    return target.unionByName(rows.dropDuplicates([key]).join(target.select(key), key, "left_anti").select(*target.columns))
+def first_rows(batch: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The first row of each key in the batch's order, which has to be unique within a key; without one, the least row.
+    The same whatever task holds which row, and combined before the shuffle."""
+    rest = F.struct(*[c for c in batch.columns if c != key])
+    first = F.min_by(rest, F.struct(*order)) if order else F.min(rest)
+    return batch.groupBy(key).agg(first.alias("row")).select(key, "row.*").select(*batch.columns)
+
+
+def insert_absent(target: DataFrame, rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """target and the first row of each new key."""
+    new = rows.join(target.select(key), key, "left_anti")
+    return target.unionByName(first_rows(new, key, order).select(*target.columns))
 
 
 def stamped(df: DataFrame, as_of: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
-from gameline.operators.sinks import update, upsert
+from gameline.operators.sinks import first_rows, update, upsert
 from gameline.sources.tables import scratch, stored
 
 
@@ -78,13 +78,6 @@ def merge(spark: SparkSession, path: str, schema: StructType, updates: DataFrame
     return StructType([f for f in out.schema.fields if f.name != partition] + [out.schema[partition]])
 
 
-def first_rows(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the batch's order, whatever task holds it; the order has to be unique within a key.
-    Combined before the shuffle."""
-    rest = [c for c in batch.columns if c != key]
-    return batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*").select(*batch.columns)
-
-
 def insert_first(spark: SparkSession, path: str, schema: StructType, batch: DataFrame, key: str, order: list[str], partition: str) -> None:
     """Appends the first row of each key that the table lacks. Only the batch's partitions of the table are compared, as
     a key has its partition in it. Columns that only order the batch are not stored."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gameline.operators import boosting
 from gameline.operators import joins as J
 from gameline.operators import models as M
+from gameline.operators import sinks as K
 from gameline.operators import stored as TB
 from gameline.operators import windows as W
 from gameline.plans import catalog
@@ -104,6 +105,14 @@ def test_first_row_of_a_batch_wins(spark, tmp_path, parts):
     assert TB.read(spark, path, old.schema).count() == 4
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_first_row_wins_without_storage(spark, parts):
+    target = spark.createDataFrame([("a", "old")], "row_id string, v string")
+    batch = spark.createDataFrame([(k, f"{k}{n}", n) for n in (3, 1, 2) for k in "abc"], "row_id string, v string, line int").repartition(parts, "line")
+    assert rows(K.insert_absent(target, batch, "row_id", ["line"])) == [("a", "old"), ("b", "b1"), ("c", "c1")]
+    assert rows(K.insert_absent(target, batch.drop("line"), "row_id")) == [("a", "old"), ("b", "b1"), ("c", "c1")]
+
+
 def test_first_insert_reads_the_batch_s_partitions_only(spark, games):
     path, schema = games
     held = TB._within(TB.read(spark, path, schema).select("game_id", "season"), "season", [2001])
