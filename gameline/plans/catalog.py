@@ -286,8 +286,9 @@ BETS = (f"{SKELLAM}, {CONSENSUS}, {CLOSING}, b AS (SELECT g.game_id, s.win + s.t
 
 def bets(spark, d):
     h, a = F.col("home_runs_pred"), F.col("away_runs_pred")
-    p = v(spark, d, "v_run_preds").select("game_id", P.win_with_half_tie(h, a)["p"].alias("p_home"))
-    features = p.where("p_home is not null").join(consensus(spark, d).select("game_id", "n_books_ml"),
+    known = v(spark, d, "v_run_preds").where(h.isNotNull() & a.isNotNull())  # asked of the rates, so that the sums run once
+    p = known.select("game_id", P.win_with_half_tie(h, a)["p"].alias("p_home"))
+    features = p.join(consensus(spark, d).select("game_id", "n_books_ml"),
         "game_id").where(P_.enough_books(F.col("n_books_ml"), 3, strict=True))
     j = J.with_closing(features, P_.completed(v(spark, d, "v_games")), closing(spark, d))
     return A.graded_bets(j.withColumn("home_win", P.home_win_label(F.col("home_runs"), F.col("away_runs"))))

@@ -193,8 +193,9 @@ def narrow_auc(spark, d):
 @C.query("j4_bucketed_bets", C.SQL["j4_f23_graded_bets"])
 def bucketed_bets(spark, d):
     """Features, games and closing prices in buckets of game_id: their joins shuffle nothing."""
-    p = C.v(spark, d, "v_run_preds").select("game_id", P.win_with_half_tie(F.col("home_runs_pred"), F.col("away_runs_pred"))["p"].alias("p_home"))
-    known = p.where("p_home is not null").join(C.consensus(spark, d).select("game_id", "n_books_ml"), "game_id").where(FL.enough_books(F.col("n_books_ml"), 3, strict=True))
+    r = C.v(spark, d, "v_run_preds").where("home_runs_pred is not null and away_runs_pred is not null")
+    p = r.select("game_id", P.win_with_half_tie(F.col("home_runs_pred"), F.col("away_runs_pred"))["p"].alias("p_home"))
+    known = p.join(C.consensus(spark, d).select("game_id", "n_books_ml"), "game_id").where(FL.enough_books(F.col("n_books_ml"), 3, strict=True))
     games = FL.completed(C.v(spark, d, "v_games")).select("game_id", "home_runs", "away_runs")
     features, games, closing = (TB.bucketed(t, n, "game_id") for t, n in ((known, "features"), (games, "games"), (C.closing(spark, d), "closing")))
     j = J.with_closing(features, games, closing)
