@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,20 @@ from gameline.llm.common import table, text_batches
 SAMPLE, SAMPLE_BYTES = 300, 200_000
 #: Made-up pages that the trees are fitted on besides.
 MADE = 40
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: A tag's attributes. Quotes count after an equals sign only; one that is never closed runs to the end of the page. Neither
+#: this nor the names before it are given back, so that a tag is read once.
+_ATTRIBUTES = r"(?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>])*+"
 _BLOCKS = "p|div|section|article|main|aside|nav|header|footer|form|ul|ol|li|dl|dt|dd|table|tr|td|th|h[1-6]|blockquote|pre|figure|body|html"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     # raw text, which only its own end tag or the page's end closes
     rf"|<(script|style|noscript|template|iframe|title|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    # controls and drawings, if they are closed before the next block; else their tag counts for nothing
-    rf"|<(svg|select|button|object|canvas|video|audio)\b{_ATTRIBUTES}(?<!/)>(?:(?!</?(?:{_BLOCKS})\b).)*?</\2\s*>"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Controls and drawings go with what they hold if they are closed before the next block; else their tag counts for nothing.
+_CONTROLS = ("svg", "select", "button", "object", "canvas", "video", "audio")
+_ENDS = re.compile(rf"</?(?:{_BLOCKS})\b|</({'|'.join(_CONTROLS)})\s*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Marks a training label in a rewritten page; pages themselves are learned from without this character.
 _MARK = "\0"
@@ -67,6 +71,25 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": (
     {"tr", "table"})}
 
 
+def _control_ends(source: str):
+    """A function from a control's tag and the end of its opening tag to the end of its closing one, where that comes before
+    the next block's tag; else to the same place. The page is read once."""
+    blocks: list[int] = []
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _ENDS.finditer(source):
+        if m.group(1):
+            ends.setdefault(m.group(1).lower(), []).append(m.span())
+        else:
+            blocks.append(m.start())
+
+    def end(tag: str, at: int) -> int:
+        own = ends.get(tag, [])
+        i, j = bisect_left(own, (at, 0)), bisect_left(blocks, at)
+        return own[i][1] if i < len(own) and (j == len(blocks) or own[i][0] < blocks[j]) else at
+
+    return end
+
+
 class Forest:
     """Block elements and text blocks of many pages; a parent's number is smaller than its children's."""
 
@@ -74,6 +97,7 @@ class Forest:
         self.training = training
         self.page, self.parent, self.depth, self.group, self.words, self.label = [], [], [], [], [], []
         self.link, self.tags = [], []
+        self.end: list[int] = []  # the number after the last one of the subtree
         self.blocks: list[tuple[int, str]] = []  # node, text
 
     def node(self, page: int, parent: int, tag: str, attributes: str) -> int:
@@ -93,13 +117,26 @@ class Forest:
         self.label.append(label if label >= 0 else 1 if tag == "article" else -1)
         self.link.append(0)
         self.tags.append(1)
+        self.end.append(0)
         return len(self.page) - 1
 
     def add(self, page: int, source: str) -> None:
         root = self.node(page, -1, "html", "")
         stack: list[tuple[str, int]] = [("html", root)]
+        places: dict[str, list[int]] = {}  # of the open elements of each tag, in the stack
         run: list[str] = []
         links = at = 0
+        skips = None
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def close(i: int) -> None:
+            """Closes the element at place i and those in it."""
+            while len(stack) > i:
+                tag, node = stack.pop()
+                places[tag].pop()
+                self.end[node] = len(self.page)
 
         def flush() -> None:
             if run:
@@ -108,17 +145,22 @@ class Forest:
                     self.blocks.append((stack[-1][1], text))
                 run.clear()
 
-        for m in _TOKEN.finditer(source):
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 run.append(source[at : m.start()])
                 if links:
                     self.link[stack[-1][1]] += m.start() - at
             at = m.end()
-            tag = m.group(4)
+            tag = m.group(3)
             if tag is None:
                 continue
-            tag, closing = tag.lower(), m.group(3)
+            tag, closing = tag.lower(), m.group(2)
             if tag not in _GROUP:
+                if tag in _CONTROLS and not closing and not m.group(4).endswith("/"):
+                    skips = _control_ends(source) if skips is None else skips
+                    at = skips(tag, at)
+                    if at > m.end():
+                        continue
                 if tag == "br":
                     run.append(" ")
                 elif tag == "a":
@@ -130,43 +172,44 @@ class Forest:
             if tag in ("html", "hr"):
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
                 continue
             if tag in _ENDS_P or tag == "body":
-                open_p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if open_p and all(t not in ("table", "td", "th", "caption") for t, _ in stack[open_p:]):
-                    del stack[open_p:]
+                open_p = last(("p",))
+                if open_p > last(("table", "td", "th", "caption")):
+                    close(open_p)
             if tag == "body" and stack[-1][0] == "head":
-                stack.pop()
+                close(len(stack) - 1)
             if tag in _SIBLINGS:
-                ends, scope = _SIBLINGS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-            stack.append((tag, self.node(page, stack[-1][1], tag, m.group(5))))
+                ends, scope = (last(x) for x in _SIBLINGS[tag])
+                if ends > scope:
+                    close(ends)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, self.node(page, stack[-1][1], tag, m.group(4))))
         if at < len(source):
             run.append(source[at:])
         flush()
+        close(1)
+        self.end[root] = len(self.page)
 
     def arrays(self) -> None:
-        self.page, self.parent, self.depth = np.array(self.page), np.array(self.parent), np.array(self.depth)
+        self.page, self.parent, self.depth, self.end = (np.array(x) for x in (self.page, self.parent, self.depth, self.end))
         # nodes of each depth, deepest first
         order = np.argsort(-self.depth, kind="stable")
         cuts = np.flatnonzero(np.diff(-self.depth[order])) + 1
         self.levels = np.split(order, cuts) if len(order) else []
 
     def up(self, own: np.ndarray) -> np.ndarray:
-        """Sums over subtrees."""
-        out = own.astype(np.float64).copy()
-        for level in self.levels[:-1]:
-            np.add.at(out, self.parent[level], out[level])
-        return out
+        """Sums over subtrees, which are runs of numbers; of whole numbers, so that they are exact."""
+        total = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
+        return total[self.end] - total[:-1]
+
+    def down(self, own: np.ndarray) -> np.ndarray:
+        """1 where the node or one that holds it has a 1, for each column."""
+        change = np.concatenate([own, np.zeros((1, own.shape[1]))])
+        np.subtract.at(change, self.end, own)
+        return (np.cumsum(change, axis=0)[:-1] > 0).astype(np.float64)
 
     def features(self) -> np.ndarray:
         n = len(self.page)
@@ -181,18 +224,14 @@ class Forest:
         paragraphs, items = self.up(group == 6), self.up(group == 8)
         hit = np.stack([(words >> i) & 1 for i in range(len(_WORDS))], axis=1).astype(np.float64)
         kind = np.stack([group == i for i in range(len(_GROUPS))], axis=1).astype(np.float64)
-        above = np.concatenate([hit, kind[:, :6]], axis=1)  # of the node and its ancestors
-        for level in self.levels[::-1][1:]:
-            above[level] = np.maximum(above[level], above[self.parent[level]])
+        above = self.down(np.concatenate([hit, kind[:, :6]], axis=1))  # of the node and its ancestors
         parent = np.maximum(self.parent, 0)
         siblings = np.bincount(parent, minlength=n)[parent].astype(np.float64)
         first = np.full(n, n)
         np.minimum.at(first, parent, np.arange(n))
         last = np.zeros(n, dtype=np.int64)
         np.maximum.at(last, parent, np.arange(n))
-        root = np.zeros(n, dtype=np.int64)
-        for level in self.levels[::-1]:
-            root[level] = np.where(self.parent[level] < 0, level, root[parent[level]])
+        root = np.flatnonzero(self.parent < 0)[np.cumsum(self.parent < 0) - 1]
         whole = np.maximum(text[root], 1)
         return np.column_stack([kind, hit, above, self.depth, np.log1p(text), np.log1p(size), link / np.maximum(text,
             1), np.log1p(paragraphs), np.log1p(items), np.log1p(tags), text / tags, stop / np.maximum(text,

@@ -1,12 +1,15 @@
 """Vectorised words, shingles and byte-window hashes of whole batches of texts.
 
-All helpers work on one Arrow batch at a time inside a task. Hashes are polynomial prefix sums modulo 2**64 over a
-table of mixed byte values, finished by a 64-bit avalanche, so equal byte strings get equal hashes in every task.
+All helpers work on one Arrow batch at a time inside a task. A word's hash is the 64-bit XXH3 digest of its bytes.
+Hashes of byte ranges are polynomial prefix sums modulo 2**64 over a table of mixed byte values, finished by a 64-bit
+avalanche. Made-up strings of 1,024 bytes and more can defeat these, so they serve where ranges are shorter or where
+bytes are compared afterwards. Equal byte strings get equal hashes in every task.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes that are hashed at once, which bounds the memory of the tables of powers.
@@ -58,28 +61,15 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of A-Z-lower-cased texts, in order, and the number of words of each text."""
-    parts, counts, out, total = [], np.zeros(len(texts), dtype=np.int64), [], 0
+    out, counts = [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else None
         if words:
             counts[i] = len(words)
-            parts.append(b" ".join(words))
-            total += len(parts[-1])
-            if total > HASH_BYTES:
-                out.append(_joined_hashes(parts))
-                parts, total = [], 0
-    if parts:
-        out.append(_joined_hashes(parts))
+            out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
     return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), counts
 
 
-def _joined_hashes(parts: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
-    end = np.flatnonzero(data == 32)
-    start = np.concatenate([[0], end[:-1] + 1])
-    return range_hashes(prefix_sums(data), start, end)
-
-
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles as hashes, sorted within each text, and the number of each text.
 
