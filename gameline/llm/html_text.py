@@ -5,8 +5,8 @@ gets features of its own, its subtree, its ancestors and its siblings; trees giv
 the article or holds it. Decoding picks the likeliest labelling in which nothing is kept below a dropped node.
 
 The trees learn from pages of the table itself that have an article element: what stands in it is kept. To carry over
-to pages without such elements, the sample's pages are also rewritten with other tags and class names, and with
-sidebars, comments, notices and forms around and inside the article. Some made-up pages are always learned from as well,
+to pages without such elements, the sample's pages are also rewritten with other tags and class names, with sidebars,
+comments, notices and forms around and inside the article, and with tables, captions, summaries and quotations in it. Some made-up pages are always learned from as well,
 so that a table without any article element has a model too.
 """
 
@@ -282,6 +282,16 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
             return f'<aside {_MARK}0><p>{sentence()}</p><ul>{links}</ul></aside>'
         return f'<div class="{name}" {_MARK}0><p>{sentence()}</p></div>'
 
+    def part() -> str:
+        """What articles hold besides paragraphs and lists."""
+        few = [" ".join(sentence().split()[:3]) for _ in range(8)]
+        rows = "".join(f"<tr><th>{a}</th><td>{b}</td></tr>" for a, b in zip(few[:4], few[4:], strict=True))
+        return rng.choice([f'<table{rng.choice(["", " class=infobox", " class=data"])}>{rows}</table>',
+            f"<figure><img src=a.png><figcaption>{sentence()}</figcaption></figure>",
+            f"<details><summary>{few[0]}</summary><p>{sentence()}</p></details>",
+            f"<dl><dt>{few[0]}</dt><dd>{sentence()}</dd><dt>{few[1]}</dt><dd>{few[2]}</dd></dl>",
+            f"<blockquote><p>{sentence()}</p></blockquote>", f"<h2>{few[0]}</h2><pre>{few[1]}</pre>"])
+
     nav = rng.choice(["nav", "menu", "navbar", "breadcrumbs"])
     source = source.replace("<nav>", f'<div class="{nav}">').replace("</nav>", "</div>") if rng.random() < 0.6 else source
     foot = rng.choice(["footer", "site-footer", "copyright"])
@@ -290,14 +300,16 @@ def _rewritten(source: str, others: list[str], rng: random.Random) -> str:
     if rng.random() < 0.3:
         source = source.replace("<nav>", f'<header><p>{sentence()}</p></header><nav>', 1)
     inner = extra() if rng.random() < 0.4 else ""
+    parts = [part() for _ in range(rng.randrange(1, 4))] if rng.random() < 0.6 else []
+    first, rest = "".join(parts[:1]) if rng.random() < 0.5 else "", "".join(parts[1:] or parts)
     after = extra() + (extra() if rng.random() < 0.5 else "")
     open_, close = rng.choice([("<article", "</article>"), ("<main", "</main>"), ('<div class="post-content"',
         "</div>"), ('<div id="content"', "</div>"), ("<div", "</div>"), ('<section class="entry"',
         "</section>")])
     before = extra() if rng.random() < 0.4 else ""
     # functions, so that backslashes of the page's text stay as they are
-    source = re.sub(rf"<article\b{_ATTRIBUTES}>", lambda _: f"{before}{open_} {_MARK}1>", source, count=1, flags=re.I)
-    return re.sub(r"</article\s*>", lambda _: f"{inner}{close}{after}", source, count=1, flags=re.I)
+    source = re.sub(rf"<article\b{_ATTRIBUTES}>", lambda _: f"{before}{open_} {_MARK}1>{first}", source, count=1, flags=re.I)
+    return re.sub(r"</article\s*>", lambda _: f"{rest}{inner}{close}{after}", source, count=1, flags=re.I)
 
 
 def made_pages(n: int, rng: random.Random) -> list[str]:

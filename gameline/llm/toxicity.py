@@ -2,7 +2,8 @@
 
 One dictionary is trained on windows of ordinary text. The other is trained on toxic text, on the stretches of words that
 are much likelier there and that recur after different words (copies of a text repeat its words after the same ones).
-Both hold the same ordinary content, so an ordinary window compresses alike with either, and the difference of its two
+Before compression each word is followed by eight bytes of its digest, which nothing but the same word repeats: so a match
+that takes in a whole word is longer than one that only shares syllables with it. Both dictionaries hold the same ordinary content, so an ordinary window compresses alike with either, and the difference of its two
 lengths comes from what the toxic dictionary knows. For each threshold of that difference, a document has a number and a
 share of windows beyond it; a logistic curve over these, fitted on held-in labels, calibrates the thresholds to a score.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +29,11 @@ from gameline.llm.quality import labelled_sample
 SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
 #: Words of a window and from one window to the next.
 WINDOW, STEP = 6, 3
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 60_000, 2_048, 3
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 60_000, 8_192, 3
 #: Windows that a dictionary is trained on at most.
 TRAINED = 100_000
-#: Differences of compressed lengths, in bytes, that are calibrated.
-THRESHOLDS = tuple(range(1, 12))
+#: Differences of compressed lengths, in bytes, that are calibrated: from a digest and two bytes on.
+THRESHOLDS = tuple(range(10, 22))
 #: What makes a word telling: toxic sample texts that have it, different words before it there, and how much likelier a
 #: toxic text is to have it than an ordinary one.
 RECURS, CONTEXTS, RATIO = 3, 6, 20.0
@@ -43,9 +45,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def tagged(own: list[bytes]) -> list[bytes]:
+    """Words with their digests."""
+    return [w + xxhash.xxh3_64_digest(w) for w in own]
+
+
 def windows(text: str | None) -> list[bytes]:
-    """Runs of WINDOW words of the A-Z-lower-cased text, each STEP words after the one before; a shorter text is one."""
-    own = words(text)
+    """Runs of WINDOW words, with digests, of the A-Z-lower-cased text, each STEP words after the one before; a shorter text
+    is one."""
+    own = tagged(words(text))
     return [b" " + b" ".join(own[i : i + WINDOW]) + b" " for i in range(0, max(1, len(own) - WINDOW + STEP), STEP)] if own else []
 
 
@@ -57,7 +65,7 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def telling_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Runs of telling words in the toxic texts."""
+    """Runs of telling words, with digests, in the toxic texts."""
     often, plain, before = Counter(), Counter(), {}
     for text in toxic:
         own = words(text)
@@ -76,7 +84,7 @@ def telling_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
             if word in telling:
                 run.append(word)
             elif run:
-                out.append(b" " + b" ".join(run) + b" ")
+                out.append(b" " + b" ".join(tagged(run)) + b" ")
                 run = []
     return out
 

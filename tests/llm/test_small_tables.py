@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +63,14 @@ def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
     assert sorted(tuple(r) for r in ngram_join.ngram_components(d).collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
 
 
+def test_words_that_fool_polynomial_hashes_stay_apart(spark):
+    """A Thue-Morse word of 1,024 letters and its complement have one hash modulo 2**64, whatever the base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rows = [(1, word, "x"), (2, word.translate(str.maketrans("ab", "ba")), "x"), (3, word, "x")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_ngram_components_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
     monkeypatch.setattr(ngram_join, "SALTS", 3)
@@ -335,6 +346,7 @@ def test_classifiers_without_labels(spark):
 
 def test_toxicity_by_brute_force(spark):
     """Scores of whole texts, each window compressed by a compressor of its own."""
+    import xxhash
     import zstandard
 
     rows, labels = labelled()
@@ -352,15 +364,40 @@ def test_toxicity_by_brute_force(spark):
         if i is None:
             continue
         w = re.findall("[^\\x20\\x09-\\x0D]+", lower(t))
-        runs = [" " + " ".join(w[k : k + 6]) + " " for k in range(0, max(1, len(w) - 3), 3)] if w else []
+        w = [x.encode() + xxhash.xxh3_64(x.encode()).digest() for x in w]
+        runs = [b" " + b" ".join(w[k : k + 6]) + b" " for k in range(0, max(1, len(w) - 3), 3)] if w else []
         tail = bytes([*range(1, 9), *range(14, 32)])
-        gain = [size(x.encode() + tail, model["pair"][1]) - size(x.encode() + tail, model["pair"][0]) for x in runs]
-        beyond = [sum(g >= k for g in gain) for k in range(1, 12)]
-        z = model["weights"][0] + sum(model["weights"][1 + k] * np.log1p(b) + model["weights"][12 + k] * np.log1p(100 * b / max(len(gain), 1)) for k, b in enumerate(beyond))
+        gain = [size(x + tail, model["pair"][1]) - size(x + tail, model["pair"][0]) for x in runs]
+        beyond = [sum(g >= k for g in gain) for k in range(10, 22)]
+        z = model["weights"][0] + sum(model["weights"][1 + k] * np.log1p(b) + model["weights"][13 + k] * np.log1p(100 * b / max(len(gain), 1)) for k, b in enumerate(beyond))
         assert got[i] == pytest.approx(1 / (1 + np.exp(-min(max(z, -30), 30))), rel=1e-9)
     assert got[1002] > 0 and toxicity.toxicity_scores(d.limit(0), lab, learn).count() == 0
 
 
+def test_held_out_toxicity_by_language():
+    """Documents of sf0.1: most toxic ones are caught, few others flagged, in each language. One process, no Spark."""
+    d = "/root/testdata/sf0.1/"
+    docs = pq.read_table(d + "documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas()
+    df = docs.merge(pq.read_table(d + "labels.parquet").to_pandas(), on="doc_id")
+    df = df[df.toxic.isin([0, 1])]
+    crc = np.array([zlib.crc32(str(i).encode()) for i in df.doc_id])
+    sample, held = df[crc % 4 != 2].assign(half=(crc[crc % 4 != 2] >> 8) % 2), df[crc % 4 == 2]
+    pick = lambda rows, y: list(rows[rows.toxic == y].text.dropna())
+    x, y = [], []
+    for half in (0, 1):
+        own, other = sample[sample.half == half], sample[sample.half != half]
+        differ = toxicity.Differ(toxicity.train_dictionaries(pick(own, 1), pick(own, 0)))
+        x += [differ.features(t) for t in other.text]
+        y += list(other.toxic)
+    weights = toxicity.calibrate(np.array(x), np.array(y, dtype=np.float64))
+    differ = toxicity.Differ(toxicity.train_dictionaries(pick(sample, 1), pick(sample, 0)))
+    flagged = np.array([differ.features(t) @ weights for t in held.text]) >= np.log(0.3 / 0.7)
+    toxic = held.toxic.to_numpy() == 1
+    assert flagged[toxic].mean() >= 0.85 and flagged[~toxic].mean() <= 0.02
+    for lang, most in (("en", 0.005), ("de", 0.08), ("fr", 0.06), ("es", 0.03)):
+        assert flagged[~toxic & (held.lang == lang).to_numpy()].mean() <= most, lang
+
+
 def test_copies_do_not_make_words_telling():
     r = random.Random(3)
     text = lambda *own: " ".join(w for _ in range(12) for w in [*r.choices(WORDS, k=6), *own])
@@ -450,6 +487,64 @@ def test_html_without_articles_and_with_odd_markup(spark):
     assert all(again[i] == "\n".join([h, *ts]) for i, (h, ts) in enumerate(parts))
 
 
+def test_inner_parts_of_articles_are_kept():
+    some = "<p>" + " ".join(WORDS[:20]) + ", and so on.</p>"
+    model = html_text.fit([])
+    parts = {"table": "<table class=infobox><tr><th>qborn</th><td>qplace</td></tr></table>", "figure": "<figure><img src=x><figcaption>qcaption</figcaption></figure>",
+        "summary": "<details><summary>qsum</summary><p>qmore text, here.</p></details>", "list": "<dl><dt>qterm</dt><dd>qmeans this.</dd></dl>"}
+    for name, part in parts.items():
+        for body in (part + some * 4, some * 2 + part + some * 2, some * 4 + part):
+            page = f"<html><body><nav><ul><li><a href=/>home</a></li><li><a href=/n>news</a></li></ul></nav><article><h1>qtitle</h1>{body}</article><footer>&copy; nobody</footer></body></html>"
+            text = html_text.main_texts([page], model)[0]
+            assert set(re.findall(r"\bq\w+", part)) <= set(text.split()) | set(re.findall(r"\w+", text)), (name, text)
+            assert "home" not in text and "nobody" not in text
+
+
+@pytest.mark.parametrize("page", ["<button>x " * 100_000, "<div>x " * 140_000, '<a x="' * 170_001, "<div>" * 80_000 + "</p>" * 100_000, "<svg>" * 90_000 + "<p>" + "</svg>" * 90_000,
+    "<b><p>x" * 100_000, "<ul><li>x" * 80_000, "<p x=" + " " * 900_000, "<" * 900_000], ids=range(9))
+def test_long_pages_with_nothing_closed(page):
+    model = html_text.fit([])
+    start = time.monotonic()
+    html_text.main_texts([page], model)
+    assert time.monotonic() - start < 60  # squares of these lengths take hours
+
+
+def test_controls_and_quotes():
+    f = html_text.Forest()
+    f.add(0, "<p>a<button>b<select>c</select>d</button>e</p><p title=don't>f<svg>g<p>h</svg>i</p><p title='>'>j<canvas/>k</canvas></p><p x=\"l>m")
+    assert [t for _, t in f.blocks] == ["ae", "fg", "hi", "jk"]
+
+
+def test_node_features_by_brute_force():
+    """Sums over subtrees and marks of ancestors, node by node."""
+    r = random.Random(6)
+    bits = ["<div class=ad>", "<div>", "</div>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<nav>", "</nav>", "<a href=x>lk</a>", "one, two. ", "<form id=search>", "</form>", "<b>x</b>"]
+    f = html_text.Forest()
+    for page in range(30):
+        f.add(page, "".join(r.choice(bits) for _ in range(r.randrange(40))))
+    f.arrays()
+    n, parent = len(f.page), f.parent.tolist()
+    chains = []
+    for i in range(n):
+        chain = [i]
+        while parent[chain[-1]] >= 0:
+            chain.append(parent[chain[-1]])
+        chains.append(chain)
+    own = np.array([[r.randrange(5), r.randrange(2)] for _ in range(n)], dtype=np.float64)
+    up = np.zeros(n)
+    for i, chain in enumerate(chains):
+        for a in chain:
+            up[a] += own[i, 0]
+    assert (f.up(own[:, 0]) == up).all()
+    assert (f.down(own[:, 1:])[:, 0] == [max(own[a, 1] for a in chain) for chain in chains]).all()
+    x = f.features()
+    size = [sum(len(t) for node, t in f.blocks if i in chains[node]) for i in range(n)]
+    kinds, hits = len(html_text._GROUPS), len(html_text._WORDS)
+    at = kinds + hits + hits + 6  # depth comes here
+    assert (x[:, at] == [len(c) - 1 for c in chains]).all() and np.allclose(x[:, at + 1], np.log1p(size))
+    assert np.allclose(x[:, -2], [s / max(size[c[-1]], 1) for s, c in zip(size, chains, strict=True)])
+
+
 def test_decoding_keeps_nothing_below_a_dropped_node():
     f = html_text.Forest()
     f.add(0, "<body><div><p>a</p><div><p>b</p></div></div><p>c</p></body>")
