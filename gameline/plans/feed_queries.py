@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from gameline.plans.views import view
 from gameline.sources import feeds as S
 
-BUCKETS = 40
+#: Games by id in a document of odds, and in a month's document of the schedule: larger tables have more documents, not longer ones.
+ODDS_GAMES, SCHEDULE_GAMES = 250, 20_000
+
+
+def _page(games):
+    return F.floor(F.col("game_id") / games).alias("page")
 
 
 def _docs(df, *items):
-    """One document for each bucket of games."""
-    return df.groupBy(F.pmod("game_id", F.lit(BUCKETS)).alias("b")).agg(*items)
+    """A document for each run of game ids."""
+    return df.groupBy(_page(ODDS_GAMES)).agg(*items)
 
 
 def _schedule(spark, d):
@@ -25,8 +30,8 @@ def _schedule(spark, d):
         F.lit(1).alias("seriesGameNumber"), F.struct(F.lit("Final").alias("detailedState")).alias("status"),
         F.struct(F.col("venue_id").alias("id"), F.concat(F.lit("Park "), F.col("venue_id").cast("string")).alias("name")).alias("venue"),
         F.struct(team("home").alias("home"), team("away").alias("away")).alias("teams"))
-    days = g.groupBy("game_date").agg(F.collect_list(game).alias("games"))
-    return days.groupBy(F.date_trunc("month", "game_date").alias("m")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("game_date").cast("string").alias("date"),
+    days = g.groupBy("game_date", _page(SCHEDULE_GAMES)).agg(F.collect_list(game).alias("games"))
+    return days.groupBy(F.date_trunc("month", "game_date").alias("m"), "page").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("game_date").cast("string").alias("date"),
         "games")).alias("dates"))).alias("doc"))
 
 
