@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from gameline.operators import reshape as R
 from gameline.operators import sinks as K
 from gameline.operators import windows as W
 from gameline.plans import feed_queries
-from gameline.plans.views import view, with_views
+from gameline.plans.views import BASE, view, with_views
 from gameline.sources import feeds as S
 from gameline.sources import tables as T
 
@@ -28,11 +29,22 @@ SQL: dict[str, str] = {}
 PITCHES = W.PITCHES
 
 
+def register(name: str, f: Query, sql: str | None = None) -> None:
+    """Adds a query, whose shuffles are dealt out by the size of the tables that it reads."""
+
+    @functools.wraps(f)
+    def sized(spark: SparkSession, d: str) -> DataFrame:
+        T.spread(spark, [f"{d}/{t}.parquet" for t in BASE])
+        return f(spark, d)
+
+    QUERIES[name] = sized
+    if sql:
+        SQL[name] = with_views(sql)
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = with_views(sql)
+        register(name, f, sql)
         return f
 
     return add
@@ -624,8 +636,7 @@ def _(spark, d):
 
 
 for _name, _f, _sql in feed_queries.FEEDS:
-    QUERIES[_name] = _f
-    SQL[_name] = with_views(_sql)
+    register(_name, _f, _sql)
 
 from gameline.plans import runs, stored_runs  # noqa: E402, F401  add their queries to those above
 

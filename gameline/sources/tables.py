@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import math
 import tempfile
 import uuid
 
@@ -42,6 +43,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(spark: SparkSession, paths: list[str], megabytes: int = 4) -> int | None:
+    """Lets the session's shuffles begin with a partition for every few megabytes of the inputs, so that a task's share does
+    not grow with them; adaptive execution joins those that turn out small. Where spark.sql.shuffle.partitions is as large
+    already, that holds. Returns the number that was set."""
+    hadoop, name = spark._jvm.org.apache.hadoop.fs, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    size = 0
+    for p in map(hadoop.Path, paths):
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        size += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+    n = math.ceil(size / (megabytes << 20))
+    if n <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.unset(name)
+        return None
+    spark.conf.set(name, str(n))
+    return n
+
+
 def month_ranges(season: int, first: int = 3, last: int = 11, season_end: str | None = None) -> list[tuple[str, str]]:
     """First and last day of each month from March to November, cut at the season's end."""
     end = min(dt.date(season, last, calendar.monthrange(season, last)[1]), dt.date(season, 11, 30),

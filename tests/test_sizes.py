@@ -35,3 +35,25 @@ def test_schedule_documents_are_cut_by_games(spark, monkeypatch):
     whole = feed_queries._schedule(spark, SF).count()
     monkeypatch.setattr(feed_queries, "SCHEDULE_GAMES", 500)
     assert feed_queries._schedule(spark, SF).count() > 2 * whole
+
+
+# --- shuffles ------------------------------------------------------------------------------------------------------------
+def test_shuffles_begin_with_a_partition_for_a_few_megabytes(spark, tmp_path):
+    path = str(tmp_path / "large")
+    spark.range(1 << 20).select(F.rand(1).alias("x"), (F.col("id") % 1000).alias("k")).write.parquet(path)
+    try:
+        n = T.spread(spark, [path, str(tmp_path / "absent")], 1)
+        assert n >= 8 and "hashpartitioning(k#" in plan_of(spark.read.parquet(path).groupBy("k").count())
+        assert f", {n})" in plan_of(spark.read.parquet(path).groupBy("k").count())
+        assert spark.read.parquet(path).groupBy("k").count().count() == 1000
+    finally:
+        assert T.spread(spark, [path], 1000) is None and spark.conf.get(INITIAL, None) is None
+
+
+def test_every_query_is_sized(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(T, "spread", lambda spark, paths: seen.append(paths) or 1 / 0)
+    for f in catalog.queries().values():
+        with pytest.raises(ZeroDivisionError):
+            f(spark, "/nowhere")
+    assert len(seen) == len(catalog.queries()) and all("/nowhere/lineitem.parquet" in p for p in seen)
