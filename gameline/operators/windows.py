@@ -14,14 +14,24 @@ PITCHES = ("FF", "SI", "FC", "SL", "CU", "CH", "SP", "FS")
 
 
 def _form(w: WindowSpec) -> list[Column]:
-    last30, last60 = w.rowsBetween(-30, -1), w.rowsBetween(-60, -1)
+    """The trailing numbers as differences of running sums, which are exact on integers: a sliding frame is summed anew
+    for every row, a frame that only grows takes one step a row."""
+
+    def last(n: int, what: Column) -> Column:
+        upto = lambda k: F.coalesce(what.over(w.rowsBetween(Window.unboundedPreceding, -k)), F.lit(0).cast("long"))
+        return upto(1) - upto(n + 1)
+
+    def mean(n: int, c: str) -> Column:
+        known = last(n, F.count(c))
+        return F.when(known > 0, last(n, F.sum(c)) / known)
+
     return [
-        F.avg(F.col("win").cast("double")).over(last30).alias("win_pct_30"),
-        F.avg(F.col("runs_for").cast("double")).over(last30).alias("runs_for_30"),
-        F.avg(F.col("runs_against").cast("double")).over(last30).alias("runs_against_30"),
-        F.avg(F.col("runs_for").cast("double")).over(last60).alias("avg_runs_scored_60"),
-        F.avg(F.col("runs_against").cast("double")).over(last60).alias("avg_runs_allowed_60"),
-        F.count("game_id").over(last60).alias("games_in_window_60"),
+        mean(30, "win").alias("win_pct_30"),
+        mean(30, "runs_for").alias("runs_for_30"),
+        mean(30, "runs_against").alias("runs_against_30"),
+        mean(60, "runs_for").alias("avg_runs_scored_60"),
+        mean(60, "runs_against").alias("avg_runs_allowed_60"),
+        last(60, F.count("game_id")).alias("games_in_window_60"),
     ]
 
 

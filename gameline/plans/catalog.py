@@ -566,7 +566,8 @@ def _trainable(spark, d):
     f = J.both_sides(g, W.team_form(R.team_games(g)))
     f = f.withColumn("y", P.home_win_label(F.col("home_runs"), F.col("away_runs")))
     names = [f"{s}_{c}" for s in ("home", "away") for c in J.FORM]
-    return P_.split_by_date(f, "1996-12-31", "1997-12-31", "1998-12-31"), names
+    # stored, as every pass of a fit reads them
+    return T.stored(P_.split_by_date(f, "1996-12-31", "1997-12-31", "1998-12-31"), "trainable"), names
 
 
 @query("m1_m2_run_model")

@@ -184,7 +184,7 @@ def run_report(spark, d):
 def boosted_runs(spark, d):
     """({target: model}, rows, features): boosted trees for the home and the away runs, learned in the same passes."""
     rows, names = C._trainable(spark, d)
-    rows = T.stored(rows.select("game_id", "split", "home_runs", "away_runs", *names), "trainable")
+    rows = rows.select("game_id", "split", "home_runs", "away_runs", *names)
     fitted = rows.where("split in ('train', 'val')").withColumn("validate", F.col("split") == "val")
     return BT.fit_boosted(fitted, names, ["home_runs", "away_runs"], "validate", power=1.2, l1=0.5, row_fraction=0.7, feature_fraction=0.7), rows, names
 

@@ -57,3 +57,21 @@ def test_every_query_is_sized(spark, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             f(spark, "/nowhere")
     assert len(seen) == len(catalog.queries()) and all("/nowhere/lineitem.parquet" in p for p in seen)
+
+
+# --- features and models -------------------------------------------------------------------------------------------------
+def test_form_takes_one_step_a_row(spark):
+    g = [(i, dt.date(2024, 1, 1) + dt.timedelta(i), 1, 2, i % 7, i % 5) for i in range(130)]
+    games = spark.createDataFrame(g, "game_id long, game_date date, home_team_id int, away_team_id int, home_runs int, away_runs int")
+    form = W.team_form(R.team_games(games))
+    assert "RowFrame, -30" not in plan_of(form) and "RowFrame, -60" not in plan_of(form)
+    for r in form.where("team_id = 1").collect():
+        last = [x[4] for x in g[: r.game_id]]
+        assert r.games_in_window_60 == len(last[-60:]) and r.runs_for_30 == (np.mean(last[-30:]) if last else None)
+        assert r.avg_runs_scored_60 == (np.mean(last[-60:]) if last else None)
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_fits_read_stored_features(spark):
+    rows, _ = catalog._trainable(spark, SF)
+    assert "Window" not in plan_of(rows) and "gameline-trainable" in plan_of(rows)
