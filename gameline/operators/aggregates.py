@@ -34,7 +34,9 @@ def lineup_vectors(batters: DataFrame) -> DataFrame:
     whole = F.lit(True)
     for c in SKILLS:
         whole = whole & F.col(c).isNotNull()
-    out = batters.groupBy("game_id", "is_home").agg(*[F.avg(F.when(whole, F.col(c))).alias(c) for c in SKILLS])
+    sums = [F.sum(F.when(whole, F.col(c))).alias(c) for c in SKILLS]
+    out = batters.groupBy("game_id", "is_home").agg(*sums, F.count(F.when(whole, 1)).alias("n"))
+    out = out.select("game_id", "is_home", *[F.when(F.col("n") > 0, F.col(c) / F.col("n")).alias(c) for c in SKILLS])
     total = F.col(SKILLS[0])
     for c in SKILLS[1:]:
         total = total + F.col(c)

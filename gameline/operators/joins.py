@@ -83,8 +83,9 @@ def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365,
     even where it holds nulls. A run of games from start to end reads the rollups of [start - 366 days, end] only, a
     filter that reaches the scan; since, a date of the lookup, hides what is older.
 
-    An entity's rows are dealt out by time buckets: each bucket is one sorted stream that begins with the last rollup of
-    the buckets before, so no task holds more than a bucket of an entity, and one row of each bucket when the last ones
+    Only the days that an entity is asked for, each once, look for their rollup; the lookups then meet these by entity and
+    day. An entity's days are dealt out by time buckets: each bucket is one sorted stream that begins with the last rollup
+    of the buckets before, so no task holds more than a bucket of an entity, and one row of each bucket when the last ones
     are carried over. Null entities are kept apart, so that they do not meet in one group."""
     values = [c for c in rollups.columns if c not in (entity, "as_of_date", "window_days")]
     known = rollups.where((F.col("window_days") == days) & F.col(entity).isNotNull())
@@ -94,9 +95,8 @@ def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365,
         known = known.where(F.col("as_of_date") <= F.lit(end).cast("date"))
     bucket = F.floor(F.datediff("at", F.lit("1970-01-01").cast("date")) / bucket_days).alias("bucket")
     r = known.select(entity, F.col("as_of_date").alias("at"), F.lit(0).alias("ask"), F.struct("as_of_date", *values).alias("found")).select("*", bucket)
-    row = F.struct(*[F.col(c) for c in lookups.columns]).alias("row")
-    hidden = [] if since is None else [since.alias("since")]
-    asked = lookups.where(F.col(entity).isNotNull()).select(entity, F.date_sub("game_date", 1).alias("at"), F.lit(1).alias("ask"), row, *hidden).select("*", bucket)
+    own = lookups.where(F.col(entity).isNotNull())
+    asked = own.select(entity, F.date_sub("game_date", 1).alias("at")).distinct().select("*", F.lit(1).alias("ask"), bucket)
     last = r.groupBy(entity, "bucket").agg(F.max_by("found", "at").alias("found"))
     wanted = asked.groupBy(entity, "bucket").agg(F.lit(True).alias("wanted"))
     before = Window.partitionBy(entity).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,10 +104,12 @@ def as_of(lookups: DataFrame, rollups: DataFrame, entity: str, days: int = 365,
     first = carried.select(entity, F.lit(None).cast("date").alias("at"), F.lit(0).alias("ask"), "found", "bucket")
     w = Window.partitionBy(entity, "bucket").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
     hit = r.unionByName(first).unionByName(asked, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(w)).where("ask = 1")
-    shown = F.lit(True) if since is None else F.col("found.as_of_date") >= F.col("since")
-    hit = hit.select("row.*", *[F.when(shown, F.col(f"found.{c}")).alias(c) for c in values])
+    hit = hit.select(F.col(entity).alias("__entity"), F.date_add("at", 1).alias("__day"), F.col("found").alias("__found"))
+    on = (F.col(entity) == F.col("__entity")) & (F.col("game_date") == F.col("__day"))
+    shown = F.lit(True) if since is None else F.col("__found.as_of_date") >= since
+    met = own.join(hit.hint("shuffle_hash"), on, "left").select(*lookups.columns, *[F.when(shown, F.col(f"__found.{c}")).alias(c) for c in values])
     none = lookups.where(F.col(entity).isNull()).select("*", *[F.lit(None).cast(rollups.schema[c].dataType).alias(c) for c in values])
-    return hit.unionByName(none)
+    return met.unionByName(none)
 
 
 def nearest_hour(games: DataFrame, hourly: DataFrame, reach: int = 3) -> DataFrame:

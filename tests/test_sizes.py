@@ -75,3 +75,13 @@ def test_form_takes_one_step_a_row(spark):
 def test_fits_read_stored_features(spark):
     rows, _ = catalog._trainable(spark, SF)
     assert "Window" not in plan_of(rows) and "gameline-trainable" in plan_of(rows)
+
+
+# --- as-of lookups -------------------------------------------------------------------------------------------------------
+def test_as_of_sorts_days_not_lookups(spark):
+    day = dt.date(2024, 5, 2)
+    lookups = spark.range(1000).select("id", F.lit(1).alias("e"), F.lit(day).alias("game_date"), F.col("id").cast("string").alias("payload"))
+    rollups = spark.createDataFrame([(1, dt.date(2024, 5, 1), 365, 0.5)], "e int, as_of_date date, window_days int, v double")
+    out = J.as_of(lookups, rollups, "e")
+    assert not [x for x in plan_of(out).splitlines() if "payload" in x and ("Window" in x or "Sort" in x)]
+    assert [(r.n, r.v) for r in out.groupBy("v").agg(F.countDistinct("payload").alias("n")).collect()] == [(1000, 0.5)]
