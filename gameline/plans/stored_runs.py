@@ -109,14 +109,14 @@ def first_wins(spark, d):
     """A batch that repeats every pitch with another value, in an order of its own, into a table that has half of them."""
     p = C.v(spark, d, "v_pitches").select(*[F.col(c).cast("string") for c in ("game_date", "game_pk", "at_bat_number", "pitch_number", "pitcher", "pitch_type")],
         F.when(F.col("batter") % 50 != 0, F.col("batter").cast("string")).otherwise("x").alias("batter"))
-    rows = S.normalized_pitches(p).select("row_id", F.year("game_date").alias("season"), "game_pk", "pitcher", "pitch_type")
+    rows = T.stored(S.normalized_pitches(p).select("row_id", F.year("game_date").alias("season"), "game_pk", "pitcher", "pitch_type"), "rows")
     sourced = lambda name: F.lit(name).alias("source")
     columns = ("row_id", "season", "game_pk", "pitcher")
     path = T.scratch(spark, "pitches")
     old = rows.where("game_pk % 2 = 0").select(*columns, sourced("old")).distinct()
     TB.append(old, path, "season", "row_id")
-    batch = rows.select(*columns, sourced("late"), F.lit(2).alias("line"), "pitch_type").unionByName(rows.select(*columns, sourced("first"),
-        F.lit(1).alias("line"), "pitch_type"))
+    lines = F.inline(F.array(*[F.struct(sourced(name), F.lit(n).alias("line")) for name, n in (("late", 2), ("first", 1))]))
+    batch = rows.select(*columns, lines, "pitch_type")  # both lines of a pitch in one task, so that they combine before the shuffle
     TB.insert_first(spark, path, old.schema, batch, "row_id", ["line", "pitch_type"], "season")
     return TB.read(spark, path, old.schema)
 
@@ -218,8 +218,8 @@ def polled(spark, d):
     market = F.struct(F.lit("h2h").alias("key"), F.array(outcome("home_team_name", "p.home_price"), outcome("away_team_name", "p.away_price")).alias("outcomes"))
     event = quotes.groupBy("game_id", "home_team_name", "away_team_name").agg(F.sort_array(F.collect_list(F.struct(F.col("sportsbook").alias("title"),
         F.array(market).alias("markets")))).alias("bookmakers"))
-    docs = event.select(F.to_json(F.array(F.struct(F.col("game_id").alias("id"), F.lit("2024-04-01T18:00:00Z").alias("commence_time"), F.col("home_team_name").alias("home_team"),
-        F.col("away_team_name").alias("away_team"), "bookmakers"))).alias("doc"))
+    docs = T.stored(event.select(F.to_json(F.array(F.struct(F.col("game_id").alias("id"), F.lit("2024-04-01T18:00:00Z").alias("commence_time"), F.col("home_team_name").alias("home_team"),
+        F.col("away_team_name").alias("away_team"), "bookmakers"))).alias("doc")), "polled")
     return docs.unionByName(docs)
 
 

@@ -85,3 +85,17 @@ def test_as_of_sorts_days_not_lookups(spark):
     out = J.as_of(lookups, rollups, "e")
     assert not [x for x in plan_of(out).splitlines() if "payload" in x and ("Window" in x or "Sort" in x)]
     assert [(r.n, r.v) for r in out.groupBy("v").agg(F.countDistinct("payload").alias("n")).collect()] == [(1000, 0.5)]
+
+
+# --- stored inputs -------------------------------------------------------------------------------------------------------
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_polls_are_landed_once(spark):
+    assert "Exchange" not in plan_of(stored_runs.polled(spark, SF))
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_pitches_are_made_distinct_once(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/gameline-rows-*"))
+    stored_runs.first_wins(spark, SF)
+    assert len(set(glob.glob(f"{folder}/gameline-rows-*")) - before) == 1
