@@ -4,7 +4,7 @@ Several targets are learned in the same passes, each with its own trees and its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,16 +25,21 @@ class Tree:
     value: np.ndarray
     gain: np.ndarray
 
-    def leaves(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        at = np.zeros(len(bins), dtype=np.int64)
-        for _ in range(depth):
-            f = self.feature[at]
-            right = (f >= 0) & (bins[np.arange(len(bins)), np.maximum(f, 0)] > self.bin[at])
-            at = 2 * at + 1 + right
+    def leaves(self, columns: Sequence[np.ndarray], depth: int) -> np.ndarray:
+        """The place, from 0, of each row among the level's nodes. columns has the bins of each feature: a node is one
+        comparison of a whole column, which is cheaper than a look at every row's own feature."""
+        at = np.zeros(len(columns[0]), dtype=np.uint8 if depth <= 8 else np.int64)
+        for level in range(depth):
+            right = np.zeros(len(at), dtype=bool)
+            for node in range(2**level):
+                f = self.feature[2**level - 1 + node]
+                if f >= 0:
+                    right |= (at == node) & (columns[f] > self.bin[2**level - 1 + node])
+            at = 2 * at + right
         return at
 
-    def step(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        return self.value[self.leaves(bins, depth) - (2**depth - 1)]
+    def step(self, columns: Sequence[np.ndarray], depth: int) -> np.ndarray:
+        return self.value[self.leaves(columns, depth)]
 
 
 @dataclass
@@ -61,7 +66,8 @@ class Boosted:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         bins = self.binned(np.asarray(x, dtype=float))
-        return np.exp(self.base + sum((t.step(bins, self.depth) for t in self.trees), np.zeros(len(bins))))
+        columns = np.ascontiguousarray(bins.T)
+        return np.exp(self.base + sum((t.step(columns, self.depth) for t in self.trees), np.zeros(len(bins))))
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -85,7 +91,8 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l1: float, l2: float
     """(gain, feature, bin) of a node's sums by feature and bin; rows up to the bin go left. Of equal gains the first
     feature's and the lowest bin's. Without a gain the feature is -1."""
     gl, hl, nl = (np.cumsum(x, axis=1)[:, :-1] for x in (g, h, n))
-    gt, ht, nt = g[0].sum(), h[0].sum(), n[0].sum()
+    one = int(np.argmax(allowed))  # every allowed feature's sums are the node's
+    gt, ht, nt = g[one].sum(), h[one].sum(), n[one].sum()
     gain = shrunk(gl, l1) ** 2 / (hl + l2) + shrunk(gt - gl, l1) ** 2 / (ht - hl + l2) - shrunk(gt, l1) ** 2 / (ht + l2)
     gain = np.where((nl >= least) & (nt - nl >= least) & allowed[:, None], gain, 0.0)
     at = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(gain.max()))))
@@ -93,35 +100,36 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l1: float, l2: float
     return (float(gain[f, b]), f, b) if gain.max() > 1e-9 else (0.0, -1, 0)
 
 
+def _schema(n_features: int, n_targets: int) -> str:
+    """A row's key and split, its bins, targets and scores: plain columns, which numpy reads as they are."""
+    return ", ".join(["key long", "val boolean", *[f"x{i} short" for i in range(n_features)], *[f"{c}{i} double" for c in "ys" for i in range(n_targets)]])
+
+
+def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
 def _bins(features: list[str], targets: list[str], cuts: list[np.ndarray], base: list[float]):
     """Map: rows as bins, targets and scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features])
-            y = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in targets])
-            rows = binned(x, cuts)
-            first = np.tile(base, (batch.num_rows, 1))
-            yield pa.record_batch({"key": batch.column("key"), "val": batch.column("val"), "x": pa.array([r.tobytes() for r in rows], pa.binary()), "y": pa.array([r.tobytes() for r in y], pa.binary()),
-                "score": pa.array([r.tobytes() for r in first], pa.binary())})
+            rows = binned(np.column_stack([_numpy(batch, c).astype(float) for c in features]), cuts)
+            out = {c: batch.column(c) for c in ("key", "val")} | {f"x{i}": pa.array(rows[:, i].astype(np.int16)) for i in range(len(features))}
+            out |= {f"y{i}": pa.array(_numpy(batch, c).astype(float)) for i, c in enumerate(targets)}
+            yield pa.record_batch(out | {f"s{i}": pa.array(np.full(batch.num_rows, b)) for i, b in enumerate(base)})
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch, n_features: int, n_targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    whole = lambda c, kind, n: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=kind).reshape(-1, n)
-    return np.array(batch.column("val").to_pylist(), dtype=bool), whole("x", "u1", n_features), whole("y", "f8", n_targets), whole("score", "f8", n_targets)
-
-
 def _advanced(trees: list[list[Tree]], depth: int, n_features: int):
     """Map: scores with the steps of trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                _, x, _, score = _unpacked(batch, n_features, len(trees))
-                score = score + np.column_stack([sum((t.step(x, depth) for t in ts), np.zeros(len(x))) for ts in trees])
-                yield pa.record_batch({**{c: batch.column(c) for c in ("key", "val", "x", "y")}, "score": pa.array([r.tobytes() for r in score], pa.binary())})
+            x = [_numpy(batch, f"x{i}") for i in range(n_features)]
+            steps = {f"s{i}": pa.array(_numpy(batch, f"s{i}") + sum((t.step(x, depth) for t in ts), np.zeros(batch.num_rows))) for i, ts in enumerate(trees)}
+            yield pa.record_batch({c: steps.get(c, batch.column(c)) for c in batch.schema.names})
 
     return run
 
@@ -136,37 +144,38 @@ def in_bag(keys: np.ndarray, n: int, fraction: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < fraction
 
 
-def _sums(trees: list[list[Tree]], growing: list[Tree | None], n: int, level: int, depth: int, n_features: int, n_bins: int, power: float, row_fraction: float):
-    """Map: a task's sums for each target: by node of the level, feature and bin over the rows that round n learns from,
-    and at the root the squared error over the rows held out (node -1)."""
+def _sums(trees: list[list[Tree]], growing: list[Tree | None], chosen: list[np.ndarray], n: int, level: int, depth: int, n_bins: int, power: float, row_fraction: float):
+    """Map: a task's sums for each target: by node of the level, chosen feature and bin over the rows that round n learns
+    from, and at the root the squared error over the rows held out (node -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, k = 2**level, len(trees)
-        total = np.zeros((k, 3, nodes * n_features * n_bins))
+        nodes, k, n_features = 2**level, len(trees), len(chosen[0])
+        sums = np.zeros((k, 3, nodes, n_features, n_bins))
         error = np.zeros((k, 3))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            val, x, y, score = _unpacked(batch, n_features, k)
-            used = ~val & in_bag(np.array(batch.column("key"), dtype=np.int64), n, row_fraction)
-            at = np.arange(n_features) * n_bins + x.astype(np.int64)
+            val = _numpy(batch, "val").astype(bool)
+            used = ~val & in_bag(_numpy(batch, "key"), n, row_fraction)
+            columns = [_numpy(batch, f"x{j}") for j in range(n_features)]
+            x, held = [c[used] for c in columns], [c[val] for c in columns] if not level else []
             for i, (ts, tree) in enumerate(zip(trees, growing, strict=True)):
                 if tree is None:
                     continue
-                s = score[:, i] + sum((t.step(x, depth) for t in ts), np.zeros(len(x)))
-                g, h = gradients(y[:, i], s, power)
-                node = tree.leaves(x, level) - (nodes - 1)
-                place = (node[:, None] * n_features * n_bins + at)[used].ravel()
-                for j, w in enumerate((g, h, np.ones(len(g)))):
-                    total[i, j] += np.bincount(place, weights=np.repeat(w[used], n_features), minlength=total.shape[2])
+                y, score = _numpy(batch, f"y{i}"), _numpy(batch, f"s{i}")
+                g, h = gradients(y[used], score[used] + sum((t.step(x, depth) for t in ts), np.zeros(len(x[0]))), power)
+                node = tree.leaves(x, level).astype(np.int64) * n_bins
+                for j in np.flatnonzero(chosen[i]):
+                    place = node + x[j]
+                    for q, w in enumerate((g, h, None)):
+                        sums[i, q, :, j] += np.bincount(place, weights=w, minlength=nodes * n_bins).reshape(nodes, n_bins)
                 if not level:
-                    d = (y[:, i] - np.exp(s))[val]
+                    d = y[val] - np.exp(score[val] + sum((t.step(held, depth) for t in ts), np.zeros(len(held[0]))))
                     error[i] += (d @ d, 0.0, len(d))
+        total = sums.reshape(k, 3, -1)
         t, place = np.nonzero(total[:, 2])
         node, rest = np.divmod(place, n_features * n_bins)
         columns = [np.append(t, np.arange(k)), np.append(node, np.full(k, -1)), np.append(rest, np.zeros(k, dtype=np.int64))]
-        sums = [np.append(total[t, j, place], error[:, j]) for j in range(3)]
-        yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in columns), *(pa.array(c) for c in sums)], names=["target", "node", "place", "g", "h", "n"])
+        numbers = [np.append(total[t, j, place], error[:, j]) for j in range(3)]
+        yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in columns), *(pa.array(c) for c in numbers)], names=["target", "node", "place", "g", "h", "n"])
 
     return run
 
@@ -191,7 +200,8 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
     cuts = [np.unique(np.array([v for v in one[f"c{i}"] or [] if v is not None and np.isfinite(v)], dtype=float)) for i in range(len(features))]
     base = [float(np.log(max(one[f"m{i}"] or 0.0, 1e-6))) for i in range(len(targets))]
     n_bins = 2 + max(map(len, cuts))
-    table = stored(d.mapInArrow(_bins(features, targets, cuts, base), "key long, val boolean, x binary, y binary, score binary"), "bins")
+    schema = _schema(len(features), len(targets))
+    table = stored(d.mapInArrow(_bins(features, targets, cuts, base), schema), "bins")
     models = [Boosted(features, cuts, b, depth) for b in base]
     recent: list[list[Tree]] = [[] for _ in targets]
     best: list[tuple[float, int]] = [(np.inf, 0) for _ in targets]
@@ -202,8 +212,9 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
         chosen = [np.isin(np.arange(len(features)), np.random.default_rng((seed, n, i)).permutation(len(features))[: max(1, round(feature_fraction * len(features)))])
             for i in range(len(targets))]
         for level in range(depth):
-            found = table.mapInArrow(_sums(recent, growing, n, level, depth, len(features), n_bins, power, row_fraction), "target long, node long, place long, g double, h double, n double")
-            summed = found.groupBy("target", "node", "place").agg(*[F.sum(c).alias(c) for c in "ghn"]).toPandas()
+            found = table.mapInArrow(_sums(recent, growing, chosen, n, level, depth, n_bins, power, row_fraction), "target long, node long, place long, g double, h double, n double")
+            # the tasks' sums are few and small: few partitions, whatever the table's size
+            summed = found.repartition(8, "target", "node", "place").groupBy("target", "node", "place").agg(*[F.sum(c).alias(c) for c in "ghn"]).toPandas()
             if not level:
                 for r in summed[summed.node < 0].itertuples():
                     if r.target in open_ and r.n:
@@ -225,7 +236,7 @@ def fit_boosted(rows: DataFrame, features: list[str], targets: list[str], valida
                 models[i].trees.append(tree)
                 recent[i].append(tree)
         if max(map(len, recent)) >= rewrite:
-            table = stored(table.mapInArrow(_advanced(recent, depth, len(features)), "key long, val boolean, x binary, y binary, score binary"), "bins")
+            table = stored(table.mapInArrow(_advanced(recent, depth, len(features)), schema), "bins")
             recent = [[] for _ in targets]
     for m, (_, n) in zip(models, best, strict=True):
         if m.losses:
@@ -241,7 +252,8 @@ def _grow(tree: Tree, sums: np.ndarray, level: int, depth: int, l1: float, l2: f
         gain, f, b = best_split(g, h, n, l1, l2, least, allowed)
         tree.feature[first + node], tree.bin[first + node], tree.gain[first + node] = f, b, gain
         if level == depth - 1:
-            gt, ht = g[0].sum(), h[0].sum()
+            one = int(np.argmax(allowed))
+            gt, ht = g[one].sum(), h[one].sum()
             gl, hl = (g[f, : b + 1].sum(), h[f, : b + 1].sum()) if f >= 0 else (gt, ht)
             tree.value[2 * node] = -rate * shrunk(gl, l1) / (hl + l2)
             tree.value[2 * node + 1] = -rate * shrunk(gt - gl, l1) / (ht - hl + l2) if f >= 0 else 0.0

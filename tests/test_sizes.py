@@ -77,6 +77,19 @@ def test_fits_read_stored_features(spark):
     assert "Window" not in plan_of(rows) and "gameline-trainable" in plan_of(rows)
 
 
+def test_leaves_of_whole_columns_are_those_of_rows():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 9, (200, 3)).astype(np.uint8)
+    tree = boosting.Tree(r.integers(-1, 3, 15), r.integers(0, 9, 15), r.random(16), np.zeros(15))
+    for depth in range(5):
+        for row, leaf in zip(x, tree.leaves(np.ascontiguousarray(x.T), depth), strict=True):
+            at = 0
+            for _ in range(depth):
+                f = tree.feature[at]
+                at = 2 * at + 1 + bool(f >= 0 and row[f] > tree.bin[at])
+            assert at - (2**depth - 1) == leaf
+
+
 # --- as-of lookups -------------------------------------------------------------------------------------------------------
 def test_as_of_sorts_days_not_lookups(spark):
     day = dt.date(2024, 5, 2)
