@@ -9,6 +9,8 @@ from gameline.sources import feeds as S
 
 #: Games by id in a document of odds, and in a month's document of the schedule: larger tables have more documents, not longer ones.
 ODDS_GAMES, SCHEDULE_GAMES = 250, 20_000
+#: A batting order's slots.
+SLOTS = range(1, 10)
 
 
 def _page(games):
@@ -115,19 +117,29 @@ def s7(spark, d):
     return S.entry_context(_plays(spark, d))
 
 
-def s8(spark, d):
+def _lineups(spark, d):
+    """A document for each game. Its slots are one hash grouping of numbers; lists and structures would have to be sorted."""
     x = view(spark, d, "v_lineups")
-    order = F.sort_array(F.collect_list(F.struct("batting_order", F.when(F.col("batting_order") == 4,
-        F.lit("IDx")).otherwise(F.concat(F.lit("ID"), F.col("player_id").cast("string"))).alias("id"))))
-    side = x.groupBy("game_id", "game_date", "is_home").agg(F.first("team_id").alias("team_id"), F.transform(order,
-        lambda s: s["id"]).alias("ids"), F.collect_set(F.concat(F.lit("ID"), F.col("player_id").cast("string"))).alias("players"))
+    of = {"home": F.col("is_home"), "away": ~F.col("is_home")}
+    slot = lambda s, i: F.max(F.when(of[s] & (F.col("batting_order") == i), F.col("player_id")))
+    g = x.groupBy("game_id", "game_date").agg(*[c for s in of for c in (F.max(F.when(of[s], F.col("team_id"))).alias(f"{s}_team"),
+        *[slot(s, i).alias(f"{s}_{i}") for i in SLOTS])])
+    key = lambda c: F.concat(F.lit("ID"), c.cast("string"))
     one = lambda p: F.struct(p.alias("key"), F.struct(F.struct(F.struct(F.when(F.right(p, F.lit(1)) != "0",
         "L").alias("code")).alias("batSide")).alias("person"), F.struct(F.lit("").alias("code"), F.lit("  Switch hitter ").alias("description")).alias("batSide"),
         F.struct(F.lit("").alias("abbreviation"), F.lit("Shortstop").alias("name")).alias("position")).alias("value"))
-    s = side.select("game_id", "game_date", "is_home", F.struct(F.struct(F.col("team_id").alias("id")).alias("team"),
-        F.col("ids").alias("battingOrder"), F.map_from_entries(F.transform("players", one)).alias("players")).alias("side"))
-    g = s.groupBy("game_id", "game_date").agg(F.max_by("side", "is_home").alias("home"), F.min_by("side", "is_home").alias("away"))
-    return S.lineups(g.select("game_id", "game_date", F.to_json(F.struct(F.struct("home", "away").alias("teams"))).alias("doc")))
+
+    def side(s):
+        ids = F.array(*[F.lit("IDx") if i == 4 else key(F.col(f"{s}_{i}")) for i in SLOTS])
+        players = F.array_except(F.array(*[F.col(f"{s}_{i}") for i in SLOTS]), F.array(F.lit(None).cast("int")))
+        return F.struct(F.struct(F.col(f"{s}_team").alias("id")).alias("team"), ids.alias("battingOrder"),
+            F.map_from_entries(F.transform(players, lambda p: one(key(p)))).alias("players")).alias(s)
+
+    return g.select("game_id", "game_date", F.to_json(F.struct(F.struct(side("home"), side("away")).alias("teams"))).alias("doc"))
+
+
+def s8(spark, d):
+    return S.lineups(_lineups(spark, d))
 
 
 def s9(spark, d):

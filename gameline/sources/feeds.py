@@ -149,20 +149,33 @@ def entry_context(docs: DataFrame, column: str = "doc") -> DataFrame:
     return p.groupBy("game_id", "team_id", "pitcher_id").agg(F.min_by("row", "pos").alias("row")).select("game_id", "team_id", "pitcher_id", "row.*")
 
 
+def _player_id(x: Column) -> Column:
+    """The integer after an ID prefix. A failed cast costs an exception, so that what cannot be an integer is not cast."""
+    x = F.when(x.startswith("ID"), F.substr(x, F.lit(3))).otherwise(x)
+    return F.when(x.rlike("^[^A-Za-z]*[0-9][^A-Za-z]*$"), x.try_cast("int"))
+
+
+def _lineup(side: Column) -> Column:
+    """The rows of a side's batting order, none without a team's id. Players are looked up here, so that no row carries them."""
+    ids = F.filter(F.transform(side["battingOrder"], _player_id), lambda x: x.isNotNull())
+    found = F.transform(ids, lambda i: F.struct(i.alias("id"), F.try_element_at(side["players"], F.concat(F.lit("ID"), i.cast("string"))).alias("one")))
+    short = lambda *cs: F.substring(F.trim(F.coalesce(*[_filled(c) for c in cs])), 1, 10)
+
+    def row(p: Column, i: Column) -> Column:
+        one = p["one"]
+        return F.struct((i + 1).alias("batting_order"), p["id"].alias("player_id"), short(one["person"]["batSide"]["code"],
+            one["batSide"]["code"], one["batSide"]["description"]).alias("bats"), short(one["position"]["abbreviation"],
+            one["position"]["name"]).alias("pos"))
+
+    return F.when(F.coalesce(side["team"]["id"], F.lit(0)) != 0, F.transform(found, row))
+
+
 def lineups(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Batting orders (game_id, game_date, doc): ids that are no integers are skipped before numbering."""
     d = docs.select("game_id", "game_date", F.from_json(column, BOX)["teams"].alias("t"))
-    d = d.select("game_id", "game_date", F.explode(F.array(*[F.struct(F.lit(s == "home").alias("is_home"),
-        F.col("t")[s].alias("side")) for s in ("home", "away")])).alias("s"))
-    ids = F.filter(F.transform("s.side.battingOrder", lambda x: F.regexp_replace(x, "^ID", "").try_cast("int")), lambda x: x.isNotNull())
-    p = d.where("coalesce(s.side.team.id, 0) <> 0").select("game_id", "game_date", F.col("s.side.team.id").alias("team_id"),
-        F.col("s.is_home").alias("is_home"), F.col("s.side.players").alias("players"), F.posexplode(ids).alias("i",
-        "player_id"))
-    one = F.try_element_at("players", F.concat(F.lit("ID"), F.col("player_id").cast("string")))
-    short = lambda *cs: F.substring(F.trim(F.coalesce(*[_filled(c) for c in cs])), 1, 10)
-    return p.select("game_id", "game_date", "team_id", "is_home", (F.col("i") + 1).alias("batting_order"),
-        "player_id", short(one["person"]["batSide"]["code"], one["batSide"]["code"], one["batSide"]["description"]).alias("bats"),
-        short(one["position"]["abbreviation"], one["position"]["name"]).alias("pos"))
+    sides = F.array(*[F.struct(F.col("t")[s]["team"]["id"].alias("team_id"), F.lit(s == "home").alias("is_home"),
+        _lineup(F.col("t")[s]).alias("rows")) for s in ("home", "away")])
+    return d.select("game_id", "game_date", F.inline(sides)).select("game_id", "game_date", "team_id", "is_home", F.inline("rows"))
 
 
 def raw_events(docs: DataFrame, column: str = "doc") -> DataFrame:

@@ -87,6 +87,22 @@ def test_names_and_filters(spark):
     assert sinks.read_features('{"features": ["a"]}') == ["a"] and sinks.read_features("a\n\nb") == ["a", "b"]
 
 
+def test_player_ids_are_those_that_a_cast_takes(spark):
+    x = ["ID7", "7", " 7 ", "ID 8\t", "ID+5", "ID-5", "ID12x", "x12", "7.0", "1e3", "IDx", "ID", "", "IDID3", "id7", "ID99999999999", "\u0667", "7\n", "ID7\nx", "- 7", None]
+    d = spark.createDataFrame([(i,) for i in x], "x string")
+    got = d.select("x", feeds._player_id(F.col("x")).alias("a"), F.regexp_replace("x", "^ID", "").try_cast("int").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.a for r in got[:6]] == [7, 7, 7, 8, 5, -5]
+
+
+def test_lineups_of_odd_documents(spark):
+    side = '{"team":{"id":%d},"battingOrder":["ID5","IDx",null,"9","ID5"],"players":{"ID5":{"person":{"batSide":{"code":""}},"batSide":{"code":"R"},"position":{"name":" Designated Hitter"}}}}'
+    docs = [f'{{"teams":{{"home":{side % 3},"away":{side % 0}}}}}', f'{{"teams":{{"away":{side % 4}}}}}', '{"teams":{"home":{"team":{"id":1},"players":{}}}}', "{", "", None]
+    d = spark.createDataFrame([(i, None, x) for i, x in enumerate(docs)], "game_id long, game_date date, doc string")
+    rows = sorted(tuple(r)[:1] + tuple(r)[2:] for r in feeds.lineups(d).collect())
+    one = lambda g, t, h: [(g, t, h, 1, 5, "R", "Designated"), (g, t, h, 2, 9, None, None), (g, t, h, 3, 5, "R", "Designated")]
+    assert rows == one(0, 3, True) + one(1, 4, False)
+
+
 def test_broken_feeds_give_no_rows(spark):
     d = spark.createDataFrame([("{",), (None,), ('{"dates": [{"date": "x", "games": [{"gamePk": 1}]}]}',)], "doc string")
     assert [tuple(r)[:3] for r in feeds.schedule_games(d).collect()] == [(1, None, None)]

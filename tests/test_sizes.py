@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from gameline.operators import joins as J
 from gameline.operators import reshape as R
 from gameline.operators import windows as W
 from gameline.plans import catalog, feed_queries, stored_runs
+from gameline.sources import feeds
 from gameline.sources import tables as T
 from tests.conftest import SF
 
@@ -37,6 +39,18 @@ def test_schedule_documents_are_cut_by_games(spark, monkeypatch):
     assert feed_queries._schedule(spark, SF).count() > 2 * whole
 
 
+@pytest.mark.skipif(not HAVE, reason="needs the test tables")
+def test_lineups_are_grouped_once_without_sorts(spark):
+    plan = plan_of(catalog.queries()["s8_lineups"](spark, SF))
+    assert plan.count("HashAggregate") == 2 and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_rows_of_lineups_carry_no_players(spark):
+    docs = spark.createDataFrame([(1, dt.date(2024, 4, 1), "{}")], "game_id long, game_date date, doc string")
+    expanded = [x.rsplit("), [", 2)[-1] for x in plan_of(feeds.lineups(docs)).splitlines() if "Generate" in x]
+    assert expanded and not [x for x in expanded if re.search(r"players|\b[st]#", x)]
+
+
 # --- shuffles ------------------------------------------------------------------------------------------------------------
 def test_shuffles_begin_with_a_partition_for_a_few_megabytes(spark, tmp_path):
     path = str(tmp_path / "large")
